@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import to_base64
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
@@ -130,6 +132,7 @@ def requests_log(spark: SparkSession, sf_dir: str) -> DataFrame:
          .otherwise(t.cast("string")).alias("tenant_header"),
         F.when(F.col("event_id") % 11 == 0, F.lit(INTERNAL_TOKEN))
          .otherwise(F.lit(None).cast("string")).alias("internal_token"),
+        "event_type",
     )
 
 
@@ -176,8 +179,7 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_outbox``: outbox rows of the order stream; every 97th payload is broken."""
     o = orders_stream(spark, sf_dir, keep_seq=True)
     js = order_event_json(o)
-    payload = F.when(o.seq % 97 == 0, F.base64(F.encode(F.substring(js, 1, 10), "UTF-8"))) \
-               .otherwise(F.base64(F.encode(js, "UTF-8")))
+    payload = F.when(o.seq % 97 == 0, to_base64(F.substring(js, 1, 10))).otherwise(to_base64(js))
     return o.select(
         F.concat(F.lit("ob-"), o.order_id).alias("id"),
         F.lit("Order").alias("aggregate_type"),
@@ -222,3 +224,31 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     pa = read_table(spark, sf_dir, "part")
     return pa.select(F.col("p_partkey").cast("string").alias("product_id"),
                      F.col("p_retailprice").alias("price"))
+
+
+def endpoint_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Endpoint registration requests (ours): ``v_endpoints`` with a bad URL every
+    13th, a short secret every 17th and no event types every 19th supplier."""
+    e = endpoints(spark, sf_dir)
+    k = F.col("id").cast("bigint")
+    return e.select(
+        "id", "tenant_id",
+        F.when(k % 13 == 0, F.lit("not-a-url")).otherwise(F.col("url")).alias("url"),
+        F.when(k % 17 == 0, F.lit("short")).otherwise(F.col("secret")).alias("secret"),
+        F.when(k % 19 == 0, F.lit("")).otherwise(F.col("event_types")).alias("event_types"),
+    )
+
+
+def order_lookups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lookups (ours): every 10th asks for an unknown id; the caller is
+    absent, the owner, or another customer by ``event_id % 3``."""
+    ev = read_table(spark, sf_dir, "events")
+    eid = F.col("event_id")
+    return ev.select(
+        eid.alias("lookup_id"),
+        F.when(eid % 10 == 0, F.concat(F.lit("missing-"), eid.cast("string")))
+         .otherwise(eid.cast("string")).alias("order_id"),
+        F.when(eid % 3 == 0, F.lit(None).cast("string"))
+         .when(eid % 3 == 1, F.col("user_id").cast("string"))
+         .otherwise((F.col("user_id") + 1).cast("string")).alias("caller"),
+    )
