@@ -559,3 +559,65 @@ SELECT tenant_id, billing_year, billing_month, plan, order_count, amount_cents,
                             "v_lines", "v_tenants"), "P16")
 def q_invoice_view(spark, d):
     return inv.invoice_view(inv.invoice_amounts(_usage(spark, d)))
+
+
+# --------------------------------------------------------------------------
+# Rate limit: T2, F15
+# --------------------------------------------------------------------------
+T2_SQL = """
+r0 AS (
+  SELECT request_id, tenant_id, req_ms,
+         CAST(CASE plan WHEN 'ENTERPRISE' THEN NULL WHEN 'STARTER' THEN 500 WHEN 'PRO' THEN 2000
+              ELSE 100 END AS BIGINT) AS rate_limit,
+         row_number() OVER (PARTITION BY tenant_id ORDER BY req_ms, ts, request_id) AS rn
+  FROM v_requests WHERE tenant_id IS NOT NULL AND plan <> 'ENTERPRISE'),
+rl AS (
+  SELECT tenant_id, rn, request_id, req_ms AS window_start, CAST(1 AS BIGINT) AS request_count
+  FROM r0 WHERE rn = 1
+  UNION ALL
+  SELECT o.tenant_id, o.rn, o.request_id,
+         CASE WHEN o.req_ms - rl.window_start > 60000 THEN o.req_ms ELSE rl.window_start END,
+         CASE WHEN o.req_ms - rl.window_start > 60000 THEN 1 ELSE rl.request_count + 1 END
+  FROM rl JOIN r0 o ON o.tenant_id = rl.tenant_id AND o.rn = rl.rn + 1),
+decided AS (
+  SELECT r0.request_id, r0.tenant_id, r0.rate_limit, rl.window_start, rl.request_count,
+         rl.request_count <= r0.rate_limit AS allowed,
+         CASE WHEN rl.request_count <= r0.rate_limit THEN greatest(0, r0.rate_limit - rl.request_count) END
+           AS remaining
+  FROM r0 JOIN rl USING (request_id)
+  UNION ALL
+  SELECT request_id, tenant_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true,
+         CAST(NULL AS BIGINT)
+  FROM v_requests WHERE tenant_id IS NULL OR plan = 'ENTERPRISE')"""
+
+
+def _rate(spark, d):
+    from ..operators.ratelimit import rate_limit_decisions
+    return rate_limit_decisions(tb.requests_log(spark, d))
+
+
+@register("rate_limit", W("WITH RECURSIVE " + T2_SQL + """
+SELECT request_id, tenant_id, rate_limit, window_start, request_count, allowed, remaining FROM decided""",
+                          "v_requests"), "T2, F9")
+def q_rate_limit(spark, d):
+    return _rate(spark, d).select("request_id", "tenant_id", "rate_limit", "window_start",
+                                  "request_count", "allowed", "remaining")
+
+
+@register("rate_limit_summary", W("WITH RECURSIVE " + T2_SQL + """
+SELECT tenant_id, count(*) FILTER (WHERE allowed) AS allowed, count(*) FILTER (WHERE NOT allowed) AS refused
+FROM decided GROUP BY tenant_id""", "v_requests"), "T2")
+def q_rate_limit_summary(spark, d):
+    r = _rate(spark, d)
+    return r.groupBy("tenant_id").agg(F.count(F.when(F.col("allowed"), 1)).alias("allowed"),
+                                      F.count(F.when(~F.col("allowed"), 1)).alias("refused"))
+
+
+@register("rate_limit_alt", W("""
+SELECT request_id, tenant_id, plan,
+       CAST(CASE plan WHEN 'ENTERPRISE' THEN 1000 WHEN 'PRO' THEN 500 ELSE 100 END AS BIGINT) AS rate_limit
+FROM v_requests""", "v_requests"), "F15")
+def q_rate_limit_alt(spark, d):
+    from ..functions.plans import rate_limit_alt
+    r = tb.requests_log(spark, d)
+    return r.select("request_id", "tenant_id", "plan", rate_limit_alt(F.col("plan")).alias("rate_limit"))
