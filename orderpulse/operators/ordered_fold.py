@@ -54,22 +54,26 @@ class KeyFold:
     """A sequential per-key fold with a composable transfer function.
 
     Subclasses implement the five methods; every one of them works on a
-    *contiguous, sorted slice* of one key's rows given as a pandas frame.
+    *contiguous, sorted slice* of one key's rows, given as a dict of numpy
+    arrays (the columns named in ``input_cols``), so slicing costs no copies.
     """
 
     #: DDL of the columns the fold appends to each row.
     result_ddl: str = ""
+    #: Input columns the fold reads.
+    input_cols: tuple[str, ...] = ()
 
     def init(self, key: Any) -> Any:
         raise NotImplementedError
 
-    def step(self, key: Any, seg: pd.DataFrame, state: Any) -> tuple[pd.DataFrame, Any]:
+    def step(self, key: Any, seg: dict, state: Any) -> tuple[dict, Any]:
+        """Fold a slice from ``state``; returns ({result column: array}, state)."""
         raise NotImplementedError
 
     def tf_identity(self) -> Any:
         raise NotImplementedError
 
-    def tf_step(self, tf: Any, seg: pd.DataFrame) -> Any:
+    def tf_step(self, tf: Any, seg: dict) -> Any:
         raise NotImplementedError
 
     def tf_apply(self, tf: Any, state: Any) -> Any:
@@ -134,11 +138,14 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
         for pdf in batches:
             if len(pdf) == 0:
                 continue
+            pdf = pdf.reset_index(drop=True)
             keys = _key_values(pdf[key])
-            outs = []
+            arrs = {c: pdf[c].to_numpy() for c in fold.input_cols}
+            parts: dict[str, list] = {c: [] for c in res_cols}
+            first_flags = np.zeros(len(pdf), dtype=bool)
             for s, e in _segments(keys):
                 k = keys[s]
-                seg = pdf.iloc[s:e]
+                seg = {c: a[s:e] for c, a in arrs.items()}
                 if not started or k != cur_key:
                     if started:
                         in_first = False
@@ -147,17 +154,18 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
                         first.key, first.tf, first.seen = k, fold.tf_identity(), True
                 if in_first:
                     first.tf = fold.tf_step(first.tf, seg)
+                    first_flags[s:e] = True
                 res, state = fold.step(k, seg, state)
-                out = seg.reset_index(drop=True)
                 for c in res_cols:
-                    out[c] = res[c].to_numpy()
-                out["_pid"] = pid
-                out["_first"] = in_first
-                out["_kind"] = _KIND_ROW
-                out["_meta"] = None
-                outs.append(out)
-            if outs:
-                yield pd.concat(outs, ignore_index=True)
+                    parts[c].append(np.asarray(res[c]))
+            out = pdf
+            for c in res_cols:
+                out[c] = np.concatenate(parts[c])
+            out["_pid"] = pid
+            out["_first"] = first_flags
+            out["_kind"] = _KIND_ROW
+            out["_meta"] = None
+            yield out
         if first.seen:
             first.single = in_first
             yield _meta_frame(pid, _KIND_FIRST, first.key,
@@ -218,9 +226,10 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
             seg = pd.concat(pending, ignore_index=True).sort_values(order_cols, kind="stable")
             seg = seg.reset_index(drop=True)
             k = _key_values(seg[key])[0]
-            res, _ = fold.step(k, seg[in_cols], pickle.loads(entry))
+            res, _ = fold.step(k, {c: seg[c].to_numpy() for c in fold.input_cols},
+                               pickle.loads(entry))
             for c in res_cols:
-                seg[c] = res[c].to_numpy()
+                seg[c] = np.asarray(res[c])
             yield seg[all_cols]
 
     return joined.mapInPandas(pass2, schema=p2_schema)
@@ -232,7 +241,9 @@ def brute_force_fold(pdf: pd.DataFrame, key: str, order: list[str], fold: KeyFol
     outs = []
     for k, seg in pdf.groupby(key, sort=False, dropna=False):
         kk = None if (isinstance(k, float) and np.isnan(k)) else k
-        res, _ = fold.step(kk, seg.reset_index(drop=True), fold.init(kk))
-        outs.append(pd.concat([seg.reset_index(drop=True), res.reset_index(drop=True)], axis=1))
+        seg = seg.reset_index(drop=True)
+        res, _ = fold.step(kk, {c: seg[c].to_numpy() for c in fold.input_cols}, fold.init(kk))
+        for c, v in res.items():
+            seg[c] = np.asarray(v)
+        outs.append(seg)
     return pd.concat(outs, ignore_index=True)
-

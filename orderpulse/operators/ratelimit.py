@@ -16,7 +16,6 @@ spreads a hot tenant over many tasks.  Per slice the fold is vectorised: one
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,20 +144,21 @@ class RateFold(KeyFold):
     def __init__(self, time_col: str = "req_ms", width: int = WINDOW_MS):
         self.time_col = time_col
         self.width = int(width)
+        self.input_cols = (time_col,)
 
     def init(self, key):
         return (None, 0)
 
     def step(self, key, seg, state):
-        t = seg[self.time_col].to_numpy(dtype=np.int64)
+        t = np.asarray(seg[self.time_col], dtype=np.int64)
         ws, cnt, w, c = window_scan(t, state[0], int(state[1]), self.width)
-        return pd.DataFrame({"window_start": ws, "request_count": cnt}), (w, c)
+        return {"window_start": ws, "request_count": cnt}, (w, c)
 
     def tf_identity(self):
         return _RateTF()
 
     def tf_step(self, tf, seg):
-        tf.step(seg[self.time_col].to_numpy(dtype=np.int64), self.width)
+        tf.step(np.asarray(seg[self.time_col], dtype=np.int64), self.width)
         return tf
 
     def tf_finish(self, tf):

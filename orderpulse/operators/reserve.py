@@ -16,7 +16,6 @@ most ``initial_stock`` jumps plus a linear scan, however many rows it has.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,16 +69,17 @@ class StockFold(KeyFold):
     def __init__(self, initial_stock: int = DEFAULT_STOCK, qty_col: str = "quantity"):
         self.initial = int(initial_stock)
         self.qty_col = qty_col
+        self.input_cols = (qty_col,)
 
     def init(self, key):
         return self.initial
 
     def step(self, key, seg, state):
-        q = seg[self.qty_col].to_numpy(dtype=np.int64)
+        q = np.asarray(seg[self.qty_col], dtype=np.int64)
         taken, left = reserve_scan(q, int(state))
         remaining = int(state) - np.cumsum(np.where(taken, q, 0))
-        return pd.DataFrame({"status": np.where(taken, RESERVED, OUT_OF_STOCK),
-                             "remaining": remaining.astype(np.int32)}), left
+        return {"status": np.where(taken, RESERVED, OUT_OF_STOCK).astype(object),
+                "remaining": remaining.astype(np.int32)}, left
 
     # Transfer function: the exit stock for every possible entry stock 0..initial.
     # Each applied order lowers the largest entry, so at most `initial` orders
@@ -88,7 +88,7 @@ class StockFold(KeyFold):
         return np.arange(self.initial + 1, dtype=np.int64)
 
     def tf_step(self, tf, seg):
-        q = seg[self.qty_col].to_numpy(dtype=np.int64)
+        q = np.asarray(seg[self.qty_col], dtype=np.int64)
         if (q <= 0).any():
             for v in q:
                 tf = np.where(tf >= v, tf - v, tf)

@@ -621,3 +621,124 @@ def q_rate_limit_alt(spark, d):
     from ..functions.plans import rate_limit_alt
     r = tb.requests_log(spark, d)
     return r.select("request_id", "tenant_id", "plan", rate_limit_alt(F.col("plan")).alias("rate_limit"))
+
+
+# --------------------------------------------------------------------------
+# Webhook delivery state machine: T3, P17, J6, J7
+# --------------------------------------------------------------------------
+NOW = "2024-01-20 00:00:00"
+_BACKOFF = "(CASE WHEN {c} >= 3 THEN 300 WHEN {c} = 2 THEN 120 WHEN {c} = 1 THEN 60 ELSE 30 END) * 1000000"
+T3_SQL = f"""
+a AS (SELECT delivery_id, attempt_id, http_status AS h, error AS e, epoch_us(ts) AS ts_us,
+             row_number() OVER (PARTITION BY delivery_id ORDER BY ts, attempt_id) AS rn
+      FROM v_attempts),
+d AS (
+  SELECT DISTINCT delivery_id, CAST(0 AS BIGINT) AS rn, 'PENDING' AS st, 0 AS cnt,
+         CAST(NULL AS INTEGER) AS http, CAST(NULL AS VARCHAR) AS err, CAST(NULL AS BIGINT) AS nxt,
+         CAST(NULL AS BIGINT) AS dlv, false AS ign
+  FROM a
+  UNION ALL
+  SELECT a.delivery_id, a.rn,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.st
+         WHEN a.h IS NULL THEN 'FAILED'
+         WHEN a.h BETWEEN 200 AND 299 THEN 'DELIVERED'
+         WHEN d.cnt + 1 < 5 THEN 'FAILED' ELSE 'EXHAUSTED' END,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.cnt
+         WHEN a.h IS NULL THEN d.cnt + 1
+         WHEN a.h BETWEEN 200 AND 299 THEN d.cnt + 1
+         WHEN d.cnt + 1 < 5 THEN d.cnt + 2 ELSE d.cnt + 1 END,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.http
+         WHEN a.h IS NULL THEN d.http ELSE a.h END,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.err
+         WHEN a.h IS NULL THEN a.e
+         WHEN a.h BETWEEN 200 AND 299 THEN NULL
+         WHEN d.cnt + 1 < 5 THEN 'HTTP ' || CAST(a.h AS VARCHAR) ELSE NULL END,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.nxt
+         WHEN a.h IS NULL THEN a.ts_us + {_BACKOFF.format(c='d.cnt')}
+         WHEN a.h BETWEEN 200 AND 299 THEN d.nxt
+         WHEN d.cnt + 1 < 5 THEN a.ts_us + {_BACKOFF.format(c='(d.cnt + 1)')} ELSE d.nxt END,
+    CASE WHEN d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5 THEN d.dlv
+         WHEN a.h BETWEEN 200 AND 299 THEN a.ts_us ELSE d.dlv END,
+    d.st IN ('DELIVERED','EXHAUSTED') OR d.cnt >= 5
+  FROM d JOIN a ON a.delivery_id = d.delivery_id AND a.rn = d.rn + 1),
+fin AS (
+  SELECT delivery_id, st AS status, CAST(cnt AS BIGINT) AS attempt_count,
+         CAST(http AS BIGINT) AS last_http_status, err AS last_error,
+         nxt AS next_attempt_at, dlv AS delivered_at,
+         (SELECT count(*) FROM d d2 WHERE d2.delivery_id = d.delivery_id AND d2.rn > 0 AND NOT d2.ign)
+           AS outcomes_used,
+         rn AS outcomes_seen, st = 'FAILED' AND cnt >= 5 AS stuck
+  FROM d QUALIFY rn = max(rn) OVER (PARTITION BY delivery_id))"""
+
+# The delivery table as it stood at NOW: only outcomes up to NOW are folded.
+T3_ASOF_SQL = T3_SQL.replace("FROM v_attempts),", f"FROM v_attempts WHERE ts <= TIMESTAMP '{NOW}'),")
+assert T3_ASOF_SQL != T3_SQL
+
+_DS_COLS = ("delivery_id, status, attempt_count, last_http_status, last_error, next_attempt_at, "
+            "delivered_at, outcomes_used, outcomes_seen, stuck")
+
+
+def _deliveries(spark, d, as_of: str | None = None):
+    from ..operators.delivery import delivery_status
+    a = tb.attempts(spark, d)
+    if as_of is not None:
+        a = a.filter(F.col("ts") <= F.lit(as_of).cast("timestamp"))
+    return delivery_status(a)
+
+
+@register("delivery_status", W("WITH RECURSIVE " + T3_SQL + f"\nSELECT {_DS_COLS} FROM fin",
+                               "v_attempts"), "T3, F9, Q1, Q2")
+def q_delivery_status(spark, d):
+    return _deliveries(spark, d).select(*_DS_COLS.split(", "))
+
+
+@register("delivery_summary", W("WITH RECURSIVE " + T3_SQL + """
+SELECT status, stuck, count(*) AS deliveries FROM fin GROUP BY status, stuck""", "v_attempts"), "T3")
+def q_delivery_summary(spark, d):
+    return _deliveries(spark, d).groupBy("status", "stuck").agg(F.count(F.lit(1)).alias("deliveries"))
+
+
+@register("due_retries", W("WITH RECURSIVE " + T3_ASOF_SQL + f"""
+SELECT {_DS_COLS} FROM fin
+WHERE status = 'FAILED' AND (next_attempt_at IS NULL OR next_attempt_at <= epoch_us(TIMESTAMP '{NOW}'))
+  AND attempt_count < 5
+ORDER BY next_attempt_at NULLS FIRST, delivery_id LIMIT 50""", "v_attempts"), "P17, L2")
+def q_due_retries(spark, d):
+    from ..operators.delivery import due_retries
+    return due_retries(_deliveries(spark, d, NOW), F.lit(NOW).cast("timestamp")).select(
+        *_DS_COLS.split(", "))
+
+
+def _delivery_meta(spark, d):
+    a = tb.attempts(spark, d).select("delivery_id").distinct()
+    return a.select("delivery_id", (F.col("delivery_id") % 120).cast("string").alias("endpoint_id"),
+                    (F.col("delivery_id") % 120 % 25).cast("string").alias("tenant_id"))
+
+
+_META_SQL = """
+meta AS (SELECT DISTINCT delivery_id, CAST(delivery_id % 120 AS VARCHAR) AS endpoint_id,
+                CAST(delivery_id % 120 % 25 AS VARCHAR) AS tenant_id FROM v_attempts)"""
+
+
+@register("retry_batch", W("WITH RECURSIVE " + T3_ASOF_SQL + "," + _META_SQL + f"""
+SELECT r.delivery_id, r.status, r.attempt_count, m.endpoint_id, e.url, e.status AS endpoint_status
+FROM (SELECT * FROM fin
+      WHERE status = 'FAILED' AND (next_attempt_at IS NULL OR next_attempt_at <= epoch_us(TIMESTAMP '{NOW}'))
+        AND attempt_count < 5
+      ORDER BY next_attempt_at NULLS FIRST, delivery_id LIMIT 50) r
+JOIN meta m ON m.delivery_id = r.delivery_id JOIN v_endpoints e ON e.id = m.endpoint_id""",
+                           "v_attempts", "v_endpoints"), "J6")
+def q_retry_batch(spark, d):
+    from ..operators.delivery import due_retries, retry_batch
+    due = due_retries(_deliveries(spark, d, NOW), F.lit(NOW).cast("timestamp"))
+    b = retry_batch(due, _delivery_meta(spark, d), tb.endpoints(spark, d))
+    return b.select("delivery_id", "status", "attempt_count", "endpoint_id", "url", "endpoint_status")
+
+
+@register("endpoint_deliveries", W("WITH " + _META_SQL + """
+SELECT m.delivery_id, m.endpoint_id, m.tenant_id FROM meta m
+WHERE EXISTS (SELECT 1 FROM v_endpoints e WHERE e.id = m.endpoint_id AND e.id = '7' AND e.tenant_id = '7')""",
+                                   "v_attempts", "v_endpoints"), "J7")
+def q_endpoint_deliveries(spark, d):
+    from ..operators.delivery import endpoint_deliveries
+    return endpoint_deliveries(_delivery_meta(spark, d), tb.endpoints(spark, d), "7", "7")
