@@ -742,3 +742,75 @@ WHERE EXISTS (SELECT 1 FROM v_endpoints e WHERE e.id = m.endpoint_id AND e.id =
 def q_endpoint_deliveries(spark, d):
     from ..operators.delivery import endpoint_deliveries
     return endpoint_deliveries(_delivery_meta(spark, d), tb.endpoints(spark, d), "7", "7")
+
+
+# --------------------------------------------------------------------------
+# Outbox: S6, S7, L1, T4, T8, A7, A8
+# --------------------------------------------------------------------------
+from ..operators import outbox as obx  # noqa: E402
+
+_DECODED_SQL = """
+dec AS (
+  SELECT id, topic, json_extract_string(CASE WHEN json_valid(js) THEN js ELSE 'null' END, '$.orderId') AS order_id
+  FROM (SELECT id, topic, decode(from_base64(payload)) AS js FROM v_outbox))"""
+
+
+@register("decode_outbox", W("WITH " + _DECODED_SQL + """
+SELECT id, topic, order_id IS NOT NULL AS ok, order_id,
+       CASE WHEN order_id IS NULL THEN 'undecodable payload' END AS error FROM dec""", "v_outbox"),
+          "S6, F13")
+def q_decode_outbox(spark, d):
+    return obx.decode_outbox(tb.outbox(spark, d))
+
+
+@register("outbox_pending", W("SELECT count(*) FILTER (WHERE processed_at IS NULL) AS pending FROM v_outbox",
+                              "v_outbox"), "A7, Q12")
+def q_outbox_pending(spark, d):
+    return obx.outbox_pending(tb.outbox(spark, d))
+
+
+@register("outbox_batch", W("""
+SELECT id, aggregate_id, epoch_us(created_at) AS created_at FROM v_outbox WHERE processed_at IS NULL
+ORDER BY created_at, id LIMIT 100""", "v_outbox"), "L1")
+def q_outbox_batch(spark, d):
+    return obx.outbox_batch(tb.outbox(spark, d)).select("id", "aggregate_id", "created_at")
+
+
+@register("outbox_relay", W("""
+SELECT id, topic, aggregate_id, row_number() OVER (ORDER BY created_at, id) AS position,
+       (row_number() OVER (ORDER BY created_at, id) - 1) // 100 AS cycle
+FROM v_outbox WHERE processed_at IS NULL""", "v_outbox"), "S7")
+def q_outbox_relay(spark, d):
+    return obx.outbox_relay(tb.outbox(spark, d))
+
+
+@register("outbox_dead_scan", W("""
+SELECT id, CAST(retry_count AS BIGINT) AS retry_count, epoch_us(created_at) AS created_at FROM v_outbox
+WHERE retry_count >= 5 AND processed_at IS NULL ORDER BY created_at, id LIMIT 10""", "v_outbox"), "T8, L2, Q3")
+def q_outbox_dead_scan(spark, d):
+    return obx.outbox_dead_scan(tb.outbox(spark, d)).select("id", "retry_count", "created_at")
+
+
+_T4_SQL = _DECODED_SQL + """,
+t4 AS (
+  SELECT o.id,
+         CASE WHEN o.processed_at IS NOT NULL THEN true ELSE true END AS processed,
+         CAST(CASE WHEN o.processed_at IS NOT NULL OR d.order_id IS NOT NULL THEN o.retry_count
+                   ELSE o.retry_count + greatest(1, 5 - o.retry_count) END AS BIGINT) AS retry_count,
+         CASE WHEN o.processed_at IS NULL AND d.order_id IS NULL THEN 'undecodable payload' END AS last_error,
+         o.processed_at IS NULL AND d.order_id IS NULL AS dead,
+         epoch_us(CASE WHEN o.processed_at IS NOT NULL THEN o.processed_at
+                       WHEN d.order_id IS NOT NULL THEN o.created_at + INTERVAL 1 SECOND
+                       ELSE o.created_at + to_seconds(greatest(1, 5 - o.retry_count)) END) AS processed_at
+  FROM v_outbox o JOIN dec d ON d.id = o.id)"""
+
+
+@register("outbox_status", W("WITH " + _T4_SQL + "\nSELECT * FROM t4", "v_outbox"), "T4, F8")
+def q_outbox_status(spark, d):
+    return obx.outbox_status(tb.outbox(spark, d))
+
+
+@register("outbox_dead_count", W("WITH " + _T4_SQL + "\nSELECT count(*) FILTER (WHERE dead) AS dead_letters FROM t4",
+                                 "v_outbox"), "A8")
+def q_outbox_dead_count(spark, d):
+    return obx.outbox_dead_count(obx.outbox_status(tb.outbox(spark, d)))
