@@ -814,3 +814,120 @@ def q_outbox_status(spark, d):
                                  "v_outbox"), "A8")
 def q_outbox_dead_count(spark, d):
     return obx.outbox_dead_count(obx.outbox_status(tb.outbox(spark, d)))
+
+
+# --------------------------------------------------------------------------
+# Webhooks: U1, P20, F4, F5, F3, J5, F1; usage of all counters A2, A3, A5
+# --------------------------------------------------------------------------
+from ..operators import webhooks as wh  # noqa: E402
+
+_ISO = ("strftime({c}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN (epoch_us({c}) // 1000) % 1000 <> 0 THEN '.' || "
+        "lpad(CAST((epoch_us({c}) // 1000) % 1000 AS VARCHAR), 3, '0') ELSE '' END || 'Z'")
+EVENTS_SQL = COMPLETION_SQL + f""",
+ev AS (
+  SELECT tenant_id, 'order.placed' AS event_type, order_id AS event_id,
+         '{{"event":"order.placed","orderId":"' || order_id || '","customerId":"' || customer_id
+         || '","productId":"' || product_id || '","quantity":' || CAST(quantity AS VARCHAR)
+         || ',"currency":"' || currency || '","tenantId":"' || tenant_id || '","placedAt":"'
+         || {_ISO.format(c='placed_at')} || '"}}' AS payload, placed_at AS event_time
+  FROM v_orders
+  UNION ALL
+  SELECT tenant_id, 'payment.failed', order_id,
+         '{{"event":"payment.failed","orderId":"' || order_id || '","paymentId":"'
+         || substr(sha256('payment:' || order_id), 1, 32) || '","tenantId":"' || tenant_id
+         || '","processedAt":"' || {_ISO.format(c='placed_at')} || '"}}', placed_at
+  FROM v_orders WHERE amount > 1000.00
+  UNION ALL
+  SELECT tenant_id, CASE WHEN status = 'CONFIRMED' THEN 'order.completed' ELSE 'order.rejected' END, order_id,
+         '{{"event":"' || CASE WHEN status = 'CONFIRMED' THEN 'order.completed' ELSE 'order.rejected' END
+         || '","orderId":"' || order_id || '","status":"' || status || '","tenantId":"' || tenant_id
+         || '","completedAt":"' || {_ISO.format(c='completed_at')} || '"}}', completed_at
+  FROM comp),
+subs AS (
+  SELECT DISTINCT endpoint_id, tenant_id, trim(x) AS event_type
+  FROM (SELECT id AS endpoint_id, tenant_id, unnest(string_split(event_types, ',')) AS x
+        FROM v_endpoints WHERE status = 'ACTIVE')),
+fan AS (
+  SELECT substr(sha256(s.endpoint_id || ':' || e.event_type || ':' || e.event_id), 1, 32) AS delivery_id,
+         s.endpoint_id, e.tenant_id, e.event_type, e.event_id, e.payload, 'PENDING' AS status,
+         CAST(0 AS BIGINT) AS attempt_count, e.event_time AS created_at
+  FROM ev e JOIN subs s ON s.tenant_id = e.tenant_id AND s.event_type = e.event_type)"""
+
+
+def _events(spark, d):
+    o = tb.orders_stream(spark, d)
+    return wh.webhook_events(o, sg.payment_decision(o), sg.saga(o))
+
+
+def _fanout(spark, d):
+    return wh.webhook_fanout(_events(spark, d), tb.endpoints(spark, d))
+
+
+@register("webhook_events", W("WITH RECURSIVE " + EVENTS_SQL + """
+SELECT tenant_id, event_type, event_id, payload, epoch_us(event_time) AS event_time FROM ev""",
+                              "v_orders"), "U1, P20, F4, F5")
+def q_webhook_events(spark, d):
+    return _events(spark, d)
+
+
+@register("subscriptions", W("WITH " + """
+subs AS (
+  SELECT DISTINCT endpoint_id, tenant_id, trim(x) AS event_type
+  FROM (SELECT id AS endpoint_id, tenant_id, unnest(string_split(event_types, ',')) AS x
+        FROM v_endpoints WHERE status = 'ACTIVE'))
+SELECT endpoint_id, tenant_id, event_type FROM subs""", "v_endpoints"), "F3")
+def q_subscriptions(spark, d):
+    return wh.subscriptions(tb.endpoints(spark, d))
+
+
+@register("webhook_fanout", W("WITH RECURSIVE " + EVENTS_SQL + """
+SELECT delivery_id, endpoint_id, tenant_id, event_type, event_id, payload, status, attempt_count,
+       epoch_us(created_at) AS created_at FROM fan""", "v_orders", "v_endpoints"), "J5")
+def q_webhook_fanout(spark, d):
+    return _fanout(spark, d)
+
+
+@register("sign_payloads", None, "F1")
+def q_sign_payloads(spark, d):
+    return wh.sign_payloads(_fanout(spark, d), tb.endpoints(spark, d))
+
+
+_ALL_USAGE_SQL = EVENTS_SQL + """,
+a AS (SELECT tenant_id, CAST(year(placed_at) AS BIGINT) AS y, CAST(month(placed_at) AS BIGINT) AS m,
+             count(*) AS n FROM v_lines WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+b AS (SELECT tenant_id, CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m,
+             count(*) AS n FROM fan WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+c AS (SELECT tenant_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m,
+             count(*) AS n FROM v_requests WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+keys AS (SELECT tenant_id, y, m FROM a UNION SELECT tenant_id, y, m FROM b UNION SELECT tenant_id, y, m FROM c),
+usage_all AS (
+  SELECT k.tenant_id, k.y AS billing_year, k.m AS billing_month,
+         coalesce(a.n, 0) AS order_count, coalesce(b.n, 0) AS webhook_delivery_count,
+         coalesce(c.n, 0) AS api_call_count,
+         CASE WHEN upper(coalesce(t.plan, 'FREE')) IN ('FREE','STARTER','PRO','ENTERPRISE')
+              THEN upper(coalesce(t.plan, 'FREE')) ELSE 'FREE' END AS plan
+  FROM keys k LEFT JOIN a USING (tenant_id, y, m) LEFT JOIN b USING (tenant_id, y, m)
+       LEFT JOIN c USING (tenant_id, y, m) LEFT JOIN v_tenants t ON t.id = k.tenant_id)"""
+
+
+def _usage_all(spark, d):
+    req = tb.requests_log(spark, d)
+    return met.monthly_usage_all(tb.order_lines(spark, d), _fanout(spark, d), req, tb.tenants(spark, d))
+
+
+@register("monthly_usage_all", W("WITH RECURSIVE " + _ALL_USAGE_SQL + f"\nSELECT {_USAGE_COLS} FROM usage_all",
+                                 "v_orders", "v_endpoints", "v_lines", "v_requests", "v_tenants"), "A1, A2, A3")
+def q_monthly_usage_all(spark, d):
+    return _usage_all(spark, d).select(*_USAGE_COLS.split(", "))
+
+
+_WQ = ("CASE {p} WHEN 'FREE' THEN 0 WHEN 'STARTER' THEN 500 WHEN 'PRO' THEN 10000 ELSE 2147483647 END")
+
+
+@register("webhook_quota", W("WITH RECURSIVE " + _ALL_USAGE_SQL + f"""
+SELECT tenant_id, billing_year, billing_month, plan, webhook_delivery_count,
+       CAST({_WQ.format(p='plan')} AS BIGINT) AS webhook_quota,
+       webhook_delivery_count >= {_WQ.format(p='plan')} AS exceeded FROM usage_all""",
+                             "v_orders", "v_endpoints", "v_lines", "v_requests", "v_tenants"), "A5")
+def q_webhook_quota(spark, d):
+    return met.webhook_quota_check(_usage_all(spark, d))
