@@ -931,3 +931,128 @@ SELECT tenant_id, billing_year, billing_month, plan, webhook_delivery_count,
                              "v_orders", "v_endpoints", "v_lines", "v_requests", "v_tenants"), "A5")
 def q_webhook_quota(spark, d):
     return met.webhook_quota_check(_usage_all(spark, d))
+
+
+# --------------------------------------------------------------------------
+# Retries and dead letters: T7, P18
+# --------------------------------------------------------------------------
+from ..operators import retries as rt  # noqa: E402
+
+# Error classes of the broken requests (ours): what the order listener would raise.
+_FAIL_SQL = """
+f AS (SELECT order_id AS record_id,
+             CASE seq % 50 WHEN 0 THEN 'IllegalArgumentException' WHEN 1 THEN 'TransientException'
+                  WHEN 2 THEN 'SerializationException' ELSE 'IllegalStateException' END AS error_class
+      FROM v_requests_bad WHERE seq % 50 < 4)"""
+_FATAL = "('SerializationException', 'IllegalArgumentException', 'IllegalStateException')"
+
+
+def _failures(spark, d):
+    r = tb.bad_requests(spark, d).filter(F.col("seq") % 50 < 4)
+    m = F.col("seq") % 50
+    cls = (F.when(m == 0, "IllegalArgumentException").when(m == 1, "TransientException")
+            .when(m == 2, "SerializationException").otherwise("IllegalStateException"))
+    return r.select(F.col("order_id").alias("record_id"), cls.alias("error_class"))
+
+
+@register("retry_schedule", W("WITH " + _FAIL_SQL + f"""
+SELECT record_id, error_class, CAST(attempt AS BIGINT) AS attempt,
+       CAST(CASE WHEN attempt = 1 THEN 0 ELSE least(30000.0, 500 * pow(2.0, attempt - 2)) END AS BIGINT) AS delay_ms,
+       'orders.placed' AS topic
+FROM f CROSS JOIN range(1, 7) AS r(attempt)
+WHERE attempt = 1 OR error_class NOT IN {_FATAL}""", "v_requests_bad"), "T7")
+def q_retry_schedule(spark, d):
+    return rt.retry_schedule(_failures(spark, d), rt.ORDER_LISTENER, "orders.placed")
+
+
+@register("dead_letters", W("WITH " + _FAIL_SQL + f"""
+SELECT record_id, error_class,
+       CAST(CASE WHEN error_class IN {_FATAL} THEN 1 ELSE 6 END AS BIGINT) AS attempts,
+       CAST(CASE WHEN error_class IN {_FATAL} THEN 0 ELSE 500 + 1000 + 2000 + 4000 + 8000 END AS BIGINT)
+         AS total_delay_ms,
+       'orders.placed.DLT' AS dlt_topic
+FROM f""", "v_requests_bad"), "T7")
+def q_dead_letters(spark, d):
+    return rt.dead_letters(_failures(spark, d), rt.ORDER_LISTENER, "orders.placed")
+
+
+@register("poison_split", W("WITH RECURSIVE " + COMPLETION_SQL + """
+SELECT order_id, status, coalesce(starts_with(order_id, 'fail'), false) AS poison FROM comp""", "v_orders"),
+          "P18, F14")
+def q_poison_split(spark, d):
+    return rt.poison_split(sg.saga(tb.orders_stream(spark, d))).select("order_id", "status", "poison")
+
+
+@register("notification_retries", W("WITH RECURSIVE " + COMPLETION_SQL + """
+SELECT order_id AS record_id, 'IllegalStateException' AS error_class, CAST(attempt AS BIGINT) AS attempt,
+       CAST(CASE WHEN attempt = 1 THEN 0 ELSE least(30000.0, 1000 * pow(2.0, attempt - 2)) END AS BIGINT) AS delay_ms,
+       CASE WHEN attempt = 1 THEN 'orders.completed' ELSE 'orders.completed-retry-' || CAST(attempt - 2 AS VARCHAR) END AS topic
+FROM comp CROSS JOIN range(1, 5) AS r(attempt) WHERE starts_with(order_id, 'fail')""", "v_orders"), "T7, P18")
+def q_notification_retries(spark, d):
+    p = rt.poison_split(sg.saga(tb.orders_stream(spark, d))).filter("poison")
+    fails = p.select(F.col("order_id").alias("record_id"), F.lit("IllegalStateException").alias("error_class"))
+    return rt.retry_schedule(fails, rt.NOTIFICATION, "orders.completed")
+
+
+# --------------------------------------------------------------------------
+# Metrics: A9, A10, A11, F11
+# --------------------------------------------------------------------------
+from ..operators import metrics as mx  # noqa: E402
+
+
+@register("orders_per_minute", W("""
+WITH w AS (
+  SELECT time_bucket(INTERVAL 30 SECOND, placed_at) AS s FROM v_orders
+  UNION ALL
+  SELECT time_bucket(INTERVAL 30 SECOND, placed_at) - INTERVAL 30 SECOND FROM v_orders)
+SELECT epoch_us(s) AS window_start, epoch_us(s + INTERVAL 1 MINUTE) AS window_end, count(*) AS orders
+FROM w GROUP BY s""", "v_orders"), "A9")
+def q_orders_per_minute(spark, d):
+    return mx.orders_per_minute(tb.orders_stream(spark, d))
+
+
+def _hist_sql() -> str:
+    b = tb.LATENCY_BUCKETS
+    res = f"{b[-1]!r}"
+    for i in reversed(range(len(b))):
+        lo = "0.0" if i == 0 else repr(b[i - 1])
+        c_lo = "0" if i == 0 else f"c{i - 1}"
+        val = f"({lo} + ({b[i]!r} - {lo}) * (0.99 * total - {c_lo}) / ({'c' + str(i)} - {c_lo}))"
+        res = f"CASE WHEN c{i} >= 0.99 * total THEN {val} ELSE {res} END"
+    cnts = ", ".join(f"count(*) FILTER (WHERE seconds <= {le!r}) AS c{i}" for i, le in enumerate(b))
+    return (f"WITH h AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, count(*) AS total, {cnts} "
+            f"FROM v_latency GROUP BY 1)\nSELECT epoch_us(s) AS window_start, total, {res} AS p99_seconds FROM h")
+
+
+@register("latency_p99_hist", W(_hist_sql(), "v_latency"), "A10")
+def q_latency_p99_hist(spark, d):
+    return mx.latency_p99_hist(tb.latency(spark, d), tb.LATENCY_BUCKETS)
+
+
+@register("latency_p99", W("""
+SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_start, count(*) AS total,
+       quantile_cont(seconds, 0.99) AS p99_seconds FROM v_latency GROUP BY 1""", "v_latency"), "A10")
+def q_latency_p99(spark, d):
+    return mx.latency_p99(tb.latency(spark, d))
+
+
+@register("failure_rate", W("""
+SELECT request_id, tenant_id, calls, failures, failures / calls AS failure_rate,
+       calls = 20 AND failures / calls >= 0.5 AS flagged
+FROM (SELECT request_id, tenant_id,
+             count(*) OVER w AS calls,
+             sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS failures
+      FROM v_requests
+      WINDOW w AS (PARTITION BY tenant_id ORDER BY ts, request_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))""",
+                          "v_requests"), "A11, W2")
+def q_failure_rate(spark, d):
+    r = tb.requests_log(spark, d).withColumn("failed", F.col("event_type") == "error")
+    f = mx.failure_rate(r, "tenant_id", ["ts", "request_id"])
+    return f.select("request_id", "tenant_id", "calls", "failures", "failure_rate", "flagged")
+
+
+@register("log_trace_ids", W("""
+SELECT conv_id, turn, nullif(regexp_extract(line, '"traceId":"(\\w+)"', 1), '') AS trace_id FROM v_logs""",
+                             "v_logs"), "F11")
+def q_log_trace_ids(spark, d):
+    return mx.log_trace_ids(tb.logs(spark, d)).select("conv_id", "turn", "trace_id")
