@@ -117,6 +117,8 @@ def with_views(sql: str, *names: str, recursive: bool = False) -> str:
         if n not in order:
             order.append(n)
     body = sql.strip()
+    if not order:
+        return body
     tail = None
     for prefix in ("WITH RECURSIVE ", "WITH "):
         if body.upper().startswith(prefix):

@@ -1056,3 +1056,32 @@ SELECT conv_id, turn, nullif(regexp_extract(line, '"traceId":"(\\w+)"', 1), '')
                              "v_logs"), "F11")
 def q_log_trace_ids(spark, d):
     return mx.log_trace_ids(tb.logs(spark, d)).select("conv_id", "turn", "trace_id")
+
+
+# --------------------------------------------------------------------------
+# Sources: S3 record decoding with defaults, S8 sample orders
+# --------------------------------------------------------------------------
+from ..sources import topics as tp  # noqa: E402
+
+
+@register("decode_events", W("""
+SELECT order_id, customer_id, product_id, CAST(quantity AS BIGINT) AS quantity, CAST(amount AS DOUBLE) AS amount,
+       'USD' AS currency, (epoch_us(placed_at) // 1000) * 1000 AS placed_at, correlation_id,
+       CASE WHEN seq % 6 = 0 THEN '' ELSE tenant_id END AS tenant_id
+FROM v_orders""", "v_orders"), "S3")
+def q_decode_events(spark, d):
+    o = tb.orders_stream(spark, d, keep_seq=True)
+    recs = tp.encode_order_records(o, omit_currency=(F.col("seq") % 4 == 0),
+                                   omit_tenant=(F.col("seq") % 6 == 0))
+    return tp.decode_events(recs)
+
+
+@register("sample_orders", W("""
+SELECT 'load-' || CAST(event_id AS VARCHAR) AS order_id,
+       'cust-' || CAST((event_id * 7 + 3) % 10 AS VARCHAR) AS customer_id,
+       'prod-' || CAST((event_id * 13 + 5) % 5 AS VARCHAR) AS product_id,
+       CAST((event_id * 31 + 7) % 5 + 1 AS BIGINT) AS quantity,
+       CAST((event_id * 97 + 11) % 1500 + 10 AS DOUBLE) AS amount, 'USD' AS currency
+FROM events"""), "S8")
+def q_sample_orders(spark, d):
+    return tp.sample_orders(tb.read_table(spark, d, "events"))
