@@ -1085,3 +1085,40 @@ SELECT 'load-' || CAST(event_id AS VARCHAR) AS order_id,
 FROM events"""), "S8")
 def q_sample_orders(spark, d):
     return tp.sample_orders(tb.read_table(spark, d, "events"))
+
+
+# --------------------------------------------------------------------------
+# Remaining finders and ids: P14, T5 (endpoints), F10
+# --------------------------------------------------------------------------
+@register("tenant_deliveries", W("WITH RECURSIVE " + EVENTS_SQL + f"""
+SELECT delivery_id, endpoint_id, event_type, event_id, epoch_us(created_at) AS created_at
+FROM fan WHERE tenant_id = '{TENANT}'""", "v_orders", "v_endpoints"), "P14, L3")
+def q_tenant_deliveries(spark, d):
+    f = _fanout(spark, d).filter(F.col("tenant_id") == TENANT)
+    return f.orderBy(F.col("created_at").desc(), "delivery_id").select(
+        "delivery_id", "endpoint_id", "event_type", "event_id", "created_at")
+
+
+@register("endpoint_status", W("""
+WITH cmd AS (
+  SELECT CAST(s_suppkey * 3 % 120 AS VARCHAR) AS id, 'disable' AS command, s_suppkey AS seq
+  FROM supplier WHERE s_suppkey % 4 = 1),
+latest AS (SELECT id, arg_max(command, seq) AS cmd FROM cmd GROUP BY id)
+SELECT coalesce(e.id, l.id) AS id, CASE WHEN e.status IS NULL THEN 'not_found'
+       WHEN l.cmd = 'disable' THEN 'DISABLED' ELSE e.status END AS status
+FROM v_endpoints e FULL JOIN latest l ON e.id = l.id""", "v_endpoints"), "T5")
+def q_endpoint_status(spark, d):
+    s = tb.read_table(spark, d, "supplier").filter(F.col("s_suppkey") % 4 == 1)
+    cmds = s.select((F.col("s_suppkey") * 3 % 120).cast("string").alias("id"),
+                    F.lit("disable").alias("command"), F.lit(None).cast("string").alias("arg"),
+                    F.col("s_suppkey").alias("seq"))
+    e = tb.endpoints(spark, d).select("id", F.lit(None).cast("string").alias("name"), "status")
+    return ten.apply_status_commands(e, cmds).select("id", "status")
+
+
+@register("api_keys", W("""
+SELECT id, slug, substr(sha256('api-key:' || id), 1, 32) AS api_key FROM v_tenants""", "v_tenants"), "F10")
+def q_api_keys(spark, d):
+    from ..functions.ids import api_key
+    t = tb.tenants(spark, d)
+    return t.select("id", "slug", api_key(F.col("id")).alias("api_key"))
