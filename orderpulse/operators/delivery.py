@@ -53,30 +53,36 @@ def transition(st, http, err, ts_us):
     return (FAILED, count + 1, last_http, err, ts_us + _backoff_us(count), delivered_at)
 
 
-def _outcomes(seg):
-    h = seg["http_status"]
-    e = seg["error"]
-    ts = np.asarray(seg["ts"]).astype("datetime64[us]").astype(np.int64)
-    hv = [None if (x is None or (isinstance(x, float) and np.isnan(x))) else int(x) for x in h]
-    return hv, e, ts
+_FIELDS = ("status", "attempt_count", "last_http_status", "last_error", "next_attempt_us", "delivered_us")
+
 
+def run(st, seg, want_rows: bool = True):
+    """Fold a slice from ``st``; returns (per-row state columns or None, ignored flags, exit state).
 
-def run(st, seg):
-    """Fold a slice; returns per-row state lists, ignored flags and the exit state."""
-    hv, e, ts = _outcomes(seg)
+    Python touches rows only until the state is terminal - at most 5 counted
+    outcomes - and fills the rest of the slice by array slicing.
+    """
+    ts = np.asarray(seg["ts"]).astype("datetime64[us]").astype(np.int64)
+    h = np.asarray(seg["http_status"], dtype=float)
+    e = seg["error"]
     n = len(ts)
-    rows = [None] * n
+    cols = [np.empty(n, dtype=object) for _ in _FIELDS] if want_rows else None
     ignored = np.zeros(n, dtype=bool)
-    for i in range(n):
-        if _absorbing(st):
-            ignored[i:] = True
-            for j in range(i, n):
-                rows[j] = st
-            break
+    i = 0
+    while i < n and not _absorbing(st):
+        http = None if np.isnan(h[i]) else int(h[i])
         err = e[i] if isinstance(e[i], str) else None
-        st = transition(st, hv[i], err, int(ts[i]))
-        rows[i] = st
-    return rows, ignored, st
+        st = transition(st, http, err, int(ts[i]))
+        if want_rows:
+            for c, v in zip(cols, st):
+                c[i] = v
+        i += 1
+    if i < n:
+        ignored[i:] = True
+        if want_rows:
+            for c, v in zip(cols, st):
+                c[i:] = v
+    return cols, ignored, st
 
 
 # Entry phases that are not terminal: PENDING with 0, FAILED with 1..4.
@@ -92,24 +98,16 @@ class DeliveryFold(KeyFold):
         return (PENDING, 0, None, None, None, None)
 
     def step(self, key, seg, state):
-        rows, ignored, st = run(state, seg)
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        out = {
-            "status": np.array(cols[0], dtype=object),
-            "attempt_count": np.array(cols[1], dtype=object),
-            "last_http_status": np.array(cols[2], dtype=object),
-            "last_error": np.array(cols[3], dtype=object),
-            "next_attempt_us": np.array(cols[4], dtype=object),
-            "delivered_us": np.array(cols[5], dtype=object),
-            "ignored": ignored,
-        }
+        cols, ignored, st = run(state, seg)
+        out = dict(zip(_FIELDS, cols))
+        out["ignored"] = ignored
         return out, st
 
     def tf_identity(self):
         return {p: (p[0], p[1], _INH, _INH, _INH, _INH) for p in _PHASES}
 
     def tf_step(self, tf, seg):
-        return {p: run(st, seg)[2] for p, st in tf.items()}
+        return {p: run(st, seg, want_rows=False)[2] for p, st in tf.items()}
 
     def tf_apply(self, tf, state):
         if _absorbing(state) or (state[0], state[1]) not in tf:

@@ -103,24 +103,33 @@ class OutboxFold(KeyFold):
     def init(self, key):
         return None
 
-    def _run(self, st, seg):
+    _FIELDS = ("processed", "new_retry_count", "last_error", "dead", "processed_us")
+
+    def _run(self, st, seg, want_rows: bool = True):
+        """Python touches rows only until the event is processed; the rest is filled by slicing."""
         ts = np.asarray(seg["ts"]).astype("datetime64[us]").astype(np.int64)
         base, ok, err = seg["retry_count"], seg["ok"], seg["error"]
-        rows = []
-        for i in range(len(ts)):
+        n = len(ts)
+        cols = [np.empty(n, dtype=object) for _ in self._FIELDS] if want_rows else None
+        i = 0
+        while i < n and not (st is not None and st[0]):
             e = err[i] if isinstance(err[i], str) else None
             st = _t4(st, int(base[i]), bool(ok[i]), e, int(ts[i]))
-            rows.append(st)
-        return rows, st
+            if want_rows:
+                for c, v in zip(cols, st):
+                    c[i] = v
+            i += 1
+        if want_rows and i < n:
+            for c, v in zip(cols, st):
+                c[i:] = v
+        return cols, st
 
     def step(self, key, seg, state):
-        rows, st = self._run(state, seg)
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        return {"processed": np.array(cols[0], dtype=bool),
-                "new_retry_count": np.array(cols[1], dtype=object),
-                "last_error": np.array(cols[2], dtype=object),
-                "dead": np.array(cols[3], dtype=bool),
-                "processed_us": np.array(cols[4], dtype=object)}, st
+        cols, st = self._run(state, seg)
+        out = dict(zip(self._FIELDS, cols))
+        out["processed"] = out["processed"].astype(bool)
+        out["dead"] = out["dead"].astype(bool)
+        return out, st
 
     # Entry classes: fresh (None) and unprocessed with retry 0..3 or >= 4; the
     # exit keeps the retry count relative to the entry (delta) for classes.
@@ -132,7 +141,7 @@ class OutboxFold(KeyFold):
     def tf_step(self, tf, seg):
         out = {}
         for c, st in tf.items():
-            out[c] = self._run(st, seg)[1]
+            out[c] = self._run(st, seg, want_rows=False)[1]
         return out
 
     def tf_apply(self, tf, state):
