@@ -108,12 +108,40 @@ def _key_values(col: pd.Series) -> np.ndarray:
     return col.astype(object).where(col.notna(), None).to_numpy()
 
 
+# Target bytes per range partition (input size as Catalyst estimates it).
+PARTITION_BYTES_CONF = "orderpulse.fold.partitionBytes"
+DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024
+
+
+def range_partitions(df: DataFrame) -> int:
+    """Partitions for a range cut: the session's shuffle partitions, or more when
+    the plan's estimated size needs them to keep each near the target size.
+
+    The estimate comes from the optimized plan's statistics, so no job runs to
+    size the cut.  Without cost-based statistics a join is estimated as a
+    product, so the estimate is capped by the summed size of the plan's leaf
+    scans - the bytes actually read.
+    """
+    spark = df.sparkSession
+    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = int(spark.conf.get(PARTITION_BYTES_CONF, str(DEFAULT_PARTITION_BYTES)))
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        est = int(str(plan.stats().sizeInBytes()))
+        leaves = plan.collectLeaves()
+        read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        est = min(est, read)
+    except Exception:  # noqa: BLE001 - statistics are best effort
+        est = 0
+    return max(base, -(-est // target))
+
+
 def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
                  num_partitions: int | None = None) -> DataFrame:
     """Fold ``fold`` over the rows of each ``key`` in ``order``; returns df + result columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     # every column nullable: meta rows leave the data columns empty
     in_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
     res_schema = T.StructType.fromDDL(fold.result_ddl)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .ordered_fold import range_partitions
 
 _LOCAL_BITS = 33  # monotonically_increasing_id: partition id in the upper 31 bits
 
@@ -22,7 +23,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
                       num_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or range_partitions(df)
     parted = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
                 .withColumn("_mid", F.monotonically_increasing_id())
                 .withColumn("_pid", F.shiftright("_mid", _LOCAL_BITS))
