@@ -21,10 +21,11 @@ all rows - to a single task.  Instead:
    key; a key spanning partitions chains the transfer functions in
    partition order, yielding the true entry state of every continuation
    segment.
-5. Pass 2 (``mapInPandas`` over the checkpointed partitions, after a
-   broadcast join with the resolved entries - at most one row per
-   partition): only first segments whose entry differs from the initial
-   state are folded again.  Everything else is passed through.
+5. Pass 2: only first segments whose entry differs from the initial state
+   are folded again (``mapInPandas`` over the checkpointed partitions, after
+   a broadcast join with the resolved entries - at most one row per
+   partition).  All other rows are read straight from the checkpoint by the
+   JVM and unioned back.
 
 The work is two linear passes over the data, fully parallel even when one key
 dominates; the only data that crosses tasks besides the range shuffle is the
@@ -111,6 +112,9 @@ def _key_values(col: pd.Series) -> np.ndarray:
 # Target bytes per range partition (input size as Catalyst estimates it).
 PARTITION_BYTES_CONF = "orderpulse.fold.partitionBytes"
 DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024
+MAX_PARTITIONS_CONF = "orderpulse.fold.maxPartitions"
+DEFAULT_MAX_PARTITIONS = 100_000
+_UNKNOWN_SIZE = 1 << 62  # Spark reports Long.MaxValue for sizes it cannot estimate
 
 
 def range_partitions(df: DataFrame) -> int:
@@ -129,11 +133,13 @@ def range_partitions(df: DataFrame) -> int:
         plan = df._jdf.queryExecution().optimizedPlan()
         est = int(str(plan.stats().sizeInBytes()))
         leaves = plan.collectLeaves()
-        read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+        read = sum(x for x in sizes if x < _UNKNOWN_SIZE)
         est = min(est, read)
     except Exception:  # noqa: BLE001 - statistics are best effort
         est = 0
-    return max(base, -(-est // target))
+    cap = int(spark.conf.get(MAX_PARTITIONS_CONF, str(DEFAULT_MAX_PARTITIONS)))
+    return int(min(cap, max(base, -(-est // target))))
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
@@ -235,32 +241,29 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
     rows = p1.filter(F.col("_kind") == _KIND_ROW).drop("_kind", "_meta")
     # fixes has at most one row per partition, so its size is bounded by n.
     joined = rows.join(F.broadcast(fixes), rows["_pid"] == fixes["_fix_pid"], "left")
+    need = F.col("_first") & F.col("_entry").isNotNull()
+    # Rows outside continuation slices never go back to Python: a JVM scan of
+    # the checkpoint.  Only the (at most n) continuation slices are re-folded,
+    # each in the task of its own partition (filter and join keep partitioning).
+    keep = joined.filter(~need).select(*all_cols)
     p2_schema = T.StructType(list(in_schema.fields) + list(res_schema.fields))
     order_cols = list(order)
 
     def pass2(batches):
-        pending, entry = [], None
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            need = pdf["_first"].to_numpy(dtype=bool) & pdf["_entry"].notna().to_numpy()
-            if need.any():
-                entry = pdf["_entry"].to_numpy()[np.flatnonzero(need)[0]]
-                pending.append(pdf.loc[need])
-            rest = pdf.loc[~need]
-            if len(rest):
-                yield rest[all_cols]
-        if pending:
-            seg = pd.concat(pending, ignore_index=True).sort_values(order_cols, kind="stable")
-            seg = seg.reset_index(drop=True)
-            k = _key_values(seg[key])[0]
-            res, _ = fold.step(k, {c: seg[c].to_numpy() for c in fold.input_cols},
-                               pickle.loads(entry))
-            for c in res_cols:
-                seg[c] = np.asarray(res[c])
-            yield seg[all_cols]
-
-    return joined.mapInPandas(pass2, schema=p2_schema)
+        pending = [pdf for pdf in batches if len(pdf)]
+        if not pending:
+            return
+        seg = pd.concat(pending, ignore_index=True).sort_values(order_cols, kind="stable")
+        seg = seg.reset_index(drop=True)
+        entry = seg["_entry"].iloc[0]
+        k = _key_values(seg[key])[0]
+        res, _ = fold.step(k, {c: seg[c].to_numpy() for c in fold.input_cols}, pickle.loads(entry))
+        for c in res_cols:
+            seg[c] = np.asarray(res[c])
+        yield seg[all_cols]
+
+    refolded = joined.filter(need).mapInPandas(pass2, schema=p2_schema)
+    return keep.unionByName(refolded)
 
 
 def brute_force_fold(pdf: pd.DataFrame, key: str, order: list[str], fold: KeyFold) -> pd.DataFrame:
