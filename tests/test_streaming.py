@@ -141,3 +141,78 @@ def test_metering_dedup_drops_redelivered_orders(spark, tmp_path):
     jobs.metering_stream(s, deltas, str(tmp_path / "ckpt"), dedup=True, delay="365 days").awaitTermination(600)
     total = jobs.usage_from_deltas(spark, deltas).agg(F.sum("order_count")).first()[0]
     assert total == 2000
+
+
+def _write_df_in_time_order(df, order_col, path, parts=4):
+    ts_all = sorted(r[0] for r in df.select(order_col).collect())
+    cuts = [ts_all[int(len(ts_all) * k / parts)] for k in range(1, parts)]
+    edges = [None] + cuts + [None]
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        cond = F.lit(True)
+        if lo is not None:
+            cond = cond & (F.col(order_col) >= F.lit(lo))
+        if hi is not None:
+            cond = cond & (F.col(order_col) < F.lit(hi))
+        df.filter(cond).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)
+
+
+def test_rate_limit_and_delivery_streams_equal_batch(spark, tmp_path):
+    from orderpulse.operators.delivery import delivery_status
+    from orderpulse.operators.ratelimit import rate_limit_decisions
+    from orderpulse.streaming.stateful import delivery_stream, rate_limit_stream
+    req = tb.requests_log(spark, SF01)
+    _write_df_in_time_order(req, "ts", str(tmp_path / "req"))
+    s = spark.readStream.schema(req.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "req"))
+    q = (rate_limit_stream(s).writeStream.format("parquet").option("path", str(tmp_path / "rl"))
+         .option("checkpointLocation", str(tmp_path / "ck1")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = {r.request_id: r.allowed for r in spark.read.parquet(str(tmp_path / "rl")).collect()}
+    want = {r.request_id: r.allowed for r in rate_limit_decisions(req).filter("request_count IS NOT NULL").collect()}
+    assert got == want
+
+    att = tb.attempts(spark, SF01)
+    _write_df_in_time_order(att, "ts", str(tmp_path / "att"))
+    s2 = spark.readStream.schema(att.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "att"))
+    q2 = (delivery_stream(s2).writeStream.format("parquet").option("path", str(tmp_path / "dl"))
+          .option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start())
+    q2.awaitTermination(600)
+    states = spark.read.parquet(str(tmp_path / "dl"))
+    final = states.groupBy("delivery_id").agg(F.max_by("status", F.struct("ts", "attempt_id")).alias("s"))
+    got2 = {r.delivery_id: r.s for r in final.collect()}
+    want2 = {r.delivery_id: r.status for r in delivery_status(att).collect()}
+    assert got2 == want2
+
+
+def test_topic_write_relay_and_feed_streams(spark, tmp_path):
+    from orderpulse.operators.webhooks import placed_events, webhook_fanout
+    o = tb.orders_stream(spark, SF01)
+    root = str(tmp_path / "topics")
+    tp.write_topic(o, root, tp.ORDERS_PLACED, "order_id", partitions=6)            # S2 batch
+    back = tp.topic_scan(spark, root, tp.ORDERS_PLACED)                              # S1 batch
+    assert back.count() == 10000 and len(back.inputFiles()) == 6
+    s = tp.topic_scan(spark, root, tp.ORDERS_PLACED, stream=True)
+    q = tp.write_topic(s, str(tmp_path / "copy"), tp.ORDERS_PLACED, "order_id",    # S2 stream
+                       checkpoint=str(tmp_path / "ck0"))
+    q.awaitTermination(600)
+    assert tp.topic_scan(spark, str(tmp_path / "copy"), tp.ORDERS_PLACED).count() == 10000
+    # J3 stream-static and J5 stream-static on the same functions as batch
+    eps = tb.endpoints(spark, SF01)
+    fan = webhook_fanout(placed_events(s), eps)
+    q3 = (fan.writeStream.format("parquet").option("path", str(tmp_path / "fan"))
+          .option("checkpointLocation", str(tmp_path / "ck3")).trigger(availableNow=True).start())
+    q3.awaitTermination(600)
+    assert spark.read.parquet(str(tmp_path / "fan")).count() == webhook_fanout(placed_events(o), eps).count()
+    feed = sg.customer_feed(ss.saga_stream(s), o)
+    q4 = (feed.writeStream.format("parquet").partitionBy("customer_id").option("path", str(tmp_path / "feed"))
+          .option("checkpointLocation", str(tmp_path / "ck4")).trigger(availableNow=True).start())
+    q4.awaitTermination(600)
+    assert spark.read.parquet(str(tmp_path / "feed")).count() == 10000
+    # S7 relay stream: unprocessed outbox rows land under their topic
+    ob = tb.outbox(spark, SF01)
+    ob.write.parquet(str(tmp_path / "outbox"))
+    obs = spark.readStream.schema(ob.schema).parquet(str(tmp_path / "outbox"))
+    jobs.relay_stream(obs, str(tmp_path / "published"), str(tmp_path / "ck5")).awaitTermination(600)
+    pub = spark.read.parquet(str(tmp_path / "published"))
+    assert pub.count() == ob.filter("processed_at IS NULL").count()
+    assert {r.topic for r in pub.select("topic").distinct().collect()} == {"orders.placed"}
