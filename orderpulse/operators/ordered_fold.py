@@ -89,7 +89,6 @@ class KeyFold:
 class _Meta:
     key: Any = None
     tf: Any = None
-    exit_state: Any = None
     single: bool = True
     seen: bool = False
 

@@ -5,10 +5,10 @@ and dead counts (A7, A8)."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import cut, from_base64
+from ..functions.text import ERROR_MAX_CHARS, from_base64
 from .ordered_fold import KeyFold, ordered_fold
 from .ranking import global_row_number
 
@@ -88,7 +88,7 @@ def _t4(st, base_retry, ok, err, ts_us):
     if ok:
         return (True, retry, last_err, dead, ts_us)
     retry += 1
-    last_err = None if err is None else err[:500]
+    last_err = None if err is None else err[:ERROR_MAX_CHARS]  # F8
     if retry >= MAX_RETRIES:
         return (True, retry, last_err, True, ts_us)
     return (False, retry, last_err, False, done_us)
@@ -182,8 +182,3 @@ def outbox_status(outbox: DataFrame, cycles: int = 6, num_partitions: int | None
 def outbox_dead_count(status: DataFrame) -> DataFrame:
     """How many events the relay gave up on."""
     return status.agg(F.count(F.when(F.col("dead"), 1)).alias("dead_letters"))
-
-
-def truncate_error(err: Column) -> Column:
-    """F8 as used by the relay."""
-    return cut(err, 500)

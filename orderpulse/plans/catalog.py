@@ -26,9 +26,21 @@ class Query:
 QUERIES: dict[str, Query] = {}
 
 
+_UTC_NAMES = {"UTC", "Etc/UTC", "GMT", "Etc/GMT", "Z", "+00:00", "UTC+0", "Etc/UCT", "UCT"}
+
+
+def ensure_utc(spark: SparkSession) -> None:
+    """The reference keeps every instant in UTC (months are UTC months); the
+    queries read ``timestamp_ntz`` columns as UTC instants, which needs a UTC
+    session time zone."""
+    if spark.conf.get("spark.sql.session.timeZone") not in _UTC_NAMES:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def register(key: str, oracle: str | None, ids: str = ""):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ensure_utc(spark)
             return to_contract(fn(spark, sf_dir))
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__
