@@ -72,3 +72,45 @@ def route_outcomes(batch: DataFrame, root: str, batch_id: int, ok: str = "ok",
     for name in (ok, retry, dead):
         (batch.filter(F.col(outcome_col) == name)
               .write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/batch_id={batch_id}"))
+
+
+def place_orders_stream(requests: DataFrame, orders_root: str, outbox_root: str, checkpoint: str,
+                        available_now: bool = True):
+    """S5 on a stream: each batch writes its accepted orders *and* their outbox
+    rows under the same ``batch_id``, so a replay rewrites both or neither."""
+    from ..operators.orders import place_orders
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        orders, outbox = place_orders(batch)
+        orders.write.mode("overwrite").parquet(_batch_dir(orders_root, batch_id))
+        outbox.write.mode("overwrite").parquet(_batch_dir(outbox_root, batch_id))
+
+    w = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
+
+
+def order_status_stream(completions: DataFrame, deltas_root: str, checkpoint: str,
+                        available_now: bool = True):
+    """J2 on a stream: each batch writes the latest completion per order it saw."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        seq = F.struct("completed_at", "correlation_id")
+        latest = batch.groupBy("order_id").agg(F.max_by("status", seq).alias("status"),
+                                               F.max("completed_at").alias("completed_at"))
+        latest.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite") \
+              .parquet(_batch_dir(deltas_root, batch_id))
+
+    w = completions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
+    return w.start()
+
+
+def order_status_from_deltas(spark, orders: DataFrame, deltas_root: str) -> DataFrame:
+    """The orders table with the latest streamed status (PLACED when none)."""
+    d = spark.read.parquet(deltas_root)
+    latest = d.groupBy("order_id").agg(
+        F.max_by("status", F.struct("completed_at", "batch_id")).alias("final_status"))
+    return (orders.join(latest, "order_id", "left")
+                  .withColumn("status", F.coalesce(F.col("final_status"), F.lit("PLACED")))
+                  .drop("final_status"))

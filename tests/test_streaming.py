@@ -216,3 +216,29 @@ def test_topic_write_relay_and_feed_streams(spark, tmp_path):
     pub = spark.read.parquet(str(tmp_path / "published"))
     assert pub.count() == ob.filter("processed_at IS NULL").count()
     assert {r.topic for r in pub.select("topic").distinct().collect()} == {"orders.placed"}
+
+
+def test_placement_status_and_routing_sinks(spark, tmp_path):
+    req = tb.bad_requests(spark, SF01).drop("seq")
+    req.write.parquet(str(tmp_path / "req"))
+    rs = spark.readStream.schema(req.schema).parquet(str(tmp_path / "req"))
+    jobs.place_orders_stream(rs, str(tmp_path / "orders"), str(tmp_path / "outbox"),
+                             str(tmp_path / "ck1")).awaitTermination(600)
+    n_orders = spark.read.parquet(str(tmp_path / "orders")).count()
+    n_outbox = spark.read.parquet(str(tmp_path / "outbox")).count()
+    assert n_orders == n_outbox == 9200          # 4 of every 50 requests are invalid
+
+    pdf = _orders_pdf(spark)
+    root = str(tmp_path / "topics")
+    _write_chunks(pdf, _arrow_schema(), f"{root}/{tp.ORDERS_PLACED}", 2)
+    s = tp.topic_scan(spark, root, tp.ORDERS_PLACED, stream=True, max_files_per_trigger=1)
+    jobs.order_status_stream(ss.saga_stream(s), str(tmp_path / "st"), str(tmp_path / "ck2")).awaitTermination(600)
+    o = tb.orders_stream(spark, SF01)
+    got = {r.order_id: r.status for r in jobs.order_status_from_deltas(spark, o, str(tmp_path / "st")).collect()}
+    want = {r.order_id: r.status for r in sg.order_status(o, sg.saga(o)).collect()}
+    assert got == want
+
+    outcomes = spark.createDataFrame([(1, "ok"), (2, "retry"), (3, "dead"), (4, "ok")], "id long, outcome string")
+    jobs.route_outcomes(outcomes, str(tmp_path / "routed"), 0)
+    assert spark.read.parquet(str(tmp_path / "routed/ok")).count() == 2
+    assert spark.read.parquet(str(tmp_path / "routed/dead")).count() == 1
