@@ -887,7 +887,24 @@ def q_webhook_fanout(spark, d):
     return _fanout(spark, d)
 
 
-@register("sign_payloads", None, "F1")
+def _pad_sql(kh: str, byte: int) -> str:
+    """DuckDB: the 64-byte key (hex text) XOR a repeated pad byte, as a blob."""
+    mask = int(f"{byte:02x}" * 4, 16)
+    words = [f"printf('%08x', xor(('0x' || substr({kh}, {i * 8 + 1}, 8))::BIGINT, {mask}))" for i in range(16)]
+    return "unhex(" + " || ".join(words) + ")"
+
+
+_KH = ("rpad(hex(CASE WHEN octet_length(encode(e.secret)) > 64 THEN unhex(sha256(encode(e.secret))) "
+       "ELSE encode(e.secret) END), 128, '0')")
+_HMAC_SQL = (f"'sha256=' || sha256({_pad_sql('kh', 0x5C)} || "
+             f"unhex(sha256({_pad_sql('kh', 0x36)} || encode(f.payload))))")
+
+
+@register("sign_payloads", W("WITH RECURSIVE " + EVENTS_SQL + f""",
+keyed AS (SELECT f.*, {_KH} AS kh FROM fan f JOIN v_endpoints e ON e.id = f.endpoint_id)
+SELECT delivery_id, endpoint_id, event_type,
+       {_HMAC_SQL.replace('encode(f.payload)', 'encode(payload)')} AS signature
+FROM keyed""", "v_orders", "v_endpoints"), "F1")
 def q_sign_payloads(spark, d):
     return wh.sign_payloads(_fanout(spark, d), tb.endpoints(spark, d))
 
