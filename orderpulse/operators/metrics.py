@@ -42,15 +42,22 @@ def latency_p99_hist(latency: DataFrame, buckets: tuple[float, ...], q: float =
         c_hi = F.col(f"c{i}")
         val = lo + (F.lit(buckets[i]) - lo) * (rank - c_lo) / (c_hi - c_lo)
         res = F.when(c_hi >= rank, val).otherwise(res)
-    return g.select(F.col("w.start").alias("window_start"), "total", res.alias("p99_seconds"))
+    # seconds at nanosecond precision: engines differ in the last bits of the interpolation
+    return g.select(F.col("w.start").alias("window_start"), "total", F.round(res, 9).alias("p99_seconds"))
 
 
 def latency_p99(latency: DataFrame, q: float = 0.99, ts_col: str = "ts", value_col: str = "seconds",
                 window: str = "5 minutes") -> DataFrame:
-    """A10 exact form: the interpolated percentile of the raw values per window."""
+    """A10 exact form: the interpolated percentile of the raw values per window.
+
+    Spark's exact ``percentile`` keeps one counter per distinct value of a
+    window (partially aggregated), so its state grows with the distinct
+    latencies, not with rows; :func:`latency_p99_hist` - the dashboard's own
+    method - has 12 counters per window whatever the data.
+    """
     g = latency.groupBy(F.window(ts_col, window).alias("w")).agg(
         F.count(F.lit(1)).alias("total"), F.percentile(value_col, q).alias("p99_seconds"))
-    return g.select(F.col("w.start").alias("window_start"), "total", "p99_seconds")
+    return g.select(F.col("w.start").alias("window_start"), "total", F.round("p99_seconds", 9).alias("p99_seconds"))
 
 
 class RollingFold(KeyFold):

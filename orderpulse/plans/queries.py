@@ -1038,7 +1038,7 @@ def _hist_sql() -> str:
         res = f"CASE WHEN c{i} >= 0.99 * total THEN {val} ELSE {res} END"
     cnts = ", ".join(f"count(*) FILTER (WHERE seconds <= {le!r}) AS c{i}" for i, le in enumerate(b))
     return (f"WITH h AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS s, count(*) AS total, {cnts} "
-            f"FROM v_latency GROUP BY 1)\nSELECT epoch_us(s) AS window_start, total, {res} AS p99_seconds FROM h")
+            f"FROM v_latency GROUP BY 1)\nSELECT epoch_us(s) AS window_start, total, round({res}, 9) AS p99_seconds FROM h")
 
 
 @register("latency_p99_hist", W(_hist_sql(), "v_latency"), "A10")
@@ -1048,7 +1048,7 @@ def q_latency_p99_hist(spark, d):
 
 @register("latency_p99", W("""
 SELECT epoch_us(time_bucket(INTERVAL 5 MINUTE, ts)) AS window_start, count(*) AS total,
-       quantile_cont(seconds, 0.99) AS p99_seconds FROM v_latency GROUP BY 1""", "v_latency"), "A10")
+       round(quantile_cont(seconds, 0.99), 9) AS p99_seconds FROM v_latency GROUP BY 1""", "v_latency"), "A10")
 def q_latency_p99(spark, d):
     return mx.latency_p99(tb.latency(spark, d))
 
