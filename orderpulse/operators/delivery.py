@@ -115,6 +115,10 @@ class DeliveryFold(KeyFold):
         ex = tf[(state[0], state[1])]
         return tuple(state[i] if ex[i] == _INH else ex[i] for i in range(6))
 
+    def tf_compose(self, first, second):
+        # placeholders in `first` stay placeholders: they still mean "the entry's value"
+        return {p: self.tf_apply(second, ex) for p, ex in first.items()}
+
 
 def attempt_states(attempts: DataFrame, num_partitions: int | None = None) -> DataFrame:
     """The delivery state after every attempt outcome (ignored ones flagged)."""

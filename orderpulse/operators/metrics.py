@@ -103,6 +103,9 @@ class RollingFold(KeyFold):
             return tail
         return np.concatenate((np.asarray(state, dtype=np.int64), tail))[-(self.size - 1):]
 
+    def tf_compose(self, first, second):
+        return (self.tf_apply(second, first[0]), first[1] + second[1])
+
 
 # Fixed values of the circuit-breaker setting: 20 calls, 50 % failures.
 WINDOW_CALLS = 20

@@ -17,10 +17,11 @@ all rows - to a single task.  Instead:
    transfer function of its first segment and the exit state of its last.
 3. The output of pass 1 is checkpointed (reliable, in ``spark.checkpoint.dir``)
    so the lineage is cut and both later reads see the same partitions.
-4. Carry resolution: meta rows (at most two per partition) are grouped by
-   key; a key spanning partitions chains the transfer functions in
-   partition order, yielding the true entry state of every continuation
-   segment.
+4. Carry resolution: meta rows (at most two per partition) are composed in
+   blocks of ~sqrt(n) partitions in parallel, the block functions are
+   chained per key, and the functions inside each block are applied in
+   parallel, yielding the true entry state of every continuation segment
+   (no group ever holds a whole key's transfer functions).
 5. Pass 2: only first segments whose entry differs from the initial state
    are folded again (``mapInPandas`` over the checkpointed partitions, after
    a broadcast join with the resolved entries - at most one row per
@@ -34,6 +35,7 @@ meta table, whose size is bounded by the number of partitions.
 
 from __future__ import annotations
 
+import math
 import pickle
 from dataclasses import dataclass
 from typing import Any
@@ -84,6 +86,14 @@ class KeyFold:
         """Hook to close a transfer function once its segment has ended."""
         return tf
 
+    def tf_compose(self, first: Any, second: Any) -> Any:
+        """The transfer function of ``first``'s slice followed by ``second``'s.
+
+        Its size must stay within the bound of a single transfer function (the
+        state domain), so resolution can compose blocks of partitions.
+        """
+        raise NotImplementedError
+
 
 @dataclass
 class _Meta:
@@ -210,31 +220,80 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
     p1 = parted.mapInPandas(pass1, schema=p1_schema).checkpoint(eager=True)
 
     # ---- carry resolution over the meta table (<= 2 rows per partition) -------
+    # Each meta row is a function of the entry state: a last-slice row is a
+    # constant (its exit from a fresh start), a first-slice row is its transfer
+    # function.  A key's entries are the prefix compositions of its functions in
+    # partition order.  They are resolved in blocks of ~sqrt(n) partitions:
+    # (1) compose each block's functions, in parallel; (2) chain the block
+    # functions per key; (3) apply the functions inside each block, in
+    # parallel.  No group holds more than ~sqrt(n) transfer functions, each
+    # bounded by the fold's state domain.
+    key_field = T.StructField(key, in_schema[key].dataType, True)
     fix_schema = T.StructType([T.StructField("_fix_pid", T.IntegerType()),
                                T.StructField("_entry", T.BinaryType())])
-
-    def resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_pid", "_kind"], ascending=[True, False])  # B before A in a pid
+    block = max(2, math.isqrt(max(n - 1, 0)) + 1)
+
+    def fn_of(kind, blob):
+        payload = pickle.loads(blob)
+        return ("c", payload) if kind == _KIND_LAST else ("t", payload[0])
+
+    def apply_fn(fn, state):
+        return fn[1] if fn[0] == "c" else fold.tf_apply(fn[1], state)
+
+    def then(first, second):
+        if second[0] == "c":
+            return second
+        if first[0] == "c":
+            return ("c", fold.tf_apply(second[1], first[1]))
+        return ("t", fold.tf_compose(first[1], second[1]))
+
+    blk_schema = T.StructType([key_field, T.StructField("_blk", T.IntegerType()),
+                               T.StructField("_fn", T.BinaryType())])
+
+    def compose_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        fn = None
+        for kind, blob in zip(pdf["_kind"], pdf["_meta"]):
+            f = fn_of(kind, blob)
+            fn = f if fn is None else then(fn, f)
+        return pd.DataFrame({key: [_key_values(pdf[key])[0]], "_blk": [int(pdf["_blk"].iloc[0])],
+                             "_fn": [pickle.dumps(fn)]})
+
+    ent_schema = T.StructType([T.StructField("_bkey", in_schema[key].dataType, True),
+                               T.StructField("_bblk", T.IntegerType()),
+                               T.StructField("_bentry", T.BinaryType()),
+                               T.StructField("_has_prev", T.BooleanType())])
+
+    def chain_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_blk")
         k = _key_values(pdf[key])[0]
-        state = None
+        state, has_prev, out = fold.init(k), False, []
+        for blk, blob in zip(pdf["_blk"], pdf["_fn"]):
+            out.append((k, int(blk), pickle.dumps(state), has_prev))
+            state, has_prev = apply_fn(pickle.loads(blob), state), True
+        return pd.DataFrame(out, columns=["_bkey", "_bblk", "_bentry", "_has_prev"])
+
+    def fixes_in_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        state = pickle.loads(pdf["_bentry"].iloc[0])
+        has_prev = bool(pdf["_has_prev"].iloc[0])
         out_pid, out_entry = [], []
         for kind, pid, blob in zip(pdf["_kind"], pdf["_pid"], pdf["_meta"]):
-            payload = pickle.loads(blob)
-            if kind == _KIND_LAST:
-                state = payload
-            else:
-                tf, single = payload
-                if state is not None:
-                    out_pid.append(int(pid))
-                    out_entry.append(pickle.dumps(state))
-                    state = fold.tf_apply(tf, state) if single else None
-                else:
-                    state = fold.tf_apply(tf, fold.init(k)) if single else None
+            if kind == _KIND_FIRST and has_prev:
+                out_pid.append(int(pid))
+                out_entry.append(pickle.dumps(state))
+            state, has_prev = apply_fn(fn_of(kind, blob), state), True
         return pd.DataFrame({"_fix_pid": pd.Series(out_pid, dtype="int32"),
                              "_entry": pd.Series(out_entry, dtype=object)})
 
-    meta = p1.filter(F.col("_kind") != _KIND_ROW).select(key, "_pid", "_kind", "_meta")
-    fixes = meta.groupBy(key).applyInPandas(resolve, schema=fix_schema)
+    meta = (p1.filter(F.col("_kind") != _KIND_ROW).select(key, "_pid", "_kind", "_meta")
+              .withColumn("_blk", F.floor(F.col("_pid") / block).cast("int")))
+    blocks = meta.groupBy(key, "_blk").applyInPandas(compose_block, schema=blk_schema)
+    entries = blocks.groupBy(key).applyInPandas(chain_blocks, schema=ent_schema)
+    with_entry = meta.join(entries, meta[key].eqNullSafe(entries["_bkey"])
+                           & (meta["_blk"] == entries["_bblk"]), "inner")
+    fixes = (with_entry.select(key, "_blk", "_pid", "_kind", "_meta", "_bentry", "_has_prev")
+             .groupBy(key, "_blk").applyInPandas(fixes_in_block, schema=fix_schema))
 
     # ---- pass 2: refold continuation segments ----------------------------------
     rows = p1.filter(F.col("_kind") == _KIND_ROW).drop("_kind", "_meta")

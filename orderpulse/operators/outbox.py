@@ -153,6 +153,9 @@ class OutboxFold(KeyFold):
         ex = tf[c]
         return (ex[0], state[1] + (ex[1] - c), state[2] if ex[2] == _INH else ex[2], ex[3], ex[4])
 
+    def tf_compose(self, first, second):
+        return {c: self.tf_apply(second, ex) for c, ex in first.items()}
+
 
 def outbox_status(outbox: DataFrame, cycles: int = 6, num_partitions: int | None = None) -> DataFrame:
     """T4: every outbox row after ``cycles`` relay cycles.

@@ -124,6 +124,37 @@ class _RateTF:
         cw, cc = _advance(self.cw, self.cc, t, width)
         self._set_chains(self.chain_of, cw, cc)
 
+    @staticmethod
+    def compose(f: "_RateTF", g: "_RateTF", width: int) -> "_RateTF":
+        """``f``'s slice then ``g``'s.  The candidates of ``f`` keep their
+        chains (mapped through ``g``); ``g``'s candidates are kept only where an
+        entry can pass through ``f`` inside one window - never more than the
+        distinct times of one window, so the size stays bounded."""
+        if f.n == 0:
+            return g
+        if g.n == 0:
+            return f
+        h = _RateTF()
+        h.n, h.t_first, h.closed = f.n + g.n, f.t_first, True
+        f_exit = [g.apply((int(f.cw[c]), int(f.cc[c])), width) for c in range(len(f.cw))]
+        fw = np.array([e[0] for e in f_exit], dtype=np.int64)
+        fc = np.array([e[1] for e in f_exit], dtype=np.int64)
+        hi = f.t_first + width
+        if len(f.cand_t) and f.cand_t[-1] > hi:
+            need = np.empty(0, dtype=np.int64)
+        else:
+            lo = f.cand_t[-1] if len(f.cand_t) else f.t_first
+            need = np.flatnonzero((g.cand_t > lo) & (g.cand_t <= hi))
+            beyond = np.flatnonzero(g.cand_t > hi)
+            if len(beyond):
+                need = np.concatenate((need, beyond[:1]))
+        h.cand_t = np.concatenate((f.cand_t, g.cand_t[need])).astype(np.int64)
+        gw, gc = g.cw[g.chain_of[need]], g.cc[g.chain_of[need]]
+        cw = np.concatenate((fw[f.chain_of], gw)).astype(np.int64)
+        cc = np.concatenate((fc[f.chain_of], gc)).astype(np.int64)
+        h._set_chains(np.arange(len(h.cand_t)), cw, cc)
+        return h
+
     def apply(self, state, width: int):
         w0, c0 = state
         if self.n == 0:
@@ -169,6 +200,9 @@ class RateFold(KeyFold):
     def tf_apply(self, tf, state):
         return tf.apply(state, self.width)
 
+    def tf_compose(self, first, second):
+        return _RateTF.compose(first, second, self.width)
+
 
 def rate_limit_decisions(requests: DataFrame, limit: Column | None = None,
                          key: str = "tenant_id", time_col: str = "req_ms",

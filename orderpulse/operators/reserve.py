@@ -106,6 +106,9 @@ class StockFold(KeyFold):
     def tf_apply(self, tf, state):
         return int(tf[int(state)])
 
+    def tf_compose(self, first, second):
+        return second[first]
+
 
 def stock_reservation(orders: DataFrame, initial_stock: int = DEFAULT_STOCK,
                       key: str = "product_id", order: tuple[str, ...] = ("placed_at", "order_id"),

@@ -23,7 +23,7 @@ def _check(spark, pdf, schema, key, order, fold, parts, cols):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 2), st.integers(1, 9)), min_size=1, max_size=400),
-       st.integers(2, 7), st.integers(5, 60))
+       st.integers(2, 20), st.integers(5, 60))
 def test_stock_fold_matches_brute_force(spark, rows, parts, stock):
     # key 0 is hot: most rows, spread over several range partitions
     pdf = pd.DataFrame({"k": [f"p{0 if i % 5 else k}" for i, (k, _) in enumerate(rows)],
@@ -34,7 +34,7 @@ def test_stock_fold_matches_brute_force(spark, rows, parts, stock):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 40000)), min_size=1, max_size=400),
-       st.integers(2, 7))
+       st.integers(2, 20))
 def test_rate_fold_matches_brute_force(spark, rows, parts):
     t = np.sort(np.array([x for _, x in rows]))
     pdf = pd.DataFrame({"k": [f"t{k}" for k, _ in rows], "seq": np.arange(len(rows)), "req_ms": t})
@@ -44,7 +44,7 @@ def test_rate_fold_matches_brute_force(spark, rows, parts):
 
 @SETTINGS
 @given(st.lists(st.tuples(st.integers(0, 3), st.sampled_from([None, 200, 500, 404])), min_size=1,
-                max_size=200), st.integers(2, 6))
+                max_size=200), st.integers(2, 16))
 def test_delivery_fold_matches_brute_force(spark, rows, parts):
     ts = pd.date_range("2024-01-01", periods=len(rows), freq="s")
     pdf = pd.DataFrame({"d": [k for k, _ in rows], "seq": np.arange(len(rows)), "ts": ts,
@@ -55,7 +55,7 @@ def test_delivery_fold_matches_brute_force(spark, rows, parts):
 
 
 @SETTINGS
-@given(st.lists(st.tuples(st.integers(0, 1), st.booleans()), min_size=1, max_size=300), st.integers(2, 7))
+@given(st.lists(st.tuples(st.integers(0, 1), st.booleans()), min_size=1, max_size=300), st.integers(2, 20))
 def test_rolling_fold_matches_brute_force(spark, rows, parts):
     pdf = pd.DataFrame({"k": [f"k{k}" for k, _ in rows], "seq": np.arange(len(rows)),
                         "f": [int(b) for _, b in rows]})
