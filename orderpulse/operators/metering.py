@@ -17,15 +17,17 @@ def month_of(ts: Column) -> list[Column]:
     return [F.year(ts).alias("billing_year"), F.month(ts).alias("billing_month")]
 
 
-def monthly_counts(events: DataFrame, ts_col: str, name: str) -> DataFrame:
+def monthly_counts(events: DataFrame, ts_col: str, name: str, weight_col: str | None = None) -> DataFrame:
     """Count events per tenant-month, skipping blank tenants.
 
     A partial aggregate: each task combines its rows before the shuffle, so
-    a tenant holding a third of all rows costs one row per task.
+    a tenant holding a third of all rows costs one row per task.  With
+    ``weight_col`` each row stands for that many events (input that was
+    pre-aggregated before a join).
     """
     e = events.filter(~blank(F.col("tenant_id")))
-    return (e.groupBy(F.col("tenant_id"), *month_of(F.col(ts_col)))
-             .agg(F.count(F.lit(1)).alias(name)))
+    agg = F.count(F.lit(1)) if weight_col is None else F.sum(weight_col).cast("bigint")
+    return (e.groupBy(F.col("tenant_id"), *month_of(F.col(ts_col))).agg(agg.alias(name)))
 
 
 def with_plan(usage: DataFrame, tenants: DataFrame | None, default_plan: str = "FREE") -> DataFrame:
@@ -39,18 +41,18 @@ def with_plan(usage: DataFrame, tenants: DataFrame | None, default_plan: str = "
 
 
 def monthly_usage(orders: DataFrame, tenants: DataFrame | None = None,
-                  ts_col: str = "placed_at") -> DataFrame:
+                  ts_col: str = "placed_at", weight_col: str | None = None) -> DataFrame:
     """A1: orders per tenant and month -> usage rows (other counters 0)."""
-    u = monthly_counts(orders, ts_col, "order_count")
+    u = monthly_counts(orders, ts_col, "order_count", weight_col)
     u = u.withColumn("webhook_delivery_count", F.lit(0).cast("bigint")) \
          .withColumn("api_call_count", F.lit(0).cast("bigint"))
     return with_plan(u, tenants)
 
 
 def monthly_usage_all(orders: DataFrame, deliveries: DataFrame, api_calls: DataFrame,
-                      tenants: DataFrame | None = None) -> DataFrame:
+                      tenants: DataFrame | None = None, weight_col: str | None = None) -> DataFrame:
     """A1-A3: the three counters per tenant-month, missing counters are 0."""
-    a = monthly_counts(orders, "placed_at", "order_count")
+    a = monthly_counts(orders, "placed_at", "order_count", weight_col)
     b = monthly_counts(deliveries, "created_at", "webhook_delivery_count")
     c = monthly_counts(api_calls, "ts", "api_call_count")
     u = a.join(b, MONTH_KEY, "full").join(c, MONTH_KEY, "full")

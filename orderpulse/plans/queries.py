@@ -97,7 +97,7 @@ old_inv AS (
 
 
 def _existing_invoices(spark, d):
-    usage = met.monthly_usage(tb.order_lines(spark, d), tb.tenants(spark, d))
+    usage = met.monthly_usage(tb.order_line_counts(spark, d), tb.tenants(spark, d), weight_col="lines")
     a = inv.invoice_amounts(usage).filter(F.col("tenant_id") != "4")
     status = (F.when(F.col("tenant_id").isin("0", "1"), F.lit("DRAFT"))
                .when(F.col("tenant_id") == "2", F.lit("FINALIZED")).otherwise(F.lit("PAID")))
@@ -450,7 +450,8 @@ _USAGE_COLS = ("tenant_id, billing_year, billing_month, plan, order_count, webho
 
 
 def _usage(spark, d):
-    return met.monthly_usage(tb.order_lines(spark, d), tb.tenants(spark, d))
+    # lines counted per order before the join (same counts as counting v_lines)
+    return met.monthly_usage(tb.order_line_counts(spark, d), tb.tenants(spark, d), weight_col="lines")
 
 
 @register("monthly_usage", W("WITH " + LINES_USAGE_SQL + f"\nSELECT {_USAGE_COLS} FROM usage",
@@ -929,7 +930,8 @@ usage_all AS (
 
 def _usage_all(spark, d):
     req = tb.requests_log(spark, d)
-    return met.monthly_usage_all(tb.order_lines(spark, d), _fanout(spark, d), req, tb.tenants(spark, d))
+    return met.monthly_usage_all(tb.order_line_counts(spark, d), _fanout(spark, d), req, tb.tenants(spark, d),
+                                 weight_col="lines")
 
 
 @register("monthly_usage_all", W("WITH RECURSIVE " + _ALL_USAGE_SQL + f"\nSELECT {_USAGE_COLS} FROM usage_all",

@@ -85,3 +85,13 @@ def test_draft_and_finalize_passes(spark):
     f2 = {r.tenant_id: r.order_count
           for r in inv.finalize_invoices(usage, old, 2024, 4, refresh=True).collect()}
     assert f2 == {"a": 300, "d": 120}
+
+
+def test_preaggregated_lines_give_the_same_usage(spark):
+    plain = met.monthly_usage(tb.order_lines(spark, SF01), tb.tenants(spark, SF01))
+    pre = met.monthly_usage(tb.order_line_counts(spark, SF01), tb.tenants(spark, SF01), weight_col="lines")
+    cols = ["tenant_id", "billing_year", "billing_month", "order_count", "plan"]
+    assert sorted(map(tuple, plain.select(cols).collect())) == sorted(map(tuple, pre.select(cols).collect()))
+    # the pre-aggregated plan joins one row per order, not per line
+    plan = pre._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
