@@ -121,6 +121,10 @@ def _key_values(col: pd.Series) -> np.ndarray:
 # Target bytes per range partition (input size as Catalyst estimates it).
 PARTITION_BYTES_CONF = "orderpulse.fold.partitionBytes"
 DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024
+# Up to this many range partitions a key's carry is resolved in one group;
+# beyond it, in blocks of ~sqrt(n) partitions.
+SINGLE_GROUP_CONF = "orderpulse.fold.singleGroupPartitions"
+SINGLE_GROUP_PARTITIONS = 256
 MAX_PARTITIONS_CONF = "orderpulse.fold.maxPartitions"
 DEFAULT_MAX_PARTITIONS = 100_000
 _UNKNOWN_SIZE = 1 << 62  # Spark reports Long.MaxValue for sizes it cannot estimate
@@ -286,8 +290,24 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
         return pd.DataFrame({"_fix_pid": pd.Series(out_pid, dtype="int32"),
                              "_entry": pd.Series(out_entry, dtype=object)})
 
-    meta = (p1.filter(F.col("_kind") != _KIND_ROW).select(key, "_pid", "_kind", "_meta")
-              .withColumn("_blk", F.floor(F.col("_pid") / block).cast("int")))
+    def resolve_key(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_pid")
+        state, has_prev = fold.init(_key_values(pdf[key])[0]), False
+        out_pid, out_entry = [], []
+        for kind, pid, blob in zip(pdf["_kind"], pdf["_pid"], pdf["_meta"]):
+            if kind == _KIND_FIRST and has_prev:
+                out_pid.append(int(pid))
+                out_entry.append(pickle.dumps(state))
+            state, has_prev = apply_fn(fn_of(kind, blob), state), True
+        return pd.DataFrame({"_fix_pid": pd.Series(out_pid, dtype="int32"),
+                             "_entry": pd.Series(out_entry, dtype=object)})
+
+    meta = p1.filter(F.col("_kind") != _KIND_ROW).select(key, "_pid", "_kind", "_meta")
+    if n <= int(spark.conf.get(SINGLE_GROUP_CONF, str(SINGLE_GROUP_PARTITIONS))):
+        # few partitions: one group per key holds at most n transfer functions
+        fixes = meta.groupBy(key).applyInPandas(resolve_key, schema=fix_schema)
+        return _pass2(p1, fixes, fold, key, order, in_schema, res_schema, all_cols)
+    meta = meta.withColumn("_blk", F.floor(F.col("_pid") / block).cast("int"))
     blocks = meta.groupBy(key, "_blk").applyInPandas(compose_block, schema=blk_schema)
     entries = blocks.groupBy(key).applyInPandas(chain_blocks, schema=ent_schema)
     with_entry = meta.join(entries, meta[key].eqNullSafe(entries["_bkey"])
@@ -295,6 +315,12 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
     fixes = (with_entry.select(key, "_blk", "_pid", "_kind", "_meta", "_bentry", "_has_prev")
              .groupBy(key, "_blk").applyInPandas(fixes_in_block, schema=fix_schema))
 
+    return _pass2(p1, fixes, fold, key, order, in_schema, res_schema, all_cols)
+
+
+def _pass2(p1: DataFrame, fixes: DataFrame, fold: KeyFold, key: str, order: list[str],
+           in_schema: T.StructType, res_schema: T.StructType, all_cols: list[str]) -> DataFrame:
+    res_cols = [f.name for f in res_schema.fields]
     # ---- pass 2: refold continuation segments ----------------------------------
     rows = p1.filter(F.col("_kind") == _KIND_ROW).drop("_kind", "_meta")
     # fixes has at most one row per partition, so its size is bounded by n.
