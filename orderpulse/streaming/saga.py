@@ -78,8 +78,11 @@ def saga_stream(orders: DataFrame, initial_stock: int = DEFAULT_STOCK) -> DataFr
 def completion_stream(payments: DataFrame, reserved: DataFrame, delay: str = "5 minutes",
                       window: str = "5 minutes") -> DataFrame:
     """J1 between two fact streams: watermarks on both event times bound the
-    join state; a late fact (behind the watermark) is dropped, as the
-    reference's no-grace join window drops it."""
+    join state.  Once a micro-batch has run under a watermark, partners older
+    than it are evicted, so a fact arriving later completes nothing - the
+    reference's no-grace window.  (Spark still joins a late fact with a
+    partner that is in state in the same batch; it only promises never to
+    drop facts within the delay.)"""
     p = payments.withWatermark("processed_at", delay)
     i = reserved.withWatermark("reserved_at", delay)
     return order_completion(p, i, window)

@@ -242,3 +242,42 @@ def test_placement_status_and_routing_sinks(spark, tmp_path):
     jobs.route_outcomes(outcomes, str(tmp_path / "routed"), 0)
     assert spark.read.parquet(str(tmp_path / "routed/ok")).count() == 2
     assert spark.read.parquet(str(tmp_path / "routed/dead")).count() == 1
+
+
+def test_interval_join_drops_a_late_file(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+    root = str(tmp_path / "topics")
+    t0 = dt.datetime(2024, 1, 1)
+
+    def orders(ids, minute):
+        rows = [(f"o{i}", "c", "p", 1, Decimal("1.00"), "USD", t0 + dt.timedelta(minutes=minute), f"c{i}", "t")
+                for i in ids]
+        return spark.createDataFrame(rows, tp.ORDER_PLACED)
+
+    def write(df, topic, schema):
+        df.select(*[f.name for f in schema.fields]).coalesce(1).write.mode("append").parquet(f"{root}/{topic}")
+        time.sleep(0.05)
+
+    early, late, later = orders(range(0, 5), 0), orders(range(10, 15), 1), orders(range(5, 10), 60)
+    # file 1: both facts of o0-o4, and the reservations of o10-o14
+    write(sg.payment_decision(early), tp.PAYMENTS_PROCESSED, tp.PAYMENT_PROCESSED)
+    write(sg.reservations(early).unionByName(sg.reservations(late)), tp.INVENTORY_RESERVED,
+          tp.INVENTORY_RESERVED_SCHEMA)
+    # file 2: an hour later, both facts of o5-o9 (moves the watermark to 00:55)
+    write(sg.payment_decision(later), tp.PAYMENTS_PROCESSED, tp.PAYMENT_PROCESSED)
+    write(sg.reservations(later), tp.INVENTORY_RESERVED, tp.INVENTORY_RESERVED_SCHEMA)
+    # file 3: on time (00:61); this batch runs under the 00:55 watermark and evicts old state
+    ontime = orders(range(15, 20), 61)
+    write(sg.payment_decision(ontime), tp.PAYMENTS_PROCESSED, tp.PAYMENT_PROCESSED)
+    write(sg.reservations(ontime), tp.INVENTORY_RESERVED, tp.INVENTORY_RESERVED_SCHEMA)
+    # file 4: the payments of o10-o14 arrive late; their reservations are gone
+    write(sg.payment_decision(late), tp.PAYMENTS_PROCESSED, tp.PAYMENT_PROCESSED)
+    p = tp.topic_scan(spark, root, tp.PAYMENTS_PROCESSED, stream=True, max_files_per_trigger=1)
+    r = tp.topic_scan(spark, root, tp.INVENTORY_RESERVED, stream=True, max_files_per_trigger=1)
+    sink = str(tmp_path / "out")
+    q = (ss.completion_stream(p, r).writeStream.format("parquet").option("path", sink)
+         .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    got = sorted(int(x.order_id[1:]) for x in spark.read.parquet(sink).collect())
+    assert got == list(range(10)) + list(range(15, 20))   # late payments complete nothing (no grace)
