@@ -14,13 +14,17 @@ from .saga import CONFIRMED, DECLINED
 
 EVENT_COLS = ["tenant_id", "event_type", "event_id", "payload", "event_time"]
 
+# The webhook body templates of the three listeners (text, no escaping).
+PLACED_BODY = ('{"event":"order.placed","orderId":"%s","customerId":"%s","productId":"%s",'
+               '"quantity":%d,"currency":"%s","tenantId":"%s","placedAt":"%s"}')
+PAYMENT_FAILED_BODY = '{"event":"payment.failed","orderId":"%s","paymentId":"%s","tenantId":"%s","processedAt":"%s"}'
+COMPLETED_BODY = '{"event":"%s","orderId":"%s","status":"%s","tenantId":"%s","completedAt":"%s"}'
+
 
 def placed_events(orders: DataFrame) -> DataFrame:
     """``order.placed`` bodies (text template, no escaping: Q15)."""
     body = F.format_string(
-        '{"event":"order.placed","orderId":"%s","customerId":"%s","productId":"%s",'
-        '"quantity":%d,"currency":"%s","tenantId":"%s","placedAt":"%s"}',
-        "order_id", "customer_id", "product_id", "quantity", "currency", "tenant_id",
+        PLACED_BODY, "order_id", "customer_id", "product_id", "quantity", "currency", "tenant_id",
         iso_instant(F.col("placed_at")))
     return orders.select("tenant_id", F.lit("order.placed").alias("event_type"),
                          F.col("order_id").alias("event_id"), body.alias("payload"),
@@ -30,8 +34,7 @@ def placed_events(orders: DataFrame) -> DataFrame:
 def payment_failed_events(payments: DataFrame) -> DataFrame:
     """``payment.failed`` bodies, DECLINED payments only."""
     body = F.format_string(
-        '{"event":"payment.failed","orderId":"%s","paymentId":"%s","tenantId":"%s","processedAt":"%s"}',
-        "order_id", "payment_id", "tenant_id", iso_instant(F.col("processed_at")))
+        PAYMENT_FAILED_BODY, "order_id", "payment_id", "tenant_id", iso_instant(F.col("processed_at")))
     return payments.filter(F.col("status") == DECLINED).select(
         "tenant_id", F.lit("payment.failed").alias("event_type"), F.col("order_id").alias("event_id"),
         body.alias("payload"), F.col("processed_at").alias("event_time"))
@@ -41,8 +44,7 @@ def completed_events(completions: DataFrame) -> DataFrame:
     """``order.completed`` / ``order.rejected`` bodies by final status."""
     et = F.when(F.col("status") == CONFIRMED, F.lit("order.completed")).otherwise(F.lit("order.rejected"))
     body = F.format_string(
-        '{"event":"%s","orderId":"%s","status":"%s","tenantId":"%s","completedAt":"%s"}',
-        et, F.col("order_id"), F.col("status"), F.col("tenant_id"), iso_instant(F.col("completed_at")))
+        COMPLETED_BODY, et, F.col("order_id"), F.col("status"), F.col("tenant_id"), iso_instant(F.col("completed_at")))
     return completions.select("tenant_id", et.alias("event_type"), F.col("order_id").alias("event_id"),
                               body.alias("payload"), F.col("completed_at").alias("event_time"))
 
