@@ -97,4 +97,11 @@ def invoice_view(invoices: DataFrame) -> DataFrame:
 
 
 __all__ = ["invoice_amounts", "draft_invoices", "finalize_invoices", "invoice_history",
-           "invoice_view", "previous_month", "amount_cents", "UNLIMITED"]
+           "invoice_view", "previous_month", "amount_cents", "write_month", "UNLIMITED"]
+
+
+def write_month(invoices_month: DataFrame, path: str) -> None:
+    """Store one pass's result: only the (year, month) partitions present in the
+    frame are replaced (dynamic partition overwrite); other months stay."""
+    (invoices_month.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("billing_year", "billing_month").parquet(path))
