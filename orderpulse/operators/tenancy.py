@@ -68,9 +68,15 @@ def active_tenants(tenants: DataFrame) -> DataFrame:
 
 
 def tenant_by_slug(tenants: DataFrame, slug: str) -> DataFrame:
+    """The tenant with this slug (slugs are unique)."""
     return tenants.filter(F.col("slug") == slug)
 
 
+def tenant_by_id(tenants: DataFrame, tenant_id: str) -> DataFrame:
+    """The tenant with this id; no row means not_found."""
+    return tenants.filter(F.col("id") == tenant_id)
+
+
 def tenant_endpoints(endpoints: DataFrame, tenant_id: str, active_only: bool = False) -> DataFrame:
     """Endpoints of a tenant (optionally only ACTIVE ones)."""
     df = endpoints.filter(F.col("tenant_id") == tenant_id)
@@ -148,5 +154,5 @@ def apply_status_commands(entities: DataFrame, commands: DataFrame, id_col: str
 
 
 __all__ = ["tenant_rows", "tenant_write_check", "tenant_backfill", "effective_tenant",
-           "claim_tenant", "request_gate", "active_tenants", "tenant_by_slug", "tenant_endpoints",
+           "claim_tenant", "request_gate", "active_tenants", "tenant_by_slug", "tenant_by_id", "tenant_endpoints",
            "resolve_api_keys", "register_tenants", "apply_status_commands", "is_active", "parse_plan"]

@@ -349,6 +349,12 @@ def q_tenant_by_slug(spark, d):
     return ten.tenant_by_slug(tb.tenants(spark, d), SLUG).select("id", "slug", "plan", "status")
 
 
+@register("tenant_by_id", W(f"SELECT id, slug, plan, status FROM v_tenants WHERE id = '{TENANT}'",
+                            "v_tenants"), "P12")
+def q_tenant_by_id(spark, d):
+    return ten.tenant_by_id(tb.tenants(spark, d), TENANT).select("id", "slug", "plan", "status")
+
+
 @register("tenant_endpoints", W(f"""
 SELECT id, tenant_id, url, status FROM v_endpoints WHERE tenant_id = '{TENANT}'""", "v_endpoints"), "P13")
 def q_tenant_endpoints(spark, d):
