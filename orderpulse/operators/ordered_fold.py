@@ -131,8 +131,9 @@ _UNKNOWN_SIZE = 1 << 62  # Spark reports Long.MaxValue for sizes it cannot estim
 
 
 def range_partitions(df: DataFrame) -> int:
-    """Partitions for a range cut: the session's shuffle partitions, or more when
-    the plan's estimated size needs them to keep each near the target size.
+    """Partitions for a range cut: one per available core (default parallelism),
+    or more when the plan's estimated size needs them to keep each near the
+    target size.
 
     The estimate comes from the optimized plan's statistics, so no job runs to
     size the cut.  Without cost-based statistics a join is estimated as a
@@ -140,7 +141,7 @@ def range_partitions(df: DataFrame) -> int:
     scans - the bytes actually read.
     """
     spark = df.sparkSession
-    base = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = max(1, spark.sparkContext.defaultParallelism)
     target = int(spark.conf.get(PARTITION_BYTES_CONF, str(DEFAULT_PARTITION_BYTES)))
     try:
         plan = df._jdf.queryExecution().optimizedPlan()
