@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 _KIND_ROW = "R"
 _KIND_FIRST = "A"   # meta: transfer function of a partition's first segment
@@ -161,6 +161,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
     """Fold ``fold`` over the rows of each ``key`` in ``order``; returns df + result columns."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     n = num_partitions or range_partitions(df)
     # every column nullable: meta rows leave the data columns empty
     in_schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])

@@ -40,7 +40,9 @@ def ensure_utc(spark: SparkSession) -> None:
 def register(key: str, oracle: str | None, ids: str = ""):
     def deco(fn: Callable[[SparkSession, str], DataFrame]):
         def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from ..session import ship_package
             ensure_utc(spark)
+            ship_package(spark)
             return to_contract(fn(spark, sf_dir))
         build.__name__ = fn.__name__
         build.__doc__ = fn.__doc__

@@ -42,6 +42,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -61,3 +62,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="orderpulse-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``orderpulse`` importable in the Python workers.
+
+    Folds and stateful processors send instances of this package's classes
+    to ``mapInPandas`` / ``applyInPandas`` / ``transformWithStateInPandas``
+    workers, which import them by module name.  The package is zipped once
+    per application and added with ``SparkContext.addPyFile`` (Spark ships it
+    to every executor), so the library works from any working directory and
+    without installing it on the cluster.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    zpath = Path(tempfile.mkdtemp(prefix="orderpulse-pkg-")) / "orderpulse.zip"
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent).as_posix())
+    sc.addPyFile(str(zpath))
+    _SHIPPED.add(app)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import ship_package
+
 from ..operators.reserve import DEFAULT_STOCK, OUT_OF_STOCK, RESERVED, reserve_scan
 from ..operators.saga import completion_columns, order_completion, payment_status
 
@@ -56,6 +58,7 @@ class StockProcessor(StatefulProcessor):
 
 def reserve_stream(orders: DataFrame, initial_stock: int = DEFAULT_STOCK) -> DataFrame:
     """T1 on a stream of orders: each order with status and remaining stock."""
+    ship_package(orders.sparkSession)
     out = T.StructType(list(orders.schema.fields) + [T.StructField("status", T.StringType()),
                                                      T.StructField("remaining", T.IntegerType())])
     return orders.groupBy("product_id").transformWithStateInPandas(

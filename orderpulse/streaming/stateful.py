@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..session import ship_package
+
 from ..functions.plans import rate_limit
 from ..operators import delivery as dl
 from ..operators.ratelimit import WINDOW_MS, window_scan
@@ -54,6 +56,7 @@ class RateLimitProcessor(StatefulProcessor):
 
 def rate_limit_stream(requests: DataFrame, width: int = WINDOW_MS) -> DataFrame:
     """T2 on a stream of requests; unlimited plans and rows without tenant pass uncounted."""
+    ship_package(requests.sparkSession)
     r = requests.withColumn("rate_limit", rate_limit(F.col("plan")))
     counted = r.filter(F.col("tenant_id").isNotNull() & F.col("rate_limit").isNotNull())
     out = T.StructType(list(counted.schema.fields) + [T.StructField("window_start", T.LongType()),
@@ -92,6 +95,7 @@ class DeliveryProcessor(StatefulProcessor):
 
 def delivery_stream(attempts: DataFrame) -> DataFrame:
     """T3 on a stream of attempt outcomes: the delivery state after each outcome."""
+    ship_package(attempts.sparkSession)
     out = T.StructType(list(attempts.schema.fields) + list(_DELIVERY_STATE.fields)
                        + [T.StructField("ignored", T.BooleanType())])
     return attempts.groupBy("delivery_id").transformWithStateInPandas(
