@@ -103,6 +103,77 @@ class DeliveryFold(KeyFold):
         out["ignored"] = ignored
         return out, st
 
+    def step_many(self, keys, segs, arrs, entries):
+        """All deliveries of a batch at once: one numpy step per outcome
+        position; a delivery stops at its terminal state, which every one
+        reaches within 5 counted outcomes."""
+        starts = np.array([a for a, _ in segs], dtype=np.int64)
+        lens = np.array([b - a for a, b in segs], dtype=np.int64)
+        n = int(lens.sum())
+        ts = np.asarray(arrs["ts"]).astype("datetime64[us]").astype(np.int64)
+        h = np.asarray(arrs["http_status"], dtype=float)
+        e = arrs["error"]
+        st = np.array([x[0] for x in entries], dtype=object)
+        cnt = np.array([x[1] for x in entries], dtype=np.int64)
+        http = np.array([x[2] for x in entries], dtype=object)
+        err = np.array([x[3] for x in entries], dtype=object)
+        nxt = np.array([x[4] for x in entries], dtype=object)
+        dlv = np.array([x[5] for x in entries], dtype=object)
+        out = {f: np.empty(n, dtype=object) for f in _FIELDS}
+        done = np.zeros(len(segs), dtype=np.int64)           # outcomes consumed per delivery
+        backoff = np.array(BACKOFF_SECONDS, dtype=np.int64) * _US
+        j = 0
+        while True:
+            live = np.flatnonzero((lens > j) & ~np.isin(st, (DELIVERED, EXHAUSTED)) & (cnt < MAX_ATTEMPTS))
+            if len(live) == 0:
+                break
+            rows = starts[live] + j
+            hv, tv = h[rows], ts[rows]
+            exc = np.isnan(hv)
+            ok = ~exc & (hv >= 200) & (hv < 300)
+            bad = ~exc & ~ok
+            c0 = cnt[live]
+            c1 = c0 + 1
+            retry = bad & (c1 < MAX_ATTEMPTS)
+            # exceptions: retry time from the count before, +1
+            i = live[exc]
+            nxt[i] = tv[exc] + backoff[np.minimum(c0[exc], len(BACKOFF_SECONDS) - 1)]
+            cnt[i] = c0[exc] + 1
+            err[i] = [x if isinstance(x, str) else None for x in np.asarray(e, dtype=object)[rows[exc]]]
+            st[i] = FAILED
+            # 2xx
+            i = live[ok]
+            st[i], cnt[i], err[i], dlv[i] = DELIVERED, c1[ok], None, tv[ok]
+            http[i] = hv[ok].astype(np.int64)
+            # other HTTP: below 5 -> error recorded and counted again; else exhausted
+            i = live[retry]
+            st[i], cnt[i] = FAILED, c1[retry] + 1
+            http[i] = hv[retry].astype(np.int64)
+            err[i] = ["HTTP " + str(int(x)) for x in hv[retry]]
+            nxt[i] = tv[retry] + backoff[np.minimum(c1[retry], len(BACKOFF_SECONDS) - 1)]
+            ex = bad & ~retry
+            i = live[ex]
+            st[i], cnt[i], err[i] = EXHAUSTED, c1[ex], None
+            http[i] = hv[ex].astype(np.int64)
+            for f, arr in zip(_FIELDS, (st, cnt, http, err, nxt, dlv)):
+                out[f][rows] = arr[live]
+            done[live] += 1
+            j += 1
+        # outcomes after the terminal state keep it and are flagged ignored
+        seg_of = np.repeat(np.arange(len(segs)), lens)
+        pos = np.arange(n) - np.repeat(starts, lens)
+        ignored = pos >= done[seg_of]
+        if ignored.any():
+            for f, arr in zip(_FIELDS, (st, cnt, http, err, nxt, dlv)):
+                out[f][ignored] = arr[seg_of[ignored]]
+        for f in ("attempt_count", "last_http_status", "next_attempt_us", "delivered_us"):
+            out[f] = np.array([None if v is None else int(v) for v in out[f]], dtype=object)
+        out["ignored"] = ignored
+        exits = [(st[k], int(cnt[k]), None if http[k] is None else int(http[k]), err[k],
+                  None if nxt[k] is None else int(nxt[k]), None if dlv[k] is None else int(dlv[k]))
+                 for k in range(len(segs))]
+        return out, exits
+
     def tf_identity(self):
         return {p: (p[0], p[1], _INH, _INH, _INH, _INH) for p in _PHASES}
 

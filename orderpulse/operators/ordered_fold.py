@@ -86,6 +86,10 @@ class KeyFold:
         """Hook to close a transfer function once its segment has ended."""
         return tf
 
+    # Optional fast path: ``step_many(keys, segments, arrays, entries) ->
+    # (result columns for the whole batch, exit state per segment)`` folds all
+    # key slices of a batch at once; folds over many small keys implement it.
+
     def tf_compose(self, first: Any, second: Any) -> Any:
         """The transfer function of ``first``'s slice followed by ``second``'s.
 
@@ -192,21 +196,35 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
             arrs = {c: pdf[c].to_numpy() for c in fold.input_cols}
             parts: dict[str, list] = {c: [] for c in res_cols}
             first_flags = np.zeros(len(pdf), dtype=bool)
-            for s, e in _segments(keys):
+            segs = _segments(keys)
+            entries = []
+            for s, e in segs:
                 k = keys[s]
-                seg = {c: a[s:e] for c, a in arrs.items()}
-                if not started or k != cur_key:
+                if started and k == cur_key:      # continues the previous batch's last key
+                    entries.append(state)
+                else:
                     if started:
                         in_first = False
-                    started, cur_key, state = True, k, fold.init(k)
+                    started = True
+                    entries.append(fold.init(k))
                     if in_first:
                         first.key, first.tf, first.seen = k, fold.tf_identity(), True
+                cur_key = k
                 if in_first:
-                    first.tf = fold.tf_step(first.tf, seg)
+                    first.tf = fold.tf_step(first.tf, {c: a[s:e] for c, a in arrs.items()})
                     first_flags[s:e] = True
-                res, state = fold.step(k, seg, state)
+            if hasattr(fold, "step_many"):
+                res, exits = fold.step_many(keys, segs, arrs, entries)
                 for c in res_cols:
                     parts[c].append(np.asarray(res[c]))
+            else:
+                exits = []
+                for (s, e), entry in zip(segs, entries):
+                    res, ex = fold.step(keys[s], {c: a[s:e] for c, a in arrs.items()}, entry)
+                    exits.append(ex)
+                    for c in res_cols:
+                        parts[c].append(np.asarray(res[c]))
+            state = exits[-1]
             out = pdf
             for c in res_cols:
                 out[c] = np.concatenate(parts[c])
