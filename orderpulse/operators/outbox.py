@@ -131,6 +131,55 @@ class OutboxFold(KeyFold):
         out["dead"] = out["dead"].astype(bool)
         return out, st
 
+    def step_many(self, keys, segs, arrs, entries):
+        """All events of a batch at once: one numpy step per outcome position
+        until every event is processed (a success, or 5 retries)."""
+        starts = np.array([a for a, _ in segs], dtype=np.int64)
+        lens = np.array([b - a for a, b in segs], dtype=np.int64)
+        n = int(lens.sum())
+        ts = np.asarray(arrs["ts"]).astype("datetime64[us]").astype(np.int64)
+        base = np.asarray(arrs["retry_count"], dtype=np.int64)
+        okc = np.asarray(arrs["ok"], dtype=bool)
+        errc = np.asarray(arrs["error"], dtype=object)
+        fresh = [x is None for x in entries]
+        proc = np.array([False if f else x[0] for f, x in zip(fresh, entries)], dtype=bool)
+        retry = np.array([base[a] if f else x[1] for f, x, a in zip(fresh, entries, starts)], dtype=np.int64)
+        err = np.array([None if f else x[2] for f, x in zip(fresh, entries)], dtype=object)
+        dead = np.array([False if f else x[3] for f, x in zip(fresh, entries)], dtype=bool)
+        done_us = np.array([None if f else x[4] for f, x in zip(fresh, entries)], dtype=object)
+        out = {f: np.empty(n, dtype=object) for f in self._FIELDS}
+        used = np.zeros(len(segs), dtype=np.int64)
+        j = 0
+        while True:
+            live = np.flatnonzero((lens > j) & ~proc)
+            if len(live) == 0:
+                break
+            rows = starts[live] + j
+            good = okc[rows]
+            i = live[good]
+            proc[i], done_us[i] = True, ts[rows[good]]
+            i, r = live[~good], rows[~good]
+            retry[i] += 1
+            err[i] = [x[:ERROR_MAX_CHARS] if isinstance(x, str) else None for x in errc[r]]  # F8
+            gone = retry[i] >= MAX_RETRIES
+            proc[i[gone]], dead[i[gone]], done_us[i[gone]] = True, True, ts[r[gone]]
+            for f, arr in zip(self._FIELDS, (proc, retry, err, dead, done_us)):
+                out[f][rows] = arr[live]
+            used[live] += 1
+            j += 1
+        seg_of = np.repeat(np.arange(len(segs)), lens)
+        rest = (np.arange(n) - np.repeat(starts, lens)) >= used[seg_of]
+        if rest.any():
+            for f, arr in zip(self._FIELDS, (proc, retry, err, dead, done_us)):
+                out[f][rest] = arr[seg_of[rest]]
+        out["processed"] = out["processed"].astype(bool)
+        out["dead"] = out["dead"].astype(bool)
+        out["new_retry_count"] = np.array([int(v) for v in out["new_retry_count"]], dtype=object)
+        out["processed_us"] = np.array([None if v is None else int(v) for v in out["processed_us"]], dtype=object)
+        exits = [(bool(proc[k]), int(retry[k]), err[k], bool(dead[k]),
+                  None if done_us[k] is None else int(done_us[k])) for k in range(len(segs))]
+        return out, exits
+
     # Entry classes: fresh (None) and unprocessed with retry 0..3 or >= 4; the
     # exit keeps the retry count relative to the entry (delta) for classes.
     def tf_identity(self):
