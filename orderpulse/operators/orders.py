@@ -131,3 +131,22 @@ def order_totals(orders: DataFrame, catalog: DataFrame) -> DataFrame:
     total = F.col("price") * F.col("quantity")
     return j.select("order_id", "product_id", "quantity", "price", total.alias("total"),
                     (total > TOTAL_WARN).alias("warn"))
+
+
+def table_violations(df: DataFrame, id_col: str, rules: list[tuple[str, Column]],
+                     unique_cols: tuple[str, ...] = ()) -> DataFrame:
+    """P3 for any table: rows breaking a rule or sharing a unique column's value.
+
+    Each uniqueness check is a partial (map-side combined) count per value
+    joined back on the value, so many copies of one value never meet in one
+    task before the combine.
+    """
+    j = df
+    all_rules = list(rules)
+    for c in unique_cols:
+        cnt = df.groupBy(c).agg(F.count(F.lit(1)).alias(f"_n_{c}"))
+        j = j.join(cnt, c, "left")
+        all_rules.append((f"duplicate_{c}", F.coalesce(F.col(f"_n_{c}") > 1, F.lit(False))))
+    fr = failed_rules(all_rules)
+    return (j.withColumn("_failed", fr).filter(F.size("_failed") > 0)
+             .select(id_col, F.concat_ws(",", "_failed").alias("violations")))

@@ -20,6 +20,27 @@ def tenant_rows(df: DataFrame, current_tenant: str | None) -> DataFrame:
     return df.filter(F.col("tenant_id") == F.lit(current_tenant).cast("string"))
 
 
+# The tenant enums and column sizes of the tenants table.
+TENANT_PLANS = ("FREE", "STARTER", "PRO", "ENTERPRISE")
+TENANT_STATUSES = ("ACTIVE", "SUSPENDED", "DELETED")
+SLUG_MAX, NAME_MAX, API_KEY_MAX = 63, 255, 64
+
+
+def tenant_constraint_violations(tenants: DataFrame) -> DataFrame:
+    """P3 on the tenant registry: NOT NULL, lengths, enum values, unique slug and key."""
+    from .orders import table_violations
+    rules = [
+        ("slug_not_null", F.col("slug").isNull()),
+        ("slug_length", F.coalesce(F.length("slug") > SLUG_MAX, F.lit(False))),
+        ("name_not_null", F.col("name").isNull()),
+        ("name_length", F.coalesce(F.length("name") > NAME_MAX, F.lit(False))),
+        ("plan_enum", ~F.coalesce(F.col("plan").isin(*TENANT_PLANS), F.lit(False))),
+        ("status_enum", ~F.coalesce(F.col("status").isin(*TENANT_STATUSES), F.lit(False))),
+        ("api_key_length", F.coalesce(F.length("api_key") > API_KEY_MAX, F.lit(False))),
+    ]
+    return table_violations(tenants, "id", rules, ("slug", "api_key"))
+
+
 def tenant_write_check(df: DataFrame, current_tenant: str | None) -> DataFrame:
     """Mark rows a write as ``current_tenant`` may (not) store."""
     ok = F.coalesce(F.col("tenant_id") == F.lit(current_tenant).cast("string"), F.lit(False))

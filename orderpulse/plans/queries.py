@@ -355,6 +355,22 @@ def q_tenant_by_id(spark, d):
     return ten.tenant_by_id(tb.tenants(spark, d), TENANT).select("id", "slug", "plan", "status")
 
 
+@register("tenant_constraint_violations", W("""
+SELECT id, concat_ws(',',
+         CASE WHEN slug IS NULL THEN 'slug_not_null' END,
+         CASE WHEN coalesce(length(slug) > 63, false) THEN 'slug_length' END,
+         CASE WHEN name IS NULL THEN 'name_not_null' END,
+         CASE WHEN coalesce(length(name) > 255, false) THEN 'name_length' END,
+         CASE WHEN NOT coalesce(plan IN ('FREE','STARTER','PRO','ENTERPRISE'), false) THEN 'plan_enum' END,
+         CASE WHEN NOT coalesce(status IN ('ACTIVE','SUSPENDED','DELETED'), false) THEN 'status_enum' END,
+         CASE WHEN coalesce(length(api_key) > 64, false) THEN 'api_key_length' END,
+         CASE WHEN count(*) OVER (PARTITION BY slug) > 1 THEN 'duplicate_slug' END,
+         CASE WHEN count(*) OVER (PARTITION BY api_key) > 1 THEN 'duplicate_api_key' END) AS violations
+FROM v_tenants QUALIFY violations <> ''""", "v_tenants"), "P3")
+def q_tenant_constraint_violations(spark, d):
+    return ten.tenant_constraint_violations(tb.tenants(spark, d))
+
+
 @register("tenant_endpoints", W(f"""
 SELECT id, tenant_id, url, status FROM v_endpoints WHERE tenant_id = '{TENANT}'""", "v_endpoints"), "P13")
 def q_tenant_endpoints(spark, d):
