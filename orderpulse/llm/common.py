@@ -48,10 +48,10 @@ def lower_ascii(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows_at_once: int = ROWS_AT_ONCE) -> DataFrame:
     """``df`` through Arrow: ``make()`` runs once in a task and gives the function that turns
-    each slice of a batch into the output columns.  A slice has at most ``ROWS_AT_ONCE`` rows, so
-    Python objects of one slice live at a time."""
+    each slice of a batch into the output columns.  A slice has at most ``rows_at_once`` rows (Spark
+    bounds the bytes of a batch), so Python objects of one slice live at a time."""
     spark = df.sparkSession
     ship_package(spark)
     arrow = _arrow_schema(spark, schema)
@@ -59,8 +59,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                cols = f(batch.slice(at, ROWS_AT_ONCE))
+            for at in range(0, batch.num_rows, rows_at_once):
+                cols = f(batch.slice(at, rows_at_once))
                 yield pa.RecordBatch.from_arrays([_column(cols[x.name], x.type) for x in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

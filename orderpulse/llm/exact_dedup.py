@@ -22,6 +22,7 @@ import hashlib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .bloom import PlaceFilter
 from .common import fresh, lower_ascii, map_rows, saved
@@ -71,6 +72,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return marked.where(~F.col(flag)).select(*names).unionByName(last.select(*names))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def _sha256(text: pd.Series) -> pd.Series:
     return text.map(lambda t: hashlib.sha256(lower_ascii(t or "")).digest())

@@ -40,6 +40,8 @@ SWITCH_PENALTY = 12.0
 SCRIPT_SHARE = 0.02
 _NEVER = -1e4
 _CACHE_WORDS = 400_000
+#: Texts walked together: a step of the walk costs the same for few or many of them.
+ROWS_TOGETHER = 4000
 _WORD = re.compile(r"[^\W\d_]+")
 
 # The first and last code point of the main blocks of each script.
@@ -243,7 +245,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = map_rows(docs.select(id_col, F.col(text_col).cast("string").alias("text")), make,
-                   f"id {kind}, lang_pred string, score double, n_spans long")
+                   f"id {kind}, lang_pred string, score double, n_spans long", ROWS_TOGETHER)
     return out.withColumnRenamed("id", id_col)
 
 

@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *KINDS)
 #: Sentences that training takes at most; they are collected to the driver.
 MAX_TRAINING_ROWS = 5000
-_CACHE_WORDS = 300_000
+_CACHE_WORDS = 600_000
 
 Span = tuple[str, int, int]
 
@@ -43,6 +43,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"\S+")
+_MARKS = ",.;:!?\"'"
 
 
 def emails(text: str) -> Iterator[Span]:
@@ -121,9 +122,9 @@ def shape(token: str) -> str:
 
 def features(token: str) -> tuple[str, ...]:
     """Word-shape features of a token on its own."""
-    if token.isalpha():
-        return ("s=X" if token[0].isupper() else "s=x", "w=" + token.lower())
-    bare = token.strip(",;:!?\"'")
+    bare = token.strip(_MARKS)
+    if bare.isalpha():
+        return ("s=X" if bare[0].isupper() else "s=x", "w=" + bare.lower())
     digits = sum("0" <= c <= "9" for c in bare)
     letters = sum(c.isalpha() for c in bare)
     s = shape(bare)
@@ -180,7 +181,7 @@ class Crf:
         self.index, self.weights, self.transitions = index, weights, transitions  # weights: (3, features, K)
 
     @staticmethod
-    def train(rows: list[tuple[str, str]], steps: int = 150, rate: float = 0.5, l2: float = 2e-3) -> Crf:
+    def train(rows: list[tuple[str, str]], steps: int = 80, rate: float = 0.5, l2: float = 2e-3) -> Crf:
         """Gradient ascent (AdaGrad) on the penalised log likelihood, all sentences at once."""
         tokens = [t.split() for t, _ in rows]
         gold = [[LABELS.index(x) for x in y.split()] for _, y in rows]
@@ -215,8 +216,8 @@ class Crf:
             joint = np.exp(a[:, :-1, :, None] + tr + (e + b)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
             diff = onehot - p
             for q in range(3):
-                g = np.zeros(w[q].shape)
-                np.add.at(g, places[q].reshape(-1), np.repeat(diff.reshape(-1, k), width, 0))
+                at, by = places[q].reshape(-1), np.repeat(diff.reshape(-1, k), width, 0)
+                g = np.stack([np.bincount(at, by[:, c], len(w[q])) for c in range(k)], 1)
                 g -= l2 * n * 0.01 * w[q]
                 g[0] = 0
                 gw[q] += g * g
@@ -243,17 +244,31 @@ class Tagger:
         self.ids: dict[str, int] = {"": 0}
         self.rows = [np.zeros((3, len(LABELS)))]
         self.same: dict[bytes, int] = {self.rows[0].tobytes(): 0}
+        # a word of letters that training did not see has one of two vectors
+        self.words = {f[2:] for f in self.crf.index if f.startswith("w=")}
+        self.plain = [self._row(self.crf.vectors(w)) for w in ("\u0101", "\u0100")]
 
-    def _id(self, token: str) -> int:
-        v = self.crf.vectors(token)
+    def _row(self, v: np.ndarray) -> int:
         i = self.same.setdefault(v.tobytes(), len(self.rows))
         if i == len(self.rows):
             self.rows.append(v)
+        return i
+
+    def _id(self, token: str) -> int:
+        bare = token.strip(_MARKS)
+        if bare.isalpha() and bare.lower() not in self.words:
+            i = self.plain[bare[0].isupper()]
+        else:
+            i = self._row(self.crf.vectors(token))
         self.ids[token] = i
         return i
 
     def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(label of each token, tokens of each text)."""
+        """(label of each token, tokens of each text).
+
+        A token whose score for O leads by more than any two transitions can make up is O on the best
+        path.  Such tokens cut the texts, and the walk goes over the rest only; the result is that
+        of the walk over whole texts."""
         if len(self.ids) > _CACHE_WORDS:
             self._start()
         get, make = self.ids.get, self._id
@@ -264,11 +279,22 @@ class Tagger:
         starts = np.concatenate(([0], np.cumsum(lengths + 1)))[:-1] + 1
         for s, at in zip(split, starts.tolist()):
             ids[at:at + len(s)] = [make(w) if (i := get(w)) is None else i for w in s]
+        inner = np.zeros(len(ids), bool)
+        keep = np.repeat(starts, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        inner[keep] = True
         own, before, after = np.array(self.rows).transpose(1, 0, 2)
+        tr = self.crf.transitions
+        scores = own[ids]
+        scores[1:] += before[ids[:-1]]
+        scores[:-1] += after[ids[1:]]
+        open_ = inner & (scores[:, 0] - scores[:, 1:].max(1) <= 2 * (tr.max() - tr.min()))
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], open_, [False])).astype(np.int8)))
+        first, last = edge[::2], edge[1::2] - 1
+        scores[first] += np.where(inner[first - 1], 1, 0)[:, None] * tr[0]
+        scores[last] += np.where(inner[last + 1], 1, 0)[:, None] * tr[:, 0]
         out = np.zeros(len(ids), np.int8)
-        for part in viterbi.groups(lengths):
-            viterbi.walk(starts[part], lengths[part], lambda r: own[ids[r]] + before[ids[r - 1]] + after[ids[r + 1]], self.crf.transitions, out)
-        keep = np.repeat(starts, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        for part in viterbi.groups(last - first + 1):
+            viterbi.walk(first[part], (last - first + 1)[part], lambda r: scores[r], tr, out)
         return out[keep], lengths
 
     def spans(self, texts: list[str | None]) -> list[tuple[list[Span], list[Span]]]:
@@ -296,8 +322,8 @@ def _accepted(text: str, label: np.ndarray, base: list[Span]) -> list[Span]:
         kind = LABELS[label[s]]
         start, end = tokens[s].start(), tokens[e - 1].end()
         body = text[start:end]
-        lead = len(body) - len(body.lstrip(",.;:!?\"'"))
-        tail = len(body) - len(body.rstrip(",.;:!?\"'"))
+        lead = len(body) - len(body.lstrip(_MARKS))
+        tail = len(body) - len(body.rstrip(_MARKS))
         start, end = start + lead, end - tail
         if start < end and _has_form(kind, text[start:end]) and not any(a < end and start < b for a, b in taken):
             out.append((kind, start, end))

@@ -2,15 +2,15 @@
 
 Texts are split at white space; each word starts with the mark that the vocabulary uses for a
 space.  A word's segmentation is the one with the highest sum of piece scores.  The distinct words
-of a slice go into a trie, and the forward score of a node (the best segmentation of the prefix it
-stands for) is computed when the node is made, so words share the work of their common
-prefixes.  A word's token count stands at its last node; a text's count is the sum over its words.
+of a slice form a trie, and the forward score of a node (the best segmentation of the prefix it
+stands for) is computed once, so words share the work of their common prefixes.  A word's token
+count is that of its last node and is stored; a text's count is the sum over its words.
 
 Piece scores are log probabilities of a Zipf law over the vocabulary's ranks.  A character that no
 piece covers costs one token for each of its UTF-8 bytes, as byte fallback does.
 
-The vocabulary is read on the driver and broadcast (its size is checked).  The trie lives in the task
-and starts anew at ``MAX_NODES`` nodes; that changes the time, never a count.
+The vocabulary is read on the driver and broadcast (its size is checked).  A task keeps the counts of
+words it has seen and starts anew at ``MAX_TERMINALS``; that changes the time, never a count.
 
 Defined results: a null or empty text, or one of white space only, has 0 tokens and words; repeated
 rows each get their own count; ties between segmentations go to fewer tokens, so they never depend on
@@ -33,7 +33,7 @@ from .common import map_rows
 DEFAULT_MODEL = "piece_bpe_32k.model"
 #: Pieces that a vocabulary may have; it is broadcast.
 MAX_PIECES = 1_000_000
-MAX_NODES = 2_000_000
+MAX_TERMINALS = 500_000
 SPACE = "▁"  # fixed value: the mark of a space in sentencepiece vocabularies
 #: Score of a byte of a character that no piece covers, below any piece.
 BYTE_SCORE = -20.0
@@ -51,57 +51,60 @@ def read_pieces(path: str) -> dict[str, float]:
 
 
 class Trie:
-    """Words with the best segmentation score and token count of each prefix."""
+    """Token counts of words.
+
+    Sorted distinct words are the leaves of a trie in depth-first order, so the trie needs no
+    storage of its own: the walk holds the nodes of the current path, enters each node of the
+    trie once, and computes its forward score from its parent's on entering."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
-        # pieces by reversed prefix: the suffixes of a node's prefix that could still grow into a piece
-        self.endings = {p[i:] for p in pieces for i in range(len(p))}
-        self._start()
-
-    def _start(self) -> None:
-        self.children: list[dict[str, int]] = [{}]
-        self.best = [0.0]
-        self.count = [0]
-        self.parent = [0]
+        # the pieces' own trie: state * 2 ** 21 + code point -> state, and the score of a state that is a piece
+        self.step: dict[int, int] = {}
+        self.score: list[float | None] = [None]
+        for p, score in pieces.items():
+            state = 0
+            for c in p:
+                at = state << 21 | ord(c)
+                state = self.step.setdefault(at, len(self.score))
+                if state == len(self.score):
+                    self.score.append(None)
+            self.score[state] = score
+        self.terminal: dict[str, int] = {}
 
     def counts(self, words: Iterable[str]) -> dict[str, int]:
         """Token count of each word."""
-        out = {}
-        for w in words:
-            if len(self.children) > MAX_NODES:
-                self._start()
-            node = 0
-            for i, c in enumerate(w):
-                node = self.children[node].get(c) or self._add(node, c, w, i + 1)
-            out[w] = self.count[node]
-        return out
-
-    def _add(self, parent: int, c: str, word: str, end: int) -> int:
-        """The node of ``word[:end]`` under ``parent``: its best last piece, longer ones included."""
-        pieces, endings, best, count = self.pieces, self.endings, self.best, self.count
-        size = len(c.encode("utf-8", "surrogatepass"))
-        found = None
-        at = parent
-        for start in range(end - 1, max(-1, end - 1 - self.longest), -1):
-            part = word[start:end]
-            if part not in endings:
-                break
-            if (score := pieces.get(part)) is not None:
-                option = (best[at] + score, -(count[at] + 1))
-                if found is None or option > found:
-                    found = option
-            at = self.parent[at]
-        if found is None:
-            found = (best[parent] + BYTE_SCORE * size, -(count[parent] + size))
-        node = len(self.children)
-        self.children.append({})
-        self.children[parent][c] = node
-        best.append(found[0])
-        count.append(-found[1])
-        self.parent.append(parent)
-        return node
+        if len(self.terminal) > MAX_TERMINALS:
+            self.terminal = {}
+        terminal, step, piece_score = self.terminal, self.step.get, self.score
+        words = list(words)
+        path = [(0.0, 0, ())]   # of each prefix: best score, its tokens, pieces that may still end later
+        before = ""
+        for w in sorted(w for w in words if w not in terminal):
+            shared, most = 0, min(len(before), len(w))
+            while shared < most and before[shared] == w[shared]:
+                shared += 1
+            del path[shared + 1:]
+            best, tokens, alive = path[-1]
+            for c in w[shared:]:
+                code = ord(c)
+                top, fewest, grown = -math.inf, 0, []
+                for state, score, n in (*alive, (0, best, tokens)):
+                    state = step(state << 21 | code)
+                    if state is not None:
+                        grown.append((state, score, n))
+                        own = piece_score[state]
+                        if own is not None:
+                            own += score
+                            if own > top or own == top and n < fewest - 1:
+                                top, fewest = own, n + 1
+                if not fewest:
+                    size = len(c.encode("utf-8", "surrogatepass"))
+                    top, fewest = best + BYTE_SCORE * size, tokens + size
+                best, tokens, alive = top, fewest, grown
+                path.append((best, tokens, alive))
+            terminal[w] = tokens
+            before = w
+        return {w: terminal[w] for w in words}
 
 
 def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -113,8 +116,8 @@ def token_counts(docs: DataFrame, model_path: str | None = None, id_col: str = "
 
         def f(b: pa.RecordBatch) -> dict:
             split = [t.split() if t else [] for t in b.column(1).to_pylist()]
-            n = trie.counts(SPACE + w for w in set().union(*split))
-            get = {w[1:]: k for w, k in n.items()}.__getitem__
+            words = set().union(*split)
+            get = dict(zip(words, trie.counts(SPACE + w for w in words).values())).__getitem__
             return {"id": b.column(0), "n_words": [len(w) for w in split], "n_tokens": [sum(map(get, w)) for w in split]}
         return f
 
