@@ -30,6 +30,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers each that may be broadcast.
+MAX_BROADCAST_ROWS = 250_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A saved narrow table for the right side of a join: broadcast while its counted rows are few, and
+    left to a shuffle join beyond that."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name close to ``name`` that ``df`` does not use, whatever its letter case."""
     taken = {c.lower() for c in df.columns}

@@ -8,10 +8,11 @@
 3. In a bucket every member is paired with the bucket's smallest id, so a bucket makes as many
    pairs as it has members, whatever its size.  A pair stays a candidate when its signatures agree
    to within five standard deviations of the threshold.
-4. Candidates are confirmed on full sets: first each document's best one, then those between
-   different components.  Last, buckets that still hold several components pair members across
-   them: all such pairs in buckets of up to ``SMALL_BUCKET``, in larger ones each member
-   with a hash-random member of another component, round after round until a round links nothing.
+4. Each document's best candidate is confirmed on full sets, and the links give first components.
+   Where a bucket still holds several, all its signatures are compared, block against block, which
+   joins components to clusters; in a cluster the documents outside the largest component are
+   compared on full sets with all documents of other components.  So no link between documents
+   that share a bucket and agree is lost, while copies of one text never meet in pairs.
 5. Components: alternating large-star and small-star over the confirmed links.
 
 Only bucket keys, signatures and the texts of candidates are shuffled; a Bloom filter of candidate
@@ -25,22 +26,22 @@ an id are one document; an empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-import itertools
 from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import PlaceFilter, hash_of
-from .common import fresh, lower_ascii, map_rows, saved
+from .common import MAX_BROADCAST_ROWS, fresh, lookup, lower_ascii, map_rows, saved
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
 BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
-SMALL_BUCKET = 16
+#: Documents of a block, for comparing signatures in a bucket and full sets in a cluster.
+BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
 #: Five standard deviations of a signature's agreement at the threshold.
 LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Bytes of text hashed at once; a longer text is hashed in parts that end at white space.
@@ -174,13 +175,17 @@ def agreement(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return map_rows(both, make, "a long, b long, like double")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """(a, b) of the pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("digest", hash_of(F.col("id")))
-    wanted = PlaceFilter.of(ids, "digest")
+def texts_of(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text) of the rows of ``docs`` whose id is in ``ids`` (and few others), one for each id."""
+    wanted = PlaceFilter.of(ids.withColumn("digest", hash_of(F.col("id"))), "digest")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     texts = wanted.mark(texts.withColumn("digest", hash_of(F.col("id"))), "digest", "maybe").where("maybe").select("id", "text")
-    texts = texts.groupBy("id").agg(F.max("text").alias("text"))
+    return texts.groupBy("id").agg(F.max("text").alias("text"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b) of the pairs whose full sets reach the threshold."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_col, text_col)
     a = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "ta", "tb")
@@ -207,23 +212,29 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, id_col: str, text
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): the smallest id it is connected with."""
     edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while (now := edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()) != before:
-        before = now
+    while not _is_stars(edges):
+        few = edges.count() <= MAX_BROADCAST_ROWS
+        hint = F.broadcast if few else lambda x: x
         # large-star: every larger neighbour of u is linked to u's smallest neighbour (or u)
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
+        large = both.where("v > u").join(hint(low), "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u != v").distinct()
         # small-star: u and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        down = large.join(low, "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        down = large.join(hint(low), "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = saved(down.union(low.select("u", F.col("low").alias("v"))).distinct())
-    roots = edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
+
+
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every id has one smaller neighbour or only larger ones."""
+    two = edges.groupBy("u").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a != b")
+    return two.isEmpty() and edges.join(lookup(edges.select(F.col("u").alias("w"))), F.col("v") == F.col("w"), "left_semi").isEmpty()
 
 
 def _rooted(rows: DataFrame, names: list[str], roots: DataFrame) -> DataFrame:
-    """``rows`` with ``root_<name>`` of each id column; an id without links is its own root."""
+    """``rows`` with ``root_<name>`` of each id column; an id that ``roots`` does not list is its own root."""
+    roots = lookup(roots)
     for c in names:
         r = roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root"))
         rows = rows.join(r, rows[c] == F.col("r_id"), "left").withColumn(f"root_{c}", F.coalesce("r_root", F.col(c))).drop("r_id", "r_root")
@@ -234,64 +245,114 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after more ``links``: components of the roots, then composed."""
     more = _rooted(links, ["a", "b"], roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a != b")
     higher = saved(components(more))
-    ids = roots.select("id", "root").union(links.select(F.explode(F.array("a", "b")).alias("id")).join(roots, "id", "left_anti").select("id", F.col("id").alias("root"))).distinct()
-    h = higher.select(F.col("id").alias("h_id"), F.col("root").alias("h_root"))
-    return saved(ids.join(h, ids["root"] == h["h_id"], "left").select("id", F.coalesce("h_root", "root").alias("root")))
-
-
-def _across(members: DataFrame, roots: DataFrame, round_: int) -> DataFrame:
-    """Pairs (a, b), a < b, of members (key, id) of a bucket in different components."""
-    m = _rooted(members, ["id"], roots)
-    open_ = m.groupBy("key").agg(F.count_distinct("root_id").alias("n"), F.count(F.lit(1)).alias("size")).where("n > 1")
-    m = saved(m.join(open_, "key").select("key", "id", F.col("root_id").alias("root"), "size"))
-    large = m.where(F.col("size") > SMALL_BUCKET)
-    order = F.struct(F.xxhash64("id", F.lit(round_)).alias("h"), F.col("id").alias("id"), F.col("root").alias("root"))
-    first = large.join(large.groupBy("key").agg(F.min(order).alias("one")), "key")
-    two = first.where(F.col("root") != F.col("one.root")).groupBy("key").agg(F.min(order).alias("two"))
-    other = F.when(F.col("root") != F.col("one.root"), F.col("one.id")).otherwise(F.col("two.id"))
-    pairs = first.join(two, "key").select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
-    if round_ == 0:
-        small = m.where(F.col("size") <= SMALL_BUCKET)
-        listed = small.groupBy("key").agg(F.collect_list(F.struct("id", "root")).alias("others"))
-        all_pairs = small.join(listed, "key").select("id", "root", F.explode("others").alias("o")).where("id < o.id and root != o.root")
-        pairs = pairs.union(all_pairs.select(F.col("id").alias("a"), F.col("o.id").alias("b")))
-    return pairs.distinct()
+    old = _rooted(roots, ["root"], higher).select("id", F.col("root_root").alias("root"))
+    new = higher.join(lookup(roots.select("id")), "id", "left_anti")
+    return saved(old.unionByName(new))
+
+
+def _blocks(rows: DataFrame, group: str, size: int, value: Column) -> DataFrame:
+    """(group, block, items): the rows of each group in blocks of about ``size`` by a hash of the id."""
+    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("n"))
+    dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
+    return dealt.groupBy(group, "block").agg(F.collect_list(value).alias("items"))
+
+
+def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """(a, b): pairs of roots joined by documents that share a bucket and whose signatures agree.
+
+    Every pair of members of a bucket with several components is looked at, block against block;
+    a pair of blocks gives a spanning forest of what it finds, so its result is as small as itself."""
+    m = _rooted(shared.select("key", "id"), ["id"], roots).select("key", "id", F.col("root_id").alias("root"))
+    mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
+    m = m.join(mixed, "key").join(signed, "id").select("key", "id", "root", "signature")
+    blocks = saved(_blocks(m, "key", BUCKET_BLOCK, F.struct("root", "signature")))
+    other = blocks.select("key", F.col("block").alias("block2"), F.col("items").alias("items2"))
+    both = blocks.join(other, "key").where("block <= block2").select("items", "items2")
+
+    def make():
+        def f(x: pa.RecordBatch) -> dict:
+            edges: set[tuple[int, int]] = set()
+            for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                (rp, sp), (rq, sq) = ((np.array([i["root"] for i in z]), np.frombuffer(b"".join(i["signature"] for i in z), np.uint8).reshape(-1, MINIMA)) for z in (p, q))
+                top: dict[int, int] = {}
+
+                def find(r: int) -> int:
+                    while top.setdefault(r, r) != r:
+                        top[r] = r = top[top[r]]
+                    return r
+
+                for r, sig in zip(rp.tolist(), sp):
+                    for o in np.unique(rq[(sq == sig).mean(1) >= LEAST_AGREEMENT]).tolist():
+                        if (a := find(r)) != (b := find(o)):
+                            top[max(a, b)] = min(a, b)
+                            edges.add((min(r, o), max(r, o)))
+            return {"a": [a for a, _ in edges], "b": [b for _, b in edges]}
+        return f
+
+    return map_rows(both, make, "a long, b long", 64).distinct()
+
+
+def _between(bridges: DataFrame, stand: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): confirmed links between components that ``bridges`` join to a cluster.
+
+    In a cluster the documents outside its largest component are compared on full sets with all
+    documents of other components, block against block; only links leave the task."""
+    clusters = saved(components(bridges))
+    clusters = lookup(saved(clusters.union(clusters.select("root", "root")).distinct().select(F.col("id").alias("c_root"), F.col("root").alias("cluster"))))
+    m = _rooted(stand, ["id"], roots).select("id", F.col("root_id").alias("root"))
+    m = saved(m.join(clusters, m["root"] == F.col("c_root")).select("id", "root", "cluster"))
+    sizes = m.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"))
+    whole = saved(m.join(texts_of(m.select("id"), docs, id_col, text_col), "id").join(sizes.select("cluster", F.col("most.root").alias("main")), "cluster"))
+    item = F.struct("id", "root", "text")
+    blocks = _blocks(whole, "cluster", CLUSTER_BLOCK, item).select("cluster", "items")
+    asked = _blocks(whole.where("root != main"), "cluster", CLUSTER_BLOCK, item).select("cluster", F.col("items").alias("items2"))
+    both = blocks.join(asked, "cluster").select("items", "items2")
+
+    def make():
+        def f(x: pa.RecordBatch) -> dict:
+            found: list[tuple[int, int]] = []
+            for p, q in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
+                sets = [shingle_set(i["text"], shingle) for i in p]
+                sizes = np.array([len(z) for z in sets])
+                owner, values = np.repeat(np.arange(len(p)), sizes), np.concatenate(sets)
+                order = np.argsort(values, kind="stable")
+                owner, values = owner[order], values[order]
+                root = np.array([i["root"] for i in p])
+                for i in q:
+                    own = shingle_set(i["text"], shingle)
+                    low, high = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+                    n = high - low
+                    at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                    both = np.bincount(owner[at], minlength=len(p))
+                    linked = (100 * both >= THRESHOLD_PERCENT * (sizes + len(own) - both)) & (root != i["root"]) & (both > 0)
+                    found += [(p[j]["id"], i["id"]) for j in np.flatnonzero(linked)]
+            return {"a": [a for a, _ in found], "b": [b for _, b in found]}
+        return f
+
+    return map_rows(both, make, "a long, b long", 16)
 
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     signed = saved(signatures(docs, shingle, id_col, text_col))
     usable = signed.where("n_shingles > 0 and id is not null")
-    classes = usable.groupBy("class").agg(F.min("id").alias("rep"))
-    member = usable.select("id", "class").join(classes, "class").select("id", "rep").distinct()
-    member = saved(member)
-    stand = usable.join(classes.select("class", F.col("rep").alias("id")), ["class", "id"]).select("id", "bands", "signature").dropDuplicates(["id"])
+    classes = saved(usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "rep"))
+    copies = saved(usable.select("id", "class").join(lookup(classes), "class").where("id != rep").select("id", "rep").distinct())
+    stand = usable.join(lookup(copies.select("id")), "id", "left_anti").select("id", "bands", "signature")
     keyed = stand.select("id", F.explode("bands").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "hub")
+    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub != most").select("key", "hub")
     shared = saved(keyed.join(hubs, "key"))
-    in_bucket = shared.select("id").distinct()
-    signed_few = saved(stand.select("id", "signature").join(in_bucket, "id"))
-    pairs = shared.where("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    signed_few = saved(stand.select("id", "signature").join(shared.select("id").distinct(), "id"))
+    pairs = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     likely = saved(agreement(pairs, signed_few))
-    best = likely.groupBy("a").agg(F.max(F.struct("like", (-F.col("b")).alias("minus"))).alias("m")).select("a", (-F.col("m.minus")).alias("b"))
-    roots = saved(components(saved(confirmed(best, docs, shingle, id_col, text_col)).union(member.where("id != rep").select("id", "rep"))))
-    between = _rooted(likely, ["a", "b"], roots).where("root_a != root_b").select("a", "b")
-    tested = saved(best.union(between).distinct())
-    links = saved(confirmed(between, docs, shingle, id_col, text_col))
-    if not links.isEmpty():
-        roots = _grown(roots, links)
-    for round_ in itertools.count():
-        pairs = _across(shared.select("key", "id"), roots, round_)
-        untested = pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        hopeful = saved(agreement(untested, signed_few))
-        links = saved(confirmed(hopeful, docs, shingle, id_col, text_col))
-        if links.isEmpty():
-            break
-        roots = _grown(roots, links)
-        tested = tested.union(hopeful.select("a", "b"))
-    r = roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root"))
-    out = signed.select(F.col("id").alias("doc_id"), "n_shingles").join(r, F.col("doc_id") == F.col("r_id"), "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("r_root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    best = saved(likely.groupBy("b").agg(F.max(F.struct("like", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b"))
+    roots = saved(components(saved(confirmed(best, docs, shingle, id_col, text_col)).union(copies.select("id", "rep"))))
+    bridges = saved(_bridges(shared, roots, signed_few))
+    if not bridges.isEmpty():
+        roots = _grown(roots, saved(_between(bridges, stand.select("id"), roots, docs, shingle, id_col, text_col)))
+    found = roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root"))
+    out = signed.select(F.col("id").alias("doc_id"), "n_shingles").join(lookup(found), F.col("doc_id") == F.col("r_id"), "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("r_root", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
