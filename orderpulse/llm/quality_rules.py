@@ -41,25 +41,24 @@ def _let(value: Column, body) -> Column:
 
 def repeated_words(words: Column, size: int = WINDOW) -> Column:
     """Words covered by windows of ``size`` words that occur twice or more, the first included."""
-    n = F.size(words)
+    def starts(ordered: Column) -> Column:
+        hash_at = lambda k: F.get(ordered, k)["h"]
+        twice = F.filter(ordered, lambda x, k: F.coalesce(x["h"] == hash_at(k - 1), F.lit(False)) | F.coalesce(x["h"] == hash_at(k + 1), F.lit(False)))
+        return F.sort_array(F.transform(twice, lambda x: x["i"]))
+
+    def length(at: Column) -> Column:
+        steps = F.transform(at, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(at, k + 1) - x, F.lit(size))))
+        return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
 
     def covered(hashes: Column) -> Column:
         ordered = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(_let(ordered, starts), length)).otherwise(F.lit(0))
 
-        def starts(s: Column) -> Column:
-            hash_at = lambda k: F.get(s, k)["h"]
-            twice = F.filter(s, lambda x, k: F.coalesce(x["h"] == hash_at(k - 1), F.lit(False)) | F.coalesce(x["h"] == hash_at(k + 1), F.lit(False)))
-            return F.sort_array(F.transform(twice, lambda x: x["i"]))
-
-        def length(p: Column) -> Column:
-            steps = F.transform(p, lambda x, k: F.least(F.lit(size), F.coalesce(F.get(p, k + 1) - x, F.lit(size))))
-            return F.aggregate(steps, F.lit(0), lambda a, x: a + x)
-
-        return _let(_let(ordered, starts), length)
+    def count(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (size - 1)), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+        return F.when(F.size(w) > size, _let(hashes, covered)).otherwise(F.lit(0))
 
-    hashes = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(words, i, F.lit(size))))
-    found = _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0)))
-    return F.when(n > size, found).otherwise(F.lit(0))
+    return _let(words, count)
 
 
 def _lines(text: Column) -> Column:
@@ -139,10 +138,14 @@ def measures(docs: DataFrame, host_col: str = "source", **limits) -> DataFrame:
 def clean(docs: DataFrame, host_col: str = "source", **limits) -> DataFrame:
     """The documents that pass, without the lines that the rule removes; columns as in ``docs``."""
     joined, found = _with_lines(docs, host_col, **limits)
-    words, lines, gone = (fresh(joined, c) for c in ("text_words", "text_lines", "gone_chars"))
-    d = joined.withColumns({words: words_of(F.col("text")), lines: _lines(F.coalesce("text", F.lit("")))})
-    d = d.withColumn(gone, _removed_chars(F.col(lines), F.col(found), F.col("doc_id")))
-    d = d.where(~_base_failed(F.size(words), repeated_words(F.col(words))) & ~_depleted(_chars(F.col(lines)), F.col(gone)))
+    gone = fresh(joined, "gone_chars")
+
+    def loss(lines: Column) -> Column:   # characters removed, -1 for a depleted document
+        removed = _removed_chars(lines, F.col(found), F.col("doc_id"))
+        return _let(removed, lambda r: F.when(_depleted(_chars(lines), r), F.lit(-1).cast("long")).otherwise(r))
+
+    d = joined.where(~_let(words_of(F.col("text")), lambda w: _base_failed(F.size(w), repeated_words(w))))
+    d = d.withColumn(gone, _let(_lines(F.coalesce("text", F.lit(""))), loss)).where(F.col(gone) >= 0)
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~_is_removed(x, F.col(found), F.col("doc_id"))), "\n")
     put = {"text": F.when(F.col(gone) > 0, left).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
