@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Patterns and limits used by the reference.
-URL_PATTERN = r"^https?://.+$"
+URL_PATTERN = r"\Ahttps?://.+\z"
 TRACE_ID_PATTERN = r'"traceId":"(\w+)"'
 ERROR_MAX_CHARS = 500
 
@@ -18,7 +18,7 @@ def url_ok(url: Column) -> Column:
 
 def csv_types(csv: Column) -> Column:
     """F3 helper: the trimmed entries of a comma-separated list."""
-    return F.transform(F.split(csv, ","), lambda t: F.trim(t))
+    return F.transform(F.split(csv, ","), lambda t: F.regexp_replace(t, r"^\s+|\s+$", ""))
 
 
 def subscribes_to(csv: Column, event_type: Column) -> Column:

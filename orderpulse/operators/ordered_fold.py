@@ -9,7 +9,8 @@ all rows - to a single task.  Instead:
 1. ``repartitionByRange(n, key, *order)`` + ``sortWithinPartitions``: the
    range bounds include the ordering columns, so a hot key is cut into
    contiguous slices over many partitions, each sorted.
-2. Pass 1 (``mapInPandas``, streamed batch by batch): every key segment of a
+2. Pass 1 (``mapInArrow``, streamed batch by batch; only the key and the
+   fold's inputs leave Arrow, so all other columns pass unchanged): every key segment of a
    partition is folded from the key's initial state.  For the first segment
    of each partition the fold also builds a *transfer function* - a compact
    summary mapping any entry state to the exit state (bounded by the state
@@ -23,7 +24,7 @@ all rows - to a single task.  Instead:
    parallel, yielding the true entry state of every continuation segment
    (no group ever holds a whole key's transfer functions).
 5. Pass 2: only first segments whose entry differs from the initial state
-   are folded again (``mapInPandas`` over the checkpointed partitions, after
+   are folded again (``mapInArrow`` over the checkpointed partitions, after
    a broadcast join with the resolved entries - at most one row per
    partition).  All other rows are read straight from the checkpoint by the
    JVM and unioned back.
@@ -42,9 +43,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import ensure_checkpoint_dir, ship_package
 
@@ -117,6 +120,18 @@ def _segments(keys: np.ndarray):
     return list(zip(starts.tolist(), ends.tolist()))
 
 
+def _objects(col: pa.Array) -> np.ndarray:
+    out = np.empty(len(col), dtype=object)
+    out[:] = col.to_pylist()
+    return out
+
+
+def _inputs(col: pa.Array) -> np.ndarray:
+    if pa.types.is_timestamp(col.type):   # UTC microseconds, so every Spark timestamp fits
+        col = col.cast(pa.timestamp("us"))
+    return col.to_pandas().to_numpy()
+
+
 def _key_values(col: pd.Series) -> np.ndarray:
     # object array so that None compares as its own key
     return col.astype(object).where(col.notna(), None).to_numpy()
@@ -125,12 +140,6 @@ def _key_values(col: pd.Series) -> np.ndarray:
 # Target bytes per range partition (input size as Catalyst estimates it).
 PARTITION_BYTES_CONF = "orderpulse.fold.partitionBytes"
 DEFAULT_PARTITION_BYTES = 256 * 1024 * 1024
-# Up to this many range partitions a key's carry is resolved in one group;
-# beyond it, in blocks of ~sqrt(n) partitions.
-SINGLE_GROUP_CONF = "orderpulse.fold.singleGroupPartitions"
-SINGLE_GROUP_PARTITIONS = 256
-MAX_PARTITIONS_CONF = "orderpulse.fold.maxPartitions"
-DEFAULT_MAX_PARTITIONS = 100_000
 _UNKNOWN_SIZE = 1 << 62  # Spark reports Long.MaxValue for sizes it cannot estimate
 
 
@@ -156,8 +165,7 @@ def range_partitions(df: DataFrame) -> int:
         est = min(est, read)
     except Exception:  # noqa: BLE001 - statistics are best effort
         est = 0
-    cap = int(spark.conf.get(MAX_PARTITIONS_CONF, str(DEFAULT_MAX_PARTITIONS)))
-    return int(min(cap, max(base, -(-est // target))))
+    return int(max(base, -(-est // target)))
 
 
 def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
@@ -177,25 +185,33 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
     res_cols = [f.name for f in res_schema.fields]
     all_cols = in_cols + res_cols
 
-    def _meta_frame(pid: int, kind: str, key_value: Any, payload: Any) -> pd.DataFrame:
-        row = {c: [None] for c in all_cols}
-        row[key] = [key_value]
-        row.update(_pid=[pid], _first=[None], _kind=[kind], _meta=[pickle.dumps(payload)])
-        return pd.DataFrame(row, columns=all_cols + ["_pid", "_first", "_kind", "_meta"])
+    res_types = [to_arrow_type(f.dataType) for f in res_schema.fields]
+
+    def _batch(cols: list, like: pa.Schema) -> pa.RecordBatch:
+        """Columns in the order of p1_schema, with the input's own Arrow types."""
+        names = all_cols + ["_pid", "_first", "_kind", "_meta"]
+        types = [like.field(c).type for c in in_cols] + res_types + [pa.int32(), pa.bool_(), pa.string(), pa.binary()]
+        return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t, from_pandas=True)
+                                           for v, t in zip(cols, types)], names=names)
+
+    def _meta_batch(like: pa.Schema, pid: int, kind: str, key_value: Any, payload: Any) -> pa.RecordBatch:
+        cols = [[key_value] if c == key else [None] for c in all_cols]
+        return _batch(cols + [[pid], [None], [kind], [pickle.dumps(payload)]], like)
 
     def pass1(batches):
         from pyspark import TaskContext
         pid = TaskContext.get().partitionId()
         first = _Meta()
-        cur_key, state, in_first, started = None, None, True, False
-        for pdf in batches:
-            if len(pdf) == 0:
+        cur_key, state, in_first, started, like = None, None, True, False, None
+        for batch in batches:
+            n_rows = batch.num_rows
+            if n_rows == 0:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            keys = _key_values(pdf[key])
-            arrs = {c: pdf[c].to_numpy() for c in fold.input_cols}
+            like = batch.schema
+            keys = _objects(batch.column(key))
+            arrs = {c: _inputs(batch.column(c)) for c in fold.input_cols}
             parts: dict[str, list] = {c: [] for c in res_cols}
-            first_flags = np.zeros(len(pdf), dtype=bool)
+            first_flags = np.zeros(n_rows, dtype=bool)
             segs = _segments(keys)
             entries = []
             for s, e in segs:
@@ -225,23 +241,16 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
                     for c in res_cols:
                         parts[c].append(np.asarray(res[c]))
             state = exits[-1]
-            out = pdf
-            for c in res_cols:
-                out[c] = np.concatenate(parts[c])
-            out["_pid"] = pid
-            out["_first"] = first_flags
-            out["_kind"] = _KIND_ROW
-            out["_meta"] = None
-            yield out
+            yield _batch([batch.column(c) for c in in_cols] + [np.concatenate(parts[c]) for c in res_cols]
+                         + [[pid] * n_rows, first_flags, [_KIND_ROW] * n_rows, [None] * n_rows], like)
         if first.seen:
             first.single = in_first
-            yield _meta_frame(pid, _KIND_FIRST, first.key,
-                              (fold.tf_finish(first.tf), first.single))
+            yield _meta_batch(like, pid, _KIND_FIRST, first.key, (fold.tf_finish(first.tf), first.single))
             if not in_first:
-                yield _meta_frame(pid, _KIND_LAST, cur_key, state)
+                yield _meta_batch(like, pid, _KIND_LAST, cur_key, state)
 
     parted = df.repartitionByRange(n, key, *order).sortWithinPartitions(key, *order)
-    p1 = parted.mapInPandas(pass1, schema=p1_schema).checkpoint(eager=True)
+    p1 = parted.mapInArrow(pass1, schema=p1_schema).checkpoint(eager=True)
 
     # ---- carry resolution over the meta table (<= 2 rows per partition) -------
     # Each meta row is a function of the entry state: a last-slice row is a
@@ -310,23 +319,7 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
         return pd.DataFrame({"_fix_pid": pd.Series(out_pid, dtype="int32"),
                              "_entry": pd.Series(out_entry, dtype=object)})
 
-    def resolve_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pid")
-        state, has_prev = fold.init(_key_values(pdf[key])[0]), False
-        out_pid, out_entry = [], []
-        for kind, pid, blob in zip(pdf["_kind"], pdf["_pid"], pdf["_meta"]):
-            if kind == _KIND_FIRST and has_prev:
-                out_pid.append(int(pid))
-                out_entry.append(pickle.dumps(state))
-            state, has_prev = apply_fn(fn_of(kind, blob), state), True
-        return pd.DataFrame({"_fix_pid": pd.Series(out_pid, dtype="int32"),
-                             "_entry": pd.Series(out_entry, dtype=object)})
-
     meta = p1.filter(F.col("_kind") != _KIND_ROW).select(key, "_pid", "_kind", "_meta")
-    if n <= int(spark.conf.get(SINGLE_GROUP_CONF, str(SINGLE_GROUP_PARTITIONS))):
-        # few partitions: one group per key holds at most n transfer functions
-        fixes = meta.groupBy(key).applyInPandas(resolve_key, schema=fix_schema)
-        return _pass2(p1, fixes, fold, key, order, in_schema, res_schema, all_cols)
     meta = meta.withColumn("_blk", F.floor(F.col("_pid") / block).cast("int"))
     blocks = meta.groupBy(key, "_blk").applyInPandas(compose_block, schema=blk_schema)
     entries = blocks.groupBy(key).applyInPandas(chain_blocks, schema=ent_schema)
@@ -340,7 +333,6 @@ def ordered_fold(df: DataFrame, key: str, order: list[str], fold: KeyFold,
 
 def _pass2(p1: DataFrame, fixes: DataFrame, fold: KeyFold, key: str, order: list[str],
            in_schema: T.StructType, res_schema: T.StructType, all_cols: list[str]) -> DataFrame:
-    res_cols = [f.name for f in res_schema.fields]
     # ---- pass 2: refold continuation segments ----------------------------------
     rows = p1.filter(F.col("_kind") == _KIND_ROW).drop("_kind", "_meta")
     # fixes has at most one row per partition, so its size is bounded by n.
@@ -351,22 +343,23 @@ def _pass2(p1: DataFrame, fixes: DataFrame, fold: KeyFold, key: str, order: list
     # each in the task of its own partition (filter and join keep partitioning).
     keep = joined.filter(~need).select(*all_cols)
     p2_schema = T.StructType(list(in_schema.fields) + list(res_schema.fields))
-    order_cols = list(order)
 
     def pass2(batches):
-        pending = [pdf for pdf in batches if len(pdf)]
-        if not pending:
-            return
-        seg = pd.concat(pending, ignore_index=True).sort_values(order_cols, kind="stable")
-        seg = seg.reset_index(drop=True)
-        entry = seg["_entry"].iloc[0]
-        k = _key_values(seg[key])[0]
-        res, _ = fold.step(k, {c: seg[c].to_numpy() for c in fold.input_cols}, pickle.loads(entry))
-        for c in res_cols:
-            seg[c] = np.asarray(res[c])
-        yield seg[all_cols]
-
-    refolded = joined.filter(need).mapInPandas(pass2, schema=p2_schema)
+        # one slice of one key, in pass 1's order: folded batch by batch with the state carried
+        state, started = None, False
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            if not started:
+                state, started = pickle.loads(batch.column("_entry")[0].as_py()), True
+            arrs = {c: _inputs(batch.column(c)) for c in fold.input_cols}
+            res, state = fold.step(batch.column(key)[0].as_py(), arrs, state)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in in_schema.fields]
+                + [pa.array(np.asarray(res[f.name]), to_arrow_type(f.dataType), from_pandas=True) for f in res_schema.fields],
+                names=all_cols)
+
+    refolded = joined.filter(need).mapInArrow(pass2, schema=p2_schema)
     return keep.unionByName(refolded)
 
 

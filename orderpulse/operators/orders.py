@@ -12,7 +12,7 @@ from ..functions.text import to_base64
 
 def blank(c: Column) -> Column:
     """null, empty or whitespace only (Java's isBlank)."""
-    return c.isNull() | (F.trim(c) == "")
+    return c.isNull() | ~c.rlike(r"\S")
 
 
 def failed_rules(rules: list[tuple[str, Column]]) -> Column:

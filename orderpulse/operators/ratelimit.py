@@ -3,8 +3,8 @@
 Rule: a tenant's window opens at its first request; a request more than
 ``window_ms`` after the window start opens a new window and resets the count.
 Every request is counted, refused ones too, and a request is refused when the
-count exceeds the plan's limit.  Requests without a tenant and unlimited
-plans (ENTERPRISE) pass without touching the counters.
+count exceeds the plan's limit.  Requests without a tenant, unlimited plans
+(ENTERPRISE) and ``/actuator`` paths pass without touching the counters.
 
 The windows are not aligned to the clock (not ``window()``) and have no gap
 rule (not ``session_window``): each start depends on the previous start, so
@@ -214,6 +214,8 @@ def rate_limit_decisions(requests: DataFrame, limit: Column | None = None,
     by default the plan table of the gateway (unknown plan -> 100).
     """
     lim = limit if limit is not None else rate_limit(F.col("plan"))
+    if "path" in requests.columns:   # health probes are not limited
+        lim = F.when(~F.coalesce(F.col("path").startswith("/actuator"), F.lit(False)), lim)
     r = requests.withColumn("rate_limit", lim)
     counted = r.filter(F.col(key).isNotNull() & F.col("rate_limit").isNotNull())
     passed = r.filter(F.col(key).isNull() | F.col("rate_limit").isNull())

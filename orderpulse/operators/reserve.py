@@ -25,6 +25,14 @@ from .ordered_fold import KeyFold, ordered_fold
 DEFAULT_STOCK = 100
 RESERVED, OUT_OF_STOCK = "RESERVED", "OUT_OF_STOCK"
 _BLOCK = 4096
+_NEVER_FITS = 1 << 40  # an order without a quantity is refused
+
+
+def _quantities(seg: dict, col: str) -> np.ndarray:
+    q = np.asarray(seg[col])
+    if q.dtype == object or q.dtype.kind == "f":
+        q = np.array([_NEVER_FITS if v is None or v != v else int(v) for v in q.tolist()])
+    return q.astype(np.int64)
 
 
 def _next_fitting(q: np.ndarray, i: int, limit: int) -> int:
@@ -75,7 +83,7 @@ class StockFold(KeyFold):
         return self.initial
 
     def step(self, key, seg, state):
-        q = np.asarray(seg[self.qty_col], dtype=np.int64)
+        q = _quantities(seg, self.qty_col)
         taken, left = reserve_scan(q, int(state))
         remaining = int(state) - np.cumsum(np.where(taken, q, 0))
         return {"status": np.where(taken, RESERVED, OUT_OF_STOCK).astype(object),
@@ -88,7 +96,7 @@ class StockFold(KeyFold):
         return np.arange(self.initial + 1, dtype=np.int64)
 
     def tf_step(self, tf, seg):
-        q = np.asarray(seg[self.qty_col], dtype=np.int64)
+        q = _quantities(seg, self.qty_col)
         if (q <= 0).any():
             for v in q:
                 tf = np.where(tf >= v, tf - v, tf)

@@ -133,16 +133,17 @@ def register_tenants(requests: DataFrame, existing: DataFrame) -> DataFrame:
     """Create tenants with unique slugs.
 
     A slug already in the registry is a conflict (anti join), as is every
-    request after the first for the same slug inside the batch.  Plans
+    request after the first valid one for the same slug inside the batch.  Plans
     default to FREE.  The first request per slug is a partial ``min``
     aggregate joined back on the slug, so many copies of one slug are
     combined map-side instead of being ranked in one task.
     """
     taken = existing.select(F.col("slug").alias("_slug")).distinct()
-    firsts = requests.groupBy("slug").agg(F.min("request_seq").alias("_first_seq"))
+    invalid = blank(F.col("slug")) | blank(F.col("name"))
+    firsts = requests.filter(~invalid).groupBy("slug").agg(F.min("request_seq").alias("_first_seq"))
     j = (requests.join(firsts, "slug", "left")
                  .join(taken, F.col("slug") == F.col("_slug"), "left"))
-    outcome = (F.when(blank(F.col("slug")) | blank(F.col("name")), F.lit("invalid"))
+    outcome = (F.when(invalid, F.lit("invalid"))
                 .when(F.col("_slug").isNotNull(), F.lit("conflict"))
                 .when(F.col("request_seq") == F.col("_first_seq"), F.lit("created"))
                 .otherwise(F.lit("conflict")))

@@ -58,7 +58,7 @@ comp AS (
          t1.status AS inventory_status
   FROM v_orders o JOIN t1 ON o.order_id = t1.order_id)"""
 
-BLANK = "({c} IS NULL OR trim({c}) = '')"
+BLANK = "({c} IS NULL OR NOT regexp_matches({c}, '\\S'))"
 
 LINES_USAGE_SQL = """
 usage AS (
@@ -68,7 +68,7 @@ usage AS (
               THEN upper(coalesce(t.plan, 'FREE')) ELSE 'FREE' END AS plan
   FROM (SELECT tenant_id, CAST(year(placed_at) AS BIGINT) AS billing_year,
                CAST(month(placed_at) AS BIGINT) AS billing_month, count(*) AS order_count
-        FROM v_lines WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '')
+        FROM v_lines WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S'))
         GROUP BY ALL) u
   LEFT JOIN v_tenants t ON u.tenant_id = t.id)"""
 
@@ -313,7 +313,7 @@ def q_tenant_backfill(spark, d):
 @register("effective_tenant", W("""
 SELECT order_id,
        coalesce(CASE WHEN seq % 4 = 0 THEN NULL ELSE tenant_id END, 'body-' || customer_id) AS effective_tenant,
-       CASE WHEN NOT (tenant_id IS NULL OR trim(tenant_id) = '') THEN tenant_id ELSE 'default' END AS claim_tenant
+       CASE WHEN NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) THEN tenant_id ELSE 'default' END AS claim_tenant
 FROM v_requests_bad""", "v_requests_bad"), "P10")
 def q_effective_tenant(spark, d):
     r = tb.bad_requests(spark, d)
@@ -388,7 +388,7 @@ def q_tenant_active_endpoints(spark, d):
 @register("resolve_api_keys", W("""
 SELECT r.request_id, r.api_key,
        CASE WHEN starts_with(r.path, '/actuator') THEN 'pass'
-            WHEN r.api_key IS NULL OR trim(r.api_key) = '' THEN 'missing_key'
+            WHEN r.api_key IS NULL OR NOT regexp_matches(r.api_key, '\\S') THEN 'missing_key'
             WHEN t.api_key IS NULL THEN 'invalid_key'
             WHEN t.status <> 'ACTIVE' THEN 'inactive' ELSE 'ok' END AS outcome,
        CASE WHEN NOT starts_with(r.path, '/actuator') AND t.status = 'ACTIVE' THEN t.id END AS tenant_id,
@@ -403,20 +403,22 @@ def _tenant_requests(spark, d):
     k = F.col("c_custkey")
     return c.select(k.alias("request_seq"),
                     F.concat(F.lit("nation_"), (k % 30).cast("string")).alias("slug"),
-                    F.col("c_name").alias("name"),
+                    F.when(k % 30 == k, F.lit("\t \n")).otherwise(F.col("c_name")).alias("name"),
                     F.when(k % 3 == 0, F.lit(None).cast("string")).when(k % 3 == 1, F.lit("pro"))
                     .otherwise(F.lit("starter")).alias("plan"))
 
 
 @register("register_tenants", W("""
 WITH req AS (
-  SELECT c_custkey AS request_seq, 'nation_' || CAST(c_custkey % 30 AS VARCHAR) AS slug, c_name AS name,
+  SELECT c_custkey AS request_seq, 'nation_' || CAST(c_custkey % 30 AS VARCHAR) AS slug,
+         CASE WHEN c_custkey < 30 THEN chr(9) || ' ' || chr(10) ELSE c_name END AS name,
          CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'pro' ELSE 'starter' END AS plan
   FROM customer)
 SELECT r.request_seq, r.slug, r.name, coalesce(upper(r.plan), 'FREE') AS plan,
-       CASE WHEN r.slug IS NULL OR trim(r.slug) = '' OR r.name IS NULL OR trim(r.name) = '' THEN 'invalid'
+       CASE WHEN r.slug IS NULL OR NOT regexp_matches(r.slug, '\\S') OR r.name IS NULL OR NOT regexp_matches(r.name, '\\S') THEN 'invalid'
             WHEN EXISTS (SELECT 1 FROM v_tenants t WHERE t.slug = r.slug) THEN 'conflict'
-            WHEN r.request_seq = min(r.request_seq) OVER (PARTITION BY r.slug) THEN 'created'
+            WHEN r.request_seq = min(CASE WHEN regexp_matches(r.slug, '\\S') AND regexp_matches(r.name, '\\S') THEN r.request_seq END)
+                                  OVER (PARTITION BY r.slug) THEN 'created'
             ELSE 'conflict' END AS outcome
 FROM req r""", "v_tenants"), "J8")
 def q_register_tenants(spark, d):
@@ -593,7 +595,7 @@ r0 AS (
          CAST(CASE plan WHEN 'ENTERPRISE' THEN NULL WHEN 'STARTER' THEN 500 WHEN 'PRO' THEN 2000
               ELSE 100 END AS BIGINT) AS rate_limit,
          row_number() OVER (PARTITION BY tenant_id ORDER BY req_ms, ts, request_id) AS rn
-  FROM v_requests WHERE tenant_id IS NOT NULL AND plan <> 'ENTERPRISE'),
+  FROM v_requests WHERE tenant_id IS NOT NULL AND plan <> 'ENTERPRISE' AND NOT starts_with(path, '/actuator')),
 rl AS (
   SELECT tenant_id, rn, request_id, req_ms AS window_start, CAST(1 AS BIGINT) AS request_count
   FROM r0 WHERE rn = 1
@@ -611,7 +613,7 @@ decided AS (
   UNION ALL
   SELECT request_id, tenant_id, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), true,
          CAST(NULL AS BIGINT)
-  FROM v_requests WHERE tenant_id IS NULL OR plan = 'ENTERPRISE')"""
+  FROM v_requests WHERE tenant_id IS NULL OR plan = 'ENTERPRISE' OR starts_with(path, '/actuator'))"""
 
 
 def _rate(spark, d):
@@ -934,11 +936,11 @@ def q_sign_payloads(spark, d):
 
 _ALL_USAGE_SQL = EVENTS_SQL + """,
 a AS (SELECT tenant_id, CAST(year(placed_at) AS BIGINT) AS y, CAST(month(placed_at) AS BIGINT) AS m,
-             count(*) AS n FROM v_lines WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+             count(*) AS n FROM v_lines WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
 b AS (SELECT tenant_id, CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m,
-             count(*) AS n FROM fan WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+             count(*) AS n FROM fan WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
 c AS (SELECT tenant_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m,
-             count(*) AS n FROM v_requests WHERE NOT (tenant_id IS NULL OR trim(tenant_id) = '') GROUP BY ALL),
+             count(*) AS n FROM v_requests WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
 keys AS (SELECT tenant_id, y, m FROM a UNION SELECT tenant_id, y, m FROM b UNION SELECT tenant_id, y, m FROM c),
 usage_all AS (
   SELECT k.tenant_id, k.y AS billing_year, k.m AS billing_month,

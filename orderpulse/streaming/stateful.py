@@ -57,17 +57,24 @@ class RateLimitProcessor(StatefulProcessor):
 def rate_limit_stream(requests: DataFrame, width: int = WINDOW_MS) -> DataFrame:
     """T2 on a stream of requests; unlimited plans and rows without tenant pass uncounted."""
     ship_package(requests.sparkSession)
-    r = requests.withColumn("rate_limit", rate_limit(F.col("plan")))
+    lim = rate_limit(F.col("plan"))
+    if "path" in requests.columns:   # health probes are not limited
+        lim = F.when(~F.coalesce(F.col("path").startswith("/actuator"), F.lit(False)), lim)
+    r = requests.withColumn("rate_limit", lim)
     counted = r.filter(F.col("tenant_id").isNotNull() & F.col("rate_limit").isNotNull())
     out = T.StructType(list(counted.schema.fields) + [T.StructField("window_start", T.LongType()),
                                                       T.StructField("request_count", T.LongType())])
+    free = r.filter(F.col("tenant_id").isNull() | F.col("rate_limit").isNull())
     f = counted.groupBy("tenant_id").transformWithStateInPandas(
         statefulProcessor=RateLimitProcessor(width), outputStructType=out, outputMode="Append",
         timeMode="None")
     allowed = F.col("request_count") <= F.col("rate_limit")
-    return f.select("*", allowed.alias("allowed"),
-                    F.when(allowed, F.greatest(F.lit(0).cast("bigint"), F.col("rate_limit") - F.col("request_count")))
-                    .alias("remaining"))
+    limited = f.select("*", allowed.alias("allowed"),
+                       F.when(allowed, F.greatest(F.lit(0).cast("bigint"), F.col("rate_limit") - F.col("request_count")))
+                       .alias("remaining"))
+    none = F.lit(None).cast("bigint")
+    return limited.unionByName(free.select("*", none.alias("window_start"), none.alias("request_count"),
+                                           F.lit(True).alias("allowed"), none.alias("remaining")))
 
 
 class DeliveryProcessor(StatefulProcessor):

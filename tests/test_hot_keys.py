@@ -22,11 +22,9 @@ def test_hot_key_spans_many_partitions_and_results_match(spark):
     parts = df.repartitionByRange(16, "k", "seq").select("k", F.spark_partition_id().alias("p"))
     spread = parts.filter("k = 'hot'").select("p").distinct().count()
     assert spread >= 6   # the hot key is not one task
-    spark.conf.set("orderpulse.fold.singleGroupPartitions", "0")   # force block resolution
     for fold, order, cols in ((StockFold(1000), ["seq"], ["status", "remaining"]),
                               (RateFold("req_ms", 60000), ["req_ms", "seq"], ["window_start", "request_count"])):
         got = ordered_fold(df, "k", order, fold, 16).toPandas().sort_values("seq").reset_index(drop=True)
         want = brute_force_fold(pdf, "k", order, fold).sort_values("seq").reset_index(drop=True)
         for c in cols:
             assert (got[c].astype(str).to_numpy() == want[c].astype(str).to_numpy()).all(), c
-    spark.conf.unset("orderpulse.fold.singleGroupPartitions")

@@ -44,6 +44,6 @@ def _per_tenant(spark, d):
 
 def test_counts_per_tenant_match_fixture(spark):
     assert _per_tenant(spark, SF001) == {"0": (193, 0), "1": (179, 0), "2": (216, 0), "3": (186, 0),
-                                         "4": (207, 19)}
-    assert _per_tenant(spark, SF01) == {"0": (300, 1724), "1": (1135, 825), "2": (2063, 0),
-                                        "3": (1965, 0), "4": (300, 1688)}
+                                         "4": (218, 8)}
+    assert _per_tenant(spark, SF01) == {"0": (513, 1511), "1": (1323, 637), "2": (2063, 0),
+                                        "3": (1965, 0), "4": (489, 1499)}
