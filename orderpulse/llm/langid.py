@@ -114,7 +114,7 @@ class Model:
     def score(self, words: list[str]) -> np.ndarray:
         """(len(words), K) scores; words hold letters only."""
         total = np.zeros((len(words), len(self.labels)))
-        if not words:
+        if not words or not self.labels:
             return total
         for word, bucket in grams(words):
             for k in range(len(self.labels)):
