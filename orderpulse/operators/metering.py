@@ -50,10 +50,11 @@ def monthly_usage(orders: DataFrame, tenants: DataFrame | None = None,
 
 
 def monthly_usage_all(orders: DataFrame, deliveries: DataFrame, api_calls: DataFrame,
-                      tenants: DataFrame | None = None, weight_col: str | None = None) -> DataFrame:
+                      tenants: DataFrame | None = None, weight_col: str | None = None,
+                      delivery_weight_col: str | None = None) -> DataFrame:
     """A1-A3: the three counters per tenant-month, missing counters are 0."""
     a = monthly_counts(orders, "placed_at", "order_count", weight_col)
-    b = monthly_counts(deliveries, "created_at", "webhook_delivery_count")
+    b = monthly_counts(deliveries, "created_at", "webhook_delivery_count", delivery_weight_col)
     c = monthly_counts(api_calls, "ts", "api_call_count")
     u = a.join(b, MONTH_KEY, "full").join(c, MONTH_KEY, "full")
     u = u.select(*MONTH_KEY, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n)

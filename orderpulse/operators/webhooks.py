@@ -83,6 +83,19 @@ def webhook_fanout(events: DataFrame, endpoints: DataFrame) -> DataFrame:
         F.col("event_time").alias("created_at"))
 
 
+def fanout_counts(events: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """A2: deliveries of ``webhook_fanout`` per (tenant, event type, UTC month), without its rows.
+
+    Events and subscriptions are counted on the join key first (partial aggregates), and the
+    counts multiplied; ``created_at`` is the start of the month.
+    """
+    month = F.date_trunc("month", F.col("event_time"))
+    e = events.groupBy("tenant_id", "event_type", month.alias("created_at")).agg(F.count(F.lit(1)).alias("_events"))
+    s = subscriptions(endpoints).groupBy("tenant_id", "event_type").agg(F.count(F.lit(1)).alias("_subscribers"))
+    return e.join(s, ["tenant_id", "event_type"]).select(
+        "tenant_id", "event_type", "created_at", (F.col("_events") * F.col("_subscribers")).alias("deliveries"))
+
+
 def sign_payloads(deliveries: DataFrame, endpoints: DataFrame) -> DataFrame:
     """F1 in bulk: the signature header for every delivery.
 

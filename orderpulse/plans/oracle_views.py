@@ -10,14 +10,18 @@ from __future__ import annotations
 _PLAN = ("CASE {k} % 5 WHEN 0 THEN 'FREE' WHEN 1 THEN 'STARTER' WHEN 2 THEN 'PRO' "
          "WHEN 3 THEN 'ENTERPRISE' ELSE 'LEGACY' END")
 
+# Tenants of the order stream and the endpoints, and the endpoint ids that deliveries address.
+N_TENANTS = "(SELECT greatest(25, count(*) // 4) FROM supplier)"
+N_ADDRESSED = "(SELECT count(*) * 6 // 5 FROM supplier)"
+
 VIEWS: dict[str, str] = {
-    "v_orders": """
+    "v_orders": f"""
   SELECT CAST(event_id AS VARCHAR) AS order_id, CAST(user_id AS VARCHAR) AS customer_id,
          json_extract_string(props, '$.k') AS product_id,
          CAST(event_id % 5 + 1 AS INTEGER) AS quantity,
          CAST("value" * 10 AS DECIMAL(12,2)) AS amount, 'USD' AS currency,
          CAST(ts AS TIMESTAMP) AS placed_at, 'c' || CAST(event_id AS VARCHAR) AS correlation_id,
-         CAST(user_id % 25 AS VARCHAR) AS tenant_id, event_id AS seq
+         CAST(user_id % {N_TENANTS} AS VARCHAR) AS tenant_id, event_id AS seq
   FROM events""",
     "v_requests_bad": """
   SELECT order_id, customer_id,
@@ -50,8 +54,8 @@ VIEWS: dict[str, str] = {
          CASE WHEN event_id % 11 = 0 THEN 'internal-secret' ELSE NULL END AS internal_token,
          event_type
   FROM events""",
-    "v_endpoints": """
-  SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey % 25 AS VARCHAR) AS tenant_id,
+    "v_endpoints": f"""
+  SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST(s_suppkey % {N_TENANTS} AS VARCHAR) AS tenant_id,
          'https://h/' || CAST(s_suppkey AS VARCHAR) AS url,
          'secret-key-' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS secret,
          CASE s_suppkey % 4 WHEN 0 THEN 'order.placed' WHEN 1 THEN 'order.placed, order.completed'

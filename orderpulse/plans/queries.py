@@ -17,7 +17,7 @@ from ..operators import tenancy as ten
 from ..operators.reserve import stock_reservation
 from ..sources import tables as tb
 from .catalog import register
-from .oracle_views import with_views as W
+from .oracle_views import N_ADDRESSED, N_TENANTS, with_views as W
 
 # Fixed query parameters.
 CUSTOMER = "8"
@@ -131,11 +131,18 @@ _COMP_COLS = ("order_id, status, reason, epoch_us(completed_at) AS completed_at,
               "tenant_id, payment_status, inventory_status")
 
 
-@register("order_completion", W("WITH RECURSIVE " + COMPLETION_SQL + f"\nSELECT {_COMP_COLS} FROM comp",
+# Reservations arrive up to 7 minutes late (ours), so some lie beyond the join's 5 minutes.
+@register("order_completion", W("WITH RECURSIVE " + COMPLETION_SQL + f""",
+late AS (SELECT c.* REPLACE (o.placed_at + to_minutes(o.seq % 8) AS completed_at), o.placed_at AS processed_at
+         FROM comp c JOIN v_orders o ON o.order_id = c.order_id)
+SELECT {_COMP_COLS} FROM late
+WHERE completed_at BETWEEN processed_at - INTERVAL 5 MINUTE AND processed_at + INTERVAL 5 MINUTE""",
                                 "v_orders"), "J1, P1, T1")
 def q_order_completion(spark, d):
     o = tb.orders_stream(spark, d)
-    return sg.order_completion(sg.payment_decision(o), sg.reservations(o))
+    wait = F.make_dt_interval(mins=(F.col("order_id").cast("bigint") % 8).cast("int"))
+    late = sg.reservations(o).withColumn("reserved_at", F.col("reserved_at") + wait)
+    return sg.order_completion(sg.payment_decision(o), late)
 
 
 @register("saga_summary", W("WITH RECURSIVE " + COMPLETION_SQL + """
@@ -736,13 +743,14 @@ def q_due_retries(spark, d):
 
 def _delivery_meta(spark, d):
     a = tb.attempts(spark, d).select("delivery_id").distinct()
-    return a.select("delivery_id", (F.col("delivery_id") % 120).cast("string").alias("endpoint_id"),
-                    (F.col("delivery_id") % 120 % 25).cast("string").alias("tenant_id"))
+    endpoint = F.col("delivery_id") % tb.addressed_endpoints(spark, d)
+    return a.select("delivery_id", endpoint.cast("string").alias("endpoint_id"),
+                    (endpoint % tb.tenant_count(spark, d)).cast("string").alias("tenant_id"))
 
 
-_META_SQL = """
-meta AS (SELECT DISTINCT delivery_id, CAST(delivery_id % 120 AS VARCHAR) AS endpoint_id,
-                CAST(delivery_id % 120 % 25 AS VARCHAR) AS tenant_id FROM v_attempts)"""
+_META_SQL = f"""
+meta AS (SELECT DISTINCT delivery_id, CAST(delivery_id % {N_ADDRESSED} AS VARCHAR) AS endpoint_id,
+                CAST(delivery_id % {N_ADDRESSED} % {N_TENANTS} AS VARCHAR) AS tenant_id FROM v_attempts)"""
 
 
 @register("retry_batch", W("WITH RECURSIVE " + T3_ASOF_SQL + "," + _META_SQL + f"""
@@ -888,6 +896,10 @@ def _fanout(spark, d):
     return wh.webhook_fanout(_events(spark, d), tb.endpoints(spark, d))
 
 
+def _fanout_counts(spark, d):
+    return wh.fanout_counts(_events(spark, d), tb.endpoints(spark, d))
+
+
 @register("webhook_events", W("WITH RECURSIVE " + EVENTS_SQL + """
 SELECT tenant_id, event_type, event_id, payload, epoch_us(event_time) AS event_time FROM ev""",
                               "v_orders"), "U1, P20, F4, F5")
@@ -939,8 +951,9 @@ a AS (SELECT tenant_id, CAST(year(placed_at) AS BIGINT) AS y, CAST(month(placed_
              count(*) AS n FROM v_lines WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
 b AS (SELECT tenant_id, CAST(year(created_at) AS BIGINT) AS y, CAST(month(created_at) AS BIGINT) AS m,
              count(*) AS n FROM fan WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
+calls AS (SELECT CASE WHEN request_id % 13 = 0 THEN chr(9) ELSE tenant_header END AS tenant_id, ts FROM v_requests),
 c AS (SELECT tenant_id, CAST(year(ts) AS BIGINT) AS y, CAST(month(ts) AS BIGINT) AS m,
-             count(*) AS n FROM v_requests WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
+             count(*) AS n FROM calls WHERE NOT (tenant_id IS NULL OR NOT regexp_matches(tenant_id, '\\S')) GROUP BY ALL),
 keys AS (SELECT tenant_id, y, m FROM a UNION SELECT tenant_id, y, m FROM b UNION SELECT tenant_id, y, m FROM c),
 usage_all AS (
   SELECT k.tenant_id, k.y AS billing_year, k.m AS billing_month,
@@ -953,9 +966,11 @@ usage_all AS (
 
 
 def _usage_all(spark, d):
-    req = tb.requests_log(spark, d)
-    return met.monthly_usage_all(tb.order_line_counts(spark, d), _fanout(spark, d), req, tb.tenants(spark, d),
-                                 weight_col="lines")
+    # metered by the tenant header, which some calls lack or send blank (a tab on every 13th, ours)
+    header = F.when(F.col("request_id") % 13 == 0, F.lit("\t")).otherwise(F.col("tenant_header"))
+    req = tb.requests_log(spark, d).select(header.alias("tenant_id"), "ts")
+    return met.monthly_usage_all(tb.order_line_counts(spark, d), _fanout_counts(spark, d), req, tb.tenants(spark, d),
+                                 weight_col="lines", delivery_weight_col="deliveries")
 
 
 @register("monthly_usage_all", W("WITH RECURSIVE " + _ALL_USAGE_SQL + f"\nSELECT {_USAGE_COLS} FROM usage_all",
@@ -1019,20 +1034,32 @@ def q_dead_letters(spark, d):
     return rt.dead_letters(_failures(spark, d), rt.ORDER_LISTENER, "orders.placed")
 
 
-@register("poison_split", W("WITH RECURSIVE " + COMPLETION_SQL + """
-SELECT order_id, status, coalesce(starts_with(order_id, 'fail'), false) AS poison FROM comp""", "v_orders"),
+# Every 20th completed order has an id that the notification listener fails on (ours).
+_NOTIFIED_SQL = COMPLETION_SQL + """,
+notified AS (SELECT CASE WHEN CAST(order_id AS BIGINT) % 20 = 0 THEN 'fail-' || order_id ELSE order_id END AS order_id, status
+             FROM comp)"""
+
+
+def _notified(spark, d):
+    oid = F.col("order_id")
+    marked = F.when(oid.cast("bigint") % 20 == 0, F.concat(F.lit("fail-"), oid)).otherwise(oid)
+    return rt.poison_split(sg.saga(tb.orders_stream(spark, d)).withColumn("order_id", marked))
+
+
+@register("poison_split", W("WITH RECURSIVE " + _NOTIFIED_SQL + """
+SELECT order_id, status, coalesce(starts_with(order_id, 'fail'), false) AS poison FROM notified""", "v_orders"),
           "P18, F14")
 def q_poison_split(spark, d):
-    return rt.poison_split(sg.saga(tb.orders_stream(spark, d))).select("order_id", "status", "poison")
+    return _notified(spark, d).select("order_id", "status", "poison")
 
 
-@register("notification_retries", W("WITH RECURSIVE " + COMPLETION_SQL + """
+@register("notification_retries", W("WITH RECURSIVE " + _NOTIFIED_SQL + """
 SELECT order_id AS record_id, 'IllegalStateException' AS error_class, CAST(attempt AS BIGINT) AS attempt,
        CAST(CASE WHEN attempt = 1 THEN 0 ELSE least(30000.0, 1000 * pow(2.0, attempt - 2)) END AS BIGINT) AS delay_ms,
        CASE WHEN attempt = 1 THEN 'orders.completed' ELSE 'orders.completed-retry-' || CAST(attempt - 2 AS VARCHAR) END AS topic
-FROM comp CROSS JOIN range(1, 5) AS r(attempt) WHERE starts_with(order_id, 'fail')""", "v_orders"), "T7, P18")
+FROM notified CROSS JOIN range(1, 5) AS r(attempt) WHERE starts_with(order_id, 'fail')""", "v_orders"), "T7, P18")
 def q_notification_retries(spark, d):
-    p = rt.poison_split(sg.saga(tb.orders_stream(spark, d))).filter("poison")
+    p = _notified(spark, d).filter("poison")
     fails = p.select(F.col("order_id").alias("record_id"), F.lit("IllegalStateException").alias("error_class"))
     return rt.retry_schedule(fails, rt.NOTIFICATION, "orders.completed")
 
@@ -1142,9 +1169,9 @@ def q_tenant_deliveries(spark, d):
         "delivery_id", "endpoint_id", "event_type", "event_id", "created_at")
 
 
-@register("endpoint_status", W("""
+@register("endpoint_status", W(f"""
 WITH cmd AS (
-  SELECT CAST(s_suppkey * 3 % 120 AS VARCHAR) AS id, 'disable' AS command, s_suppkey AS seq
+  SELECT CAST(s_suppkey * 3 % {N_ADDRESSED} AS VARCHAR) AS id, 'disable' AS command, s_suppkey AS seq
   FROM supplier WHERE s_suppkey % 4 = 1),
 latest AS (SELECT id, arg_max(command, seq) AS cmd FROM cmd GROUP BY id)
 SELECT coalesce(e.id, l.id) AS id, CASE WHEN e.status IS NULL THEN 'not_found'
@@ -1152,7 +1179,7 @@ SELECT coalesce(e.id, l.id) AS id, CASE WHEN e.status IS NULL THEN 'not_found'
 FROM v_endpoints e FULL JOIN latest l ON e.id = l.id""", "v_endpoints"), "T5")
 def q_endpoint_status(spark, d):
     s = tb.read_table(spark, d, "supplier").filter(F.col("s_suppkey") % 4 == 1)
-    cmds = s.select((F.col("s_suppkey") * 3 % 120).cast("string").alias("id"),
+    cmds = s.select((F.col("s_suppkey") * 3 % tb.addressed_endpoints(spark, d)).cast("string").alias("id"),
                     F.lit("disable").alias("command"), F.lit(None).cast("string").alias("arg"),
                     F.col("s_suppkey").alias("seq"))
     e = tb.endpoints(spark, d).select("id", F.lit(None).cast("string").alias("name"), "status")

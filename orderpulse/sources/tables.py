@@ -44,6 +44,13 @@ def _plan_of(key: Column) -> Column:
     return _by_mod(F.pmod(key, F.lit(5)), PLAN_BY_MOD5)
 
 
+def tenant_count(spark: SparkSession, sf_dir: str) -> Column:
+    """Tenants of the order stream and the endpoints: one for four endpoints, 25 at least, so a tenant's
+    endpoints stay few and the fan-out grows with the events."""
+    n = F.count(F.lit(1))
+    return read_table(spark, sf_dir, "supplier").select(F.greatest(F.lit(25), F.floor(n / 4))).scalar()
+
+
 def orders_stream(spark: SparkSession, sf_dir: str, *, keep_seq: bool = False) -> DataFrame:
     """``v_orders``: the order stream of the saga, one order per event."""
     ev = read_table(spark, sf_dir, "events")
@@ -56,7 +63,7 @@ def orders_stream(spark: SparkSession, sf_dir: str, *, keep_seq: bool = False) -
         F.lit("USD").alias("currency"),
         F.col("ts").cast("timestamp").alias("placed_at"),
         F.concat(F.lit("c"), F.col("event_id").cast("string")).alias("correlation_id"),
-        (F.col("user_id") % 25).cast("string").alias("tenant_id"),
+        (F.col("user_id") % tenant_count(spark, sf_dir)).cast("string").alias("tenant_id"),
     ]
     if keep_seq:
         cols.append(F.col("event_id").alias("seq"))
@@ -163,7 +170,7 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     sid = k.cast("string")
     return su.select(
         sid.alias("id"),
-        (k % 25).cast("string").alias("tenant_id"),
+        (k % tenant_count(spark, sf_dir)).cast("string").alias("tenant_id"),
         F.concat(F.lit("https://h/"), sid).alias("url"),
         F.concat(F.lit("secret-key-"), F.lpad(sid, 8, "0")).alias("secret"),
         _by_mod(k % 4, EVENT_TYPES_BY_MOD4).alias("event_types"),
@@ -186,6 +193,12 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def addressed_endpoints(spark: SparkSession, sf_dir: str) -> Column:
+    """Endpoint ids that deliveries and commands address: a fifth more than there are endpoints."""
+    n = F.count(F.lit(1))
+    return read_table(spark, sf_dir, "supplier").select(F.floor(n * 6 / 5)).scalar()
+
+
 def order_event_json(o: DataFrame) -> Column:
     """The JSON text of an order event as stored in the outbox."""
     return F.format_string(

@@ -10,6 +10,20 @@ from orderpulse.operators import webhooks as wh
 EP = "id string, tenant_id string, url string, secret string, event_types string, status string"
 
 
+def test_fanout_counts_match_the_fanout(spark):
+    rows = [(t, ty, f"{t}{ty}{i}", "{}", dt.datetime(2024, 1 + i % 2, 31 if i % 2 == 0 else 28, 23, 59))
+            for t in ("a", "b", None) for ty in ("order.placed", "order.completed") for i in range(5)]
+    ev = spark.createDataFrame(rows, "tenant_id string, event_type string, event_id string, payload string, event_time timestamp")
+    eps = spark.createDataFrame([("1", "a", "order.placed, order.completed", "ACTIVE"), ("2", "a", "order.placed,order.placed", "ACTIVE"),
+                                 ("3", "b", "order.completed", "DISABLED"), ("4", "c", "order.placed", "ACTIVE")],
+                                "id string, tenant_id string, event_types string, status string")
+    key = ["tenant_id", "event_type", F.date_trunc("month", "created_at").alias("created_at")]
+    want = wh.webhook_fanout(ev, eps).groupBy(*key).agg(F.count(F.lit(1)).alias("deliveries"))
+    got = wh.fanout_counts(ev, eps)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert got.agg(F.sum("deliveries")).first()[0] == 15
+
+
 def test_fanout_subscriptions(spark):
     eps = spark.createDataFrame([
         ("e1", "tenant-1", "https://h/1", "s" * 16, "order.placed", "ACTIVE"),
