@@ -47,12 +47,13 @@ def layout(pages: DataFrame, stored: Column) -> DataFrame:
 
 
 def tree(records: DataFrame) -> list[DataFrame]:
-    """(warc_file, node, hash) of each level, leaves first."""
+    """(warc_file, node, hash) of each level, leaves first.  Inner levels are written once, a row for ``FANOUT``
+    of the level below, so comparing them does not hash the leaves again."""
     leaf = F.sha2(F.concat_ws(":", F.col("offset").cast("string"), F.col("length").cast("string"), "digest"), 256)
     levels = [records.select("warc_file", F.col("record").alias("node"), leaf.alias("hash"))]
     for _ in range(LEVELS):
         up = levels[-1].groupBy("warc_file", F.floor(F.col("node") / FANOUT).alias("up")).agg(F.array_sort(F.collect_list(F.struct("node", "hash"))).alias("below"))
-        levels.append(up.select("warc_file", F.col("up").alias("node"), F.sha2(F.concat_ws("", F.col("below.hash")), 256).alias("hash")))
+        levels.append(saved(up.select("warc_file", F.col("up").alias("node"), F.sha2(F.concat_ws("", F.col("below.hash")), 256).alias("hash"))))
     return levels
 
 
