@@ -8,7 +8,7 @@ is rewritten one partition at a time (dynamic partition overwrite).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.plans import UNLIMITED, base_fee_cents, order_quota
@@ -77,10 +77,16 @@ def finalize_invoices(usage: DataFrame, invoices: DataFrame, year: int, month: i
 
 
 def previous_month(year: int, month: int) -> tuple[int, int]:
-    """F7 for a parameter month (the column form is ``add_months(trunc(d,'month'), -1)``)."""
+    """F7 for a parameter month."""
     return (year - 1, 12) if month == 1 else (year, month - 1)
 
 
+def previous_month_of(ts: Column) -> list[Column]:
+    """F7 as columns: year and month of the month before an instant."""
+    before = F.add_months(F.trunc(ts, "month"), -1)
+    return [F.year(before).alias("billing_year"), F.month(before).alias("billing_month")]
+
+
 def invoice_history(invoices: DataFrame, tenant_id: str, status: str | None = None) -> DataFrame:
     """A tenant's invoices, newest month first, optionally by status."""
     df = invoices.filter(F.col("tenant_id") == tenant_id)

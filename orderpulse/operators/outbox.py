@@ -5,7 +5,7 @@ and dead counts (A7, A8)."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ERROR_MAX_CHARS, from_base64
@@ -20,14 +20,18 @@ DECODE_ERROR = "undecodable payload"
 _INH = "__inherit__"
 
 
+def decoded_order_id(payload: Column) -> Column:
+    """The order id of an outbox payload, null when it does not decode."""
+    return F.get_json_object(from_base64(payload), "$.orderId")
+
+
 def decode_outbox(outbox: DataFrame) -> DataFrame:
     """base64 -> JSON text -> order id; broken payloads become failures.
 
     Invalid base64 decodes to null (``try_to_binary``) and malformed JSON reads
     as null, so one bad row never stops the job.
     """
-    js = from_base64(F.col("payload"))
-    order_id = F.get_json_object(js, "$.orderId")
+    order_id = decoded_order_id(F.col("payload"))
     ok = order_id.isNotNull()
     return outbox.select("id", "topic", ok.alias("ok"), order_id.alias("order_id"),
                          F.when(~ok, F.lit(DECODE_ERROR)).alias("error"))

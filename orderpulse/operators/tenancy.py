@@ -62,22 +62,39 @@ def claim_tenant(claim: Column, default: str = "default") -> Column:
     return F.when(~blank(claim), claim).otherwise(F.lit(default))
 
 
+def _gate_outcome(internal_token: str) -> Column:
+    tok_ok = (~blank(F.col("internal_token"))) & (F.col("internal_token") == F.lit(internal_token))
+    return (F.when(~blank(F.col("tenant_header")), F.lit("scoped"))
+             .when(tok_ok, F.lit("internal"))
+             .when(F.col("path").startswith("/actuator"), F.lit("actuator"))
+             .otherwise(F.lit("forbidden")))
+
+
 def request_gate(requests: DataFrame, internal_token: str) -> DataFrame:
     """Classify a request log the way the service filter decides.
 
     Order: a non-blank tenant header scopes the request; otherwise a matching
     internal token or an ``/actuator`` path passes unscoped; else 403.
     """
-    tok_ok = (~blank(F.col("internal_token"))) & (F.col("internal_token") == F.lit(internal_token))
-    outcome = (F.when(~blank(F.col("tenant_header")), F.lit("scoped"))
-                .when(tok_ok, F.lit("internal"))
-                .when(F.col("path").startswith("/actuator"), F.lit("actuator"))
-                .otherwise(F.lit("forbidden")))
+    outcome = _gate_outcome(internal_token)
     return requests.select("request_id", "path", "tenant_header", outcome.alias("outcome"),
                            F.when(outcome == "forbidden", F.lit(403)).otherwise(F.lit(200))
                            .alias("http_status"))
 
 
+def internal_gate(requests: DataFrame, internal_token: str | None) -> DataFrame:
+    """P11, the filter behind the tenant filter: with a token configured, a request that passed must carry
+    that very token, whatever its tenant header; health probes always pass."""
+    configured = internal_token is not None and bool(internal_token.strip())
+    first = _gate_outcome(internal_token or "")
+    refused = (F.lit(configured) & (first != "forbidden") & ~F.col("path").startswith("/actuator")
+               & ~F.col("internal_token").eqNullSafe(F.lit(internal_token)))
+    outcome = F.when(refused, F.lit("bad_token")).otherwise(first)
+    return requests.select("request_id", "path", "tenant_header", outcome.alias("outcome"),
+                           F.when(outcome.isin("forbidden", "bad_token"), F.lit(403)).otherwise(F.lit(200))
+                           .alias("http_status"))
+
+
 def is_active(status: Column) -> Column:
     """F16: active test, case-insensitive."""
     return F.upper(status) == "ACTIVE"
@@ -104,6 +121,11 @@ def tenant_endpoints(endpoints: DataFrame, tenant_id: str, active_only: bool = F
     return df.filter(F.col("status") == "ACTIVE") if active_only else df
 
 
+def tenant_endpoint(endpoints: DataFrame, endpoint_id: str, tenant_id: str) -> DataFrame:
+    """An endpoint by id, only within the tenant; no row means not_found."""
+    return endpoints.filter((F.col("id") == endpoint_id) & (F.col("tenant_id") == tenant_id))
+
+
 def resolve_api_keys(requests: DataFrame, tenants: DataFrame,
                      inactive_as_invalid: bool = False) -> DataFrame:
     """missing_key / invalid_key / inactive / ok with tenant and plan.

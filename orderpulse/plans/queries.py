@@ -344,6 +344,20 @@ def q_request_gate(spark, d):
     return ten.request_gate(tb.requests_log(spark, d), INTERNAL_TOKEN)
 
 
+@register("internal_gate", W(f"""
+SELECT request_id, path, tenant_header,
+       CASE WHEN starts_with(path, '/actuator') AND {BLANK.format(c='tenant_header')}
+                 AND internal_token IS DISTINCT FROM '{INTERNAL_TOKEN}' THEN 'actuator'
+            WHEN starts_with(path, '/actuator') OR internal_token = '{INTERNAL_TOKEN}'
+              THEN CASE WHEN {BLANK.format(c='tenant_header')} THEN 'internal' ELSE 'scoped' END
+            WHEN {BLANK.format(c='tenant_header')} THEN 'forbidden' ELSE 'bad_token' END AS outcome,
+       CASE WHEN starts_with(path, '/actuator') OR coalesce(internal_token = '{INTERNAL_TOKEN}', false)
+            THEN 200 ELSE 403 END AS http_status
+FROM v_requests""", "v_requests"), "P11")
+def q_internal_gate(spark, d):
+    return ten.internal_gate(tb.requests_log(spark, d), INTERNAL_TOKEN)
+
+
 @register("active_tenants", W("SELECT id, slug, plan, status FROM v_tenants WHERE upper(status) = 'ACTIVE'",
                               "v_tenants"), "P12, F16")
 def q_active_tenants(spark, d):
@@ -384,6 +398,20 @@ def q_tenant_endpoints(spark, d):
     return ten.tenant_endpoints(tb.endpoints(spark, d), TENANT).select("id", "tenant_id", "url", "status")
 
 
+@register("tenant_endpoint", W(f"""
+SELECT id, tenant_id, url, status FROM v_endpoints WHERE id = '28' AND tenant_id = '{TENANT}'""", "v_endpoints"), "P13")
+def q_tenant_endpoint(spark, d):
+    return ten.tenant_endpoint(tb.endpoints(spark, d), "28", TENANT).select("id", "tenant_id", "url", "status")
+
+
+@register("invoice_month", W("""
+SELECT DISTINCT CAST(year(p) AS BIGINT) AS billing_year, CAST(month(p) AS BIGINT) AS billing_month
+FROM (SELECT date_trunc('month', o_orderdate) - INTERVAL 1 MONTH AS p FROM orders)"""), "F7")
+def q_invoice_month(spark, d):
+    from ..operators.invoicing import previous_month_of
+    return tb.read_table(spark, d, "orders").select(*previous_month_of(F.col("o_orderdate"))).distinct()
+
+
 @register("tenant_active_endpoints", W(f"""
 SELECT id, tenant_id, url, status FROM v_endpoints WHERE tenant_id = '{TENANT}' AND status = 'ACTIVE'""",
                                        "v_endpoints"), "P13")

@@ -16,14 +16,24 @@ from pyspark.sql import functions as F
 
 from ..operators.metering import MONTH_KEY, monthly_counts
 from ..operators.metrics import orders_per_minute
+from ..operators.outbox import decoded_order_id
 
 
 def _batch_dir(root: str, batch_id: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch_id}"
 
 
+#: The default trigger of the jobs that run on: a micro-batch each second.
+INTERVAL = "1 second"
+
+
+def _triggered(writer, available_now: bool, interval: str):
+    """All input that is there and then stop, or a micro-batch each ``interval``."""
+    return writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
+
+
 def metering_stream(orders: DataFrame, deltas_root: str, checkpoint: str, dedup: bool = False,
-                    delay: str = "10 minutes", available_now: bool = True):
+                    delay: str = "10 minutes", available_now: bool = True, interval: str = INTERVAL):
     """A1 on a stream: each micro-batch writes its tenant-month counts to
     ``deltas_root/batch_id=<n>`` (overwrite, so a replay is harmless).  The
     usage table is :func:`usage_from_deltas`."""
@@ -36,8 +46,7 @@ def metering_stream(orders: DataFrame, deltas_root: str, checkpoint: str, dedup:
         counts.write.mode("overwrite").parquet(_batch_dir(deltas_root, batch_id))
 
     w = src.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    return _triggered(w, available_now, interval).start()
 
 
 def usage_from_deltas(spark, deltas_root: str) -> DataFrame:
@@ -51,19 +60,23 @@ def orders_per_minute_stream(orders: DataFrame, delay: str = "1 minute") -> Data
     return orders_per_minute(orders.withWatermark("placed_at", delay))
 
 
-def relay_stream(outbox: DataFrame, topics_root: str, checkpoint: str, available_now: bool = True):
+def relay_stream(outbox: DataFrame, topics_root: str, checkpoint: str, available_now: bool = True, interval: str = INTERVAL,
+                 failed_root: str | None = None):
     """S7 on a stream of outbox rows: publish each unprocessed row to the topic
-    its ``topic`` column names (one directory per topic), keyed per batch."""
+    its ``topic`` column names (one directory per topic), keyed per batch.  A row whose payload does
+    not decode (S6) is a failed attempt: it is not published, and goes to ``failed_root`` when given."""
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         rows = batch.filter(F.col("processed_at").isNull())
-        (rows.withColumn("batch_id", F.lit(batch_id))
+        good = decoded_order_id(F.col("payload")).isNotNull()
+        if failed_root:
+            rows.filter(~good).write.mode("overwrite").parquet(_batch_dir(failed_root, batch_id))
+        (rows.filter(good).withColumn("batch_id", F.lit(batch_id))
              .write.mode("overwrite").partitionBy("topic")
              .parquet(_batch_dir(topics_root, batch_id)))
 
     w = outbox.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    return _triggered(w, available_now, interval).start()
 
 
 def route_outcomes(batch: DataFrame, root: str, batch_id: int, ok: str = "ok",
@@ -75,7 +88,7 @@ def route_outcomes(batch: DataFrame, root: str, batch_id: int, ok: str = "ok",
 
 
 def place_orders_stream(requests: DataFrame, orders_root: str, outbox_root: str, checkpoint: str,
-                        available_now: bool = True):
+                        available_now: bool = True, interval: str = INTERVAL):
     """S5 on a stream: each batch writes its accepted orders *and* their outbox
     rows under the same ``batch_id``, so a replay rewrites both or neither."""
     from ..operators.orders import place_orders
@@ -86,12 +99,11 @@ def place_orders_stream(requests: DataFrame, orders_root: str, outbox_root: str,
         outbox.write.mode("overwrite").parquet(_batch_dir(outbox_root, batch_id))
 
     w = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    return _triggered(w, available_now, interval).start()
 
 
 def order_status_stream(completions: DataFrame, deltas_root: str, checkpoint: str,
-                        available_now: bool = True):
+                        available_now: bool = True, interval: str = INTERVAL):
     """J2 on a stream: each batch writes the latest completion per order it saw."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -102,8 +114,7 @@ def order_status_stream(completions: DataFrame, deltas_root: str, checkpoint: st
               .parquet(_batch_dir(deltas_root, batch_id))
 
     w = completions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    return w.start()
+    return _triggered(w, available_now, interval).start()
 
 
 def order_status_from_deltas(spark, orders: DataFrame, deltas_root: str) -> DataFrame:

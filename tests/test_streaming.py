@@ -212,9 +212,11 @@ def test_topic_write_relay_and_feed_streams(spark, tmp_path):
     ob = tb.outbox(spark, SF01)
     ob.write.parquet(str(tmp_path / "outbox"))
     obs = spark.readStream.schema(ob.schema).parquet(str(tmp_path / "outbox"))
-    jobs.relay_stream(obs, str(tmp_path / "published"), str(tmp_path / "ck5")).awaitTermination(600)
+    jobs.relay_stream(obs, str(tmp_path / "published"), str(tmp_path / "ck5"), failed_root=str(tmp_path / "failed")).awaitTermination(600)
     pub = spark.read.parquet(str(tmp_path / "published"))
-    assert pub.count() == ob.filter("processed_at IS NULL").count()
+    # every 97th payload is broken: it is a failed attempt and is not published
+    assert pub.count() == ob.filter("processed_at IS NULL AND seq % 97 != 0").count()
+    assert spark.read.parquet(str(tmp_path / "failed")).count() == ob.filter("processed_at IS NULL AND seq % 97 = 0").count() > 0
     assert {r.topic for r in pub.select("topic").distinct().collect()} == {"orders.placed"}
 
 
