@@ -2,10 +2,12 @@
 
 The patterns find assignments to credential names, access key ids and long hexadecimal strings.  The
 method looks at further values that stand in a credential context ("passphrase is ...", "Bearer ...",
-"pwd: ...") and estimates how many guesses an attacker needs: the cheapest way to cut the value into
-dictionary words, dates, repeats, keyboard walks, sequences and brute-force spans, found by dynamic
-programming over its positions.  A value whose cheapest cut needs at least ``MIN_GUESSES_LOG10`` is a
-secret; a placeholder such as "changeme1234" is not.  Added spans have the kind ``guess``; those
+"pwd: ...", with any run of blanks and tabs around the sign) and estimates how many guesses an attacker
+needs: the cheapest way to cut the value into dictionary words, dates, repeats, keyboard walks,
+sequences and brute-force spans, found by dynamic programming over its positions.  A value of six or
+more characters, of whatever letters, whose cheapest cut needs at least ``MIN_GUESSES_LOG10`` is a
+secret; a placeholder such as "changeme1234" is not.  The cost alone decides, so after "is" a long
+rare or foreign word that the dictionary lacks is one too.  Added spans have the kind ``guess``; those
 that touch a pattern's span are left out, so the patterns' spans stay as they are.
 
 The dictionary is the words of a tokenizer's rank file: a word's rank bounds its guesses.  It is read
@@ -46,10 +48,10 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT_WORDS = ("pwd", "pass", "credential", "bearer", "private", "secret", "token", "api", "access", "login", "auth")
+_CONTEXT_WORDS = ("pwd", "pass", "credential", "bearer", "client", "private", "secret", "token", "api", "access", "login", "auth")
 _CONTEXT = re.compile(r"(?ai:\b(?:pwd|pass(?:word|wd|phrase|code)?|credentials?|(?:client|private|access|api|auth|secret)[_\x20-]?(?:key|token|secret)|secret|token|login))"
-                      r"[\"']?\x20{0,8}(?:[:=]|=>|(?ai:is|was)\x20)\x20{0,8}[\"']?([^\s\"'<>(){}\[\],;]{6,})"
-                      r"|(?ai:\bbearer)\x20{1,8}([A-Za-z0-9+/_.=~-]{6,})")
+                      r"[\"']?[\x20\t]*+(?:[:=]|=>|(?ai:is|was)[\x20\t])[\x20\t]*+[\"']?([^\s\"'<>(){}\[\],;]{6,})"
+                      r"|(?ai:\bbearer)[\x20\t]++([A-Za-z0-9+/_.=~-]{6,})")
 
 
 def base_spans(text: str | None) -> list[Span]:
@@ -176,7 +178,7 @@ def added_spans(text: str | None, base: list[Span], dictionary: dict[str, float]
         at = 1 if m.group(1) else 2
         value = m.group(at).rstrip(".!?:")
         start, end = m.start(at), m.start(at) + len(value)
-        if len(value) < 6 or value.isalpha() and value.islower() or any(a < end and start < b for _, a, b in base):
+        if len(value) < 6 or any(a < end and start < b for _, a, b in base):
             continue
         if guesses_log10(value, dictionary) >= least:
             yield "guess", start, end

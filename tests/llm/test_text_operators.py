@@ -90,6 +90,17 @@ def test_guess_cost():
     assert [text[a:b] for _, a, b in secret_scan.added_spans(text, [], words)] == ["xK9$vQ2!mZ7p"]
 
 
+def test_every_context_value_is_decided_by_its_cost():
+    words = secret_scan.read_dictionary(public_tokenizers.path(secret_scan.DEFAULT_RANKS))
+    found = lambda t: [t[a:b] for _, a, b in secret_scan.added_spans(t, secret_scan.base_spans(t), words)]
+    for value in ("qzxjvkwpmrtbhd", "correcthorsebatterystaple", "xK9$vQ2!mZ7p"):
+        assert found(f"the passphrase is {value}. Bye") == [value]
+        for gap in ("", " ", " " * 9, "\t", " \t" * 3000):
+            assert found(f"pwd:{gap}{value}\npwd{gap}= {value}\nbearer \t{gap}{value.replace('$', '-').replace('!', '-')}")[:2] == [value] * 2
+            assert len(found(f"client key{gap}={gap}'{value}'; Bearer{gap or ' '}abcdefzq7kwpmrtb")) == 2
+    assert found("the password is incorrectly typed, the token was automatically made") == []
+
+
 def test_fixity_locates_damage(spark):
     rows = [(i, f"u{i}", f"body {i}") for i in range(40)] + [(None, None, None), (7, "u7", "body 7")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
