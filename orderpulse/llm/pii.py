@@ -4,8 +4,9 @@ The patterns find e-mail addresses, IP addresses, card numbers and phone numbers
 The CRF labels every white-space token of the whole text from word-shape features of the token and its
 neighbours and adds forms the patterns do not have (a phone number without a plus, a spelled-out
 address).  It is trained here, by gradient ascent on the likelihood of a small labelled
-table (``labelled_rows``), and decoded by Viterbi in numpy batches.  Added spans that touch a span of the
-patterns are left out, so the spans of the patterns always stay as they are.
+table (``labelled_rows``), and decoded by Viterbi in numpy batches.  A run of one label is cut at the
+spans of the patterns, which always stay as they are, and at each complete form of its kind, so
+neighbouring items of one kind are added one by one.
 
 All pattern searches take time in proportion to the text: each run of characters that may start
 a match is looked at once.
@@ -16,6 +17,7 @@ points, ends exclusive; spans are ordered by start, then by kind in the order of
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import re
 from collections.abc import Iterable, Iterator
@@ -163,6 +165,11 @@ def labelled_rows() -> list[tuple[str, str]]:
         add(a, f"+49 {d[:3]} {d[3:]}", "phone", z)
         add(a, f"{17 + i * 5 % 200}.{i * 11 % 256}.{d[:2]}.{i % 250}", "ip", z)
         add(a, f"fe80::{d[:4]}:{d[4:8]}", "ip", z)
+        groups = [(i * 40503 + j * 25717 + 97) % 65536 for j in range(8)]
+        for width in (0, 4):
+            full = [":".join(f"{g:0{width}x}" for g in x) for x in (groups, groups[::-1])]
+            add(a, full[0], "ip", z)
+            add(a, " ".join(full), "ip", z)
         c = f"4{(i * 104729 + 5) % 10 ** 15:015d}"
         add(a, c, "card", z)
         add(a, f"{c[:4]} {c[4:8]} {c[8:12]} {c[12:]}", "card", z)
@@ -310,28 +317,114 @@ class Tagger:
 
 
 def _accepted(text: str, label: np.ndarray, base: list[Span]) -> list[Span]:
-    """Runs of one label as spans, without punctuation around them, that have the form of their kind and
-    touch no span of ``base``."""
+    """Spans of the runs of one label that touch no span of ``base``.
+
+    A run is cut at the spans of ``base``.  A part that has the form of its kind as a whole, without
+    punctuation around it, is one span; any other part gives a span for each complete form in it, so
+    neighbouring items of one kind are found one by one."""
     tokens = list(_TOKEN.finditer(text))
     out = []
     cuts = np.flatnonzero(np.diff(label)) + 1
-    taken = sorted((a, b) for _, a, b in base)
+    taken = _merged(base)
+    starts = [a for a, _ in taken]
     for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(label)]):
         if not label[s]:
             continue
         kind = LABELS[label[s]]
-        start, end = tokens[s].start(), tokens[e - 1].end()
-        body = text[start:end]
-        lead = len(body) - len(body.lstrip(_MARKS))
-        tail = len(body) - len(body.rstrip(_MARKS))
-        start, end = start + lead, end - tail
-        if start < end and _has_form(kind, text[start:end]) and not any(a < end and start < b for a, b in taken):
-            out.append((kind, start, end))
+        at, last = tokens[s].start(), tokens[e - 1].end()
+        i = max(0, bisect.bisect_right(starts, at) - 1)
+        while i < len(taken) and taken[i][0] < last:
+            a, b = taken[i]
+            out += _items(kind, text, at, min(a, last))
+            at, i = max(at, b), i + 1
+        out += _items(kind, text, at, last)
+    return out
+
+
+def _merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """The places that ``spans`` cover, in order and apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _items(kind: str, text: str, start: int, end: int) -> list[Span]:
+    """The part ``start:end`` of a run as one span, or the complete forms in it."""
+    whole = _bare(text, start, end)
+    if whole is None:
+        return []
+    if _has_form(kind, text[slice(*whole)]):
+        found = [whole]
+    elif kind == "email":
+        found = [m.span() for m in _ONE_SPELLED.finditer(text, *whole)]
+    elif kind == "ip":
+        found = [x for m in _SIX_RUN.finditer(text, *whole) if (x := _bare(text, *m.span())) and _has_form(kind, text[slice(*x)])]
+    else:
+        found = _numbers(kind, text, *whole)
+    return [(kind, a, b) for a, b in found if not _inside_word(text, a) and not _inside_word(text, b)]
+
+
+def _bare(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """A place without the white space and punctuation around it; None if nothing is left."""
+    while start < end and (text[start] in _MARKS or text[start].isspace()):
+        start += 1
+    while start < end and (text[end - 1] in _MARKS or text[end - 1].isspace()):
+        end -= 1
+    return (start, end) if start < end else None
+
+
+def _inside_word(text: str, at: int) -> bool:
+    """Whether ``at`` stands between two letters or digits."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
+def _numbers(kind: str, text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The complete numbers that cover most digits of ``start:end`` (then: the fewest, the first).
+
+    A number is a row of atoms without letters; it ends before its digits are too many and before more than
+    ``_MAX_GAP`` atoms without a digit, so each atom starts a bounded number of candidates."""
+    atoms = [m.span() for m in _ATOM.finditer(text, start, end)]
+    digits = [sum("0" <= c <= "9" for c in text[a:b]) for a, b in atoms]
+    words = [any(c.isalpha() for c in text[a:b]) for a, b in atoms]
+    most = 19 if kind == "card" else 15
+    best: list[tuple[int, int]] = [(0, 0)] * (len(atoms) + 1)   # digits covered from an atom on, less spans
+    take: list[tuple[int, tuple[int, int]] | None] = [None] * len(atoms)
+    for i in range(len(atoms) - 1, -1, -1):
+        best[i] = best[i + 1]
+        total = gap = 0
+        for j in range(i, len(atoms)):
+            total += digits[j]
+            gap = 0 if digits[j] else gap + 1
+            if words[j] or total > most or gap > _MAX_GAP:
+                break
+            if not digits[j] or (place := _bare(text, atoms[i][0], atoms[j][1])) is None or not _has_form(kind, text[slice(*place)]):
+                continue
+            value = best[j + 1][0] + total, best[j + 1][1] - 1
+            if value > best[i] or value == best[i] and take[i] is None and digits[i]:
+                best[i], take[i] = value, (j + 1, place)
+    out, i = [], 0
+    while i < len(atoms):
+        if take[i] is None:
+            i += 1
+        else:
+            i, place = take[i]
+            out.append(place)
     return out
 
 
-_SPELLED = re.compile(r"[\w.+-]+\s*(?:@|[\[(]\s*at\s*[\])])\s*[\w-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])])\s*[\w-]+)+", re.ASCII)
+_AT, _DOT = r"(?:@|[\[(]\s*at\s*[\])])", r"[\[(]\s*dot\s*[\])]"
+_SPELLED = re.compile(rf"[\w.+-]+\s*{_AT}\s*[\w-]+(?:\s*(?:\.|{_DOT})\s*[\w-]+)+", re.ASCII)
+# One address among others, searched in linear time: a full stop and white space before the next address end it.
+_ONE_SPELLED = re.compile(rf"(?<![\w.+-])[\w.+-]++\s*+{_AT}\s*+[\w-]++(?:\s*+(?:\.(?!\s++[\w.+-]++\s*+{_AT})|{_DOT})\s*+[\w-]++)++", re.ASCII)
 _SIX = re.compile(r"[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}")
+_SIX_FULL = re.compile(r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}")
+_SIX_RUN = re.compile(r"[0-9A-Fa-f:]+")
+_ATOM = re.compile(r"[^\s,;/|]+")
+_MAX_GAP = 3
 
 
 def _has_form(kind: str, body: str) -> bool:
@@ -341,7 +434,7 @@ def _has_form(kind: str, body: str) -> bool:
     if kind == "email":
         return bool(_SPELLED.fullmatch(body))
     if kind == "ip":
-        return bool(_SIX.fullmatch(body)) and "::" in body
+        return bool(_SIX_FULL.fullmatch(body)) or bool(_SIX.fullmatch(body)) and "::" in body
     if kind == "card":
         return plain and 12 <= len(digits) <= 19 and luhn(digits) and set(body) <= set("0123456789 .-")
     return plain and 9 <= len(digits) <= 15 and body.count("(") == body.count(")") and (body[0] in "(+" or body.count("-") >= 2)

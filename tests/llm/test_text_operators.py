@@ -76,6 +76,28 @@ def test_edges(spark):
     assert pii.find(docs.limit(0), crf).count() == 0
 
 
+ITEMS = {"email": ("a [at] x [dot] com", "bob(at)post.net", "t.weber [at] mail7 [dot] co [dot] uk"), "phone": ("(555) 123-4567", "555-765-4321"),
+         "ip": ("fe80::1234:5678", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2001:db8:1:2:3:4:5:6"),
+         "card": ("4111 1111 1111 1111", "5500000000000004", "4111-1111-1111-1111")}
+
+
+def test_neighbours_of_one_kind_are_found_one_by_one():
+    for kind, items in ITEMS.items():
+        for n in (1, 2, 3):
+            for row in itertools.product(items, repeat=n):
+                for sign in (" ", "\n", ", ", ". "):
+                    text = sign.join(row)
+                    label = np.full(len(text.split()), pii.LABELS.index(kind), np.int8)
+                    assert [text[a:b] for _, a, b in pii._accepted(text, label, [])] == list(row)
+    tagger = pii.Tagger(pii.Crf.train(pii.labelled_rows()))
+    for kind, items in (("email", ["a [at] x [dot] com", "b [at] y [dot] com"]), ("phone", ["(555) 123-4567", "(555) 765-4321"]),
+                        ("email", ["ann@example.com", "bob(at)post.net"]), ("email", ["bob(at)post.net", "ann@example.com", "lee(at)web.org"]),
+                        ("ip", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"])):
+        for sign in ("\n", ", "):
+            text = "from " + sign.join(items) + " to here"
+            assert [(k, text[a:b]) for k, a, b in tagger.spans([text])[0][1]] == [(kind, x) for x in items]
+
+
 def test_mixed_text_gets_spans(spark):
     rows = [(i, "the cat and the dog went home", "en") for i in range(9)] + [(20 + i, "кошка и собака пошли домой", "ru") for i in range(9)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
