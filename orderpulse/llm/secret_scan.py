@@ -14,7 +14,8 @@ The dictionary is the words of a tokenizer's rank file: a word's rank bounds its
 on the driver and broadcast (its size is checked).
 
 Cost in time: patterns are searched in proportion to the text, and the dynamic program looks at most
-``MAX_WORD`` characters back from each position, so a value of any length is handled whole.
+``MAX_WORD`` characters back for words and keeps the cheapest start of each run and repeat as it goes, so
+a value of any length is handled whole.
 
 Defined results: a null or empty text has no spans; repeated rows each get their own; offsets are code
 points, ends exclusive; spans are ordered by start, then by kind in the order of ``KINDS``.
@@ -76,7 +77,8 @@ def ordered(spans: list[Span]) -> list[Span]:
 # Rows of a keyboard, from left to right, and letters that digits stand for.
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "~!@#$%^&*()_+", "QWERTYUIOP{}|", "ASDFGHJKL:\"", "ZXCVBNM<>?")
 _LEET = str.maketrans("013457@$!", "oieastasi")
-_DATE = re.compile(r"(?:19|20)[0-9]{2}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}")
+_FULL_DATE = re.compile(r"(?:19|20)[0-9]{2}([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}")
+_YEAR = re.compile("(?:19|20)[0-9]{2}")
 _LOG_DATE, _LOG_YEAR = math.log10(365 * 120), math.log10(120)
 _LOG_WALK = math.log10(47 * 4)
 _LOG_CUT = math.log10(2)   # a cut more makes a pattern harder to guess
@@ -117,6 +119,40 @@ def read_dictionary(path: str) -> dict[str, float]:
     return out
 
 
+class _Starts:
+    """The cheapest start of a segment that costs the logarithm of its length, among all starts in a run.
+
+    Of two starts, once the earlier one is as cheap as the later one it stays so, as the logarithm of the
+    longer length grows slower.  So starts lie on a stack, the later on top, each with the end at which
+    the one beneath takes over; those ends fall towards the top, and each start enters and leaves once."""
+
+    def __init__(self):
+        self.first, self.stack = -1, []
+
+    def least(self, first: int, at: int, cost: float, shift: int, end: int) -> float:
+        """Adds the start ``at`` of cost ``cost`` to the run that begins at ``first``; the lowest sum of
+        a start's cost and log10 of (``end`` - start + ``shift``)."""
+        stack = self.stack
+        if first != self.first:
+            self.first = first
+            stack.clear()
+        at -= shift
+        while stack and stack[-1][2] <= end:
+            stack.pop()
+        over = math.inf
+        while stack:
+            i, c, until = stack[-1]
+            d = cost - c
+            over = at if d > 15 else at + (at - i) / (10 ** d - 1) if d > 1e-12 else math.inf
+            if over < until:
+                break
+            stack.pop()
+        if over > end:
+            stack.append((at, cost, over))
+        at, cost, _ = stack[-1]
+        return cost + math.log10(end - at)
+
+
 def guesses_log10(value: str, dictionary: dict[str, float]) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``."""
     n = len(value)
@@ -124,14 +160,17 @@ def guesses_log10(value: str, dictionary: dict[str, float]) -> float:
     lower = value.lower()
     plain = lower.translate(_LEET) if len(lower) == n else value
     lower = lower if len(lower) == n else value
-    dates = {m.span(): _LOG_YEAR if m.end() - m.start() == 4 else _LOG_DATE for at in range(n) if value[at].isdigit() and (m := _DATE.match(value, at))}
     by_end: dict[int, list[tuple[int, float]]] = {}
-    for (a, b), cost in dates.items():
-        by_end.setdefault(b, []).append((a, cost))
+    for at in range(n):
+        if value[at].isdigit():
+            for form, cost in ((_FULL_DATE, _LOG_DATE), (_YEAR, _LOG_YEAR)):
+                if m := form.match(value, at):
+                    by_end.setdefault(m.end(), []).append((at, cost))
     best = [0.0] * (n + 1)
     same = walk = step = 0     # characters of the run that ends here: equal, keyboard walk, sequence
     delta = 0
     period = [0] * 9           # characters that repeat what stands k before
+    sames, walks, steps, periods = _Starts(), _Starts(), _Starts(), [_Starts() for _ in range(9)]
     for end in range(1, n + 1):
         i = end - 1
         if i:
@@ -153,16 +192,16 @@ def guesses_log10(value: str, dictionary: dict[str, float]) -> float:
                 low = min(low, best[at] + cost + extra + _LOG_CUT)
         for at, cost in by_end.get(end, ()):
             low = min(low, best[at] + cost + _LOG_CUT)
+        # runs, walks, sequences and repeats may begin anywhere in the longest one that ends here
         if same >= 2:
-            low = min(low, best[end - same - 1] + each + math.log10(same + 1) + _LOG_CUT)
-        if walk >= 3:
-            low = min(low, best[end - walk - 1] + _LOG_WALK + math.log10(walk + 1) + walk * 0.3)
+            low = min(low, sames.least(i - same, end - 3, best[end - 3], 0, end) + each + _LOG_CUT)
+        if walk >= 3:   # 0.3 for each step; counted from the value's start, so that starts compare
+            low = min(low, walks.least(i - walk, end - 4, best[end - 4] - 0.3 * (end - 4), 0, end) + _LOG_WALK + i * 0.3)
         if step >= 2:
-            low = min(low, best[end - step - 1] + each + math.log10(step + 1) + _LOG_CUT)
+            low = min(low, steps.least(i - step, end - 3, best[end - 3], 0, end) + each + _LOG_CUT)
         for k in range(2, 9):
             if period[k] >= k:   # the block once, then its number of repeats
-                at = end - period[k] - k
-                low = min(low, best[at + k] + math.log10(period[k] / k + 1) + _LOG_CUT)
+                low = min(low, periods[k].least(end - period[k], end - k, best[end - k], k, end) - math.log10(k) + _LOG_CUT)
         best[end] = low
     return best[n]
 

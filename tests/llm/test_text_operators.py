@@ -1,5 +1,6 @@
 """Ops 2, 4, 6 and 10: plain forms of the patterns, Viterbi against enumeration, edge rows."""
 import itertools
+import math
 import re
 
 import numpy as np
@@ -112,6 +113,42 @@ def test_guess_cost():
     assert [text[a:b] for _, a, b in secret_scan.added_spans(text, [], words)] == ["xK9$vQ2!mZ7p"]
 
 
+def plain_guesses(v, words):
+    """The cheapest segmentation, every segment tried from every start."""
+    each = math.log10(sum(n for c, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 33)) if re.search(c, v)))
+    cut, best = math.log10(2), [0.0]
+    day = "(0[1-9]|[12][0-9]|3[01])"
+    dates = [rf"(19|20)\d\d([-/._]?)(0[1-9]|1[0-2])\2{day}", rf"{day}([-/._]?)(0[1-9]|1[0-2])\2(19|20)\d\d"]
+    for end in range(1, len(v) + 1):
+        costs = [best[end - 1] + each]
+        for at in range(end):
+            x, n = v[at:end], end - at
+            steps = {ord(b) - ord(a) for a, b in itertools.pairwise(x)}
+            log = math.log10(n)
+            if x in words:
+                costs.append(best[at] + words[x] + cut)
+            if any(re.fullmatch(d, x) for d in dates):
+                costs.append(best[at] + math.log10(365 * 120) + cut)
+            if re.fullmatch(r"(19|20)\d\d", x):
+                costs.append(best[at] + math.log10(120) + cut)
+            if n >= 3 and len(steps) == 1 and steps <= {0, 1, -1}:
+                costs.append(best[at] + each + log + cut)
+            if n >= 4 and all(a + b in secret_scan._NEAR for a, b in itertools.pairwise(x)):
+                costs.append(best[at] + math.log10(47 * 4) + log + (n - 1) * 0.3)
+            for k in range(2, 9):
+                if n >= 2 * k and x[k:] == x[:-k]:
+                    costs.append(best[at + k] + math.log10((n - k) / k + 1) + cut)
+        best.append(min(costs))
+    return best[-1]
+
+
+@settings(deadline=None, max_examples=600)
+@given(st.lists(st.sampled_from([*"aabc1209w", "aaaaa", "qwerty", "asdf", "abcd", "9876", "banana", "2012", "01011999", "12.01.2003", "abab", "abcabc"]), min_size=1, max_size=9).map("".join),
+       st.dictionaries(st.sampled_from(["banana", "aaa", "bqwe", "aab", "ban", "qwer", "wer", "cab", "tyasd"]), st.sampled_from([0.3, 1.0, 3.0]), max_size=6))
+def test_guess_cost_is_the_lowest(value, words):
+    assert abs(secret_scan.guesses_log10(value, words) - plain_guesses(value, words)) < 1e-9
+
+
 def test_every_context_value_is_decided_by_its_cost():
     words = secret_scan.read_dictionary(public_tokenizers.path(secret_scan.DEFAULT_RANKS))
     found = lambda t: [t[a:b] for _, a, b in secret_scan.added_spans(t, secret_scan.base_spans(t), words)]
