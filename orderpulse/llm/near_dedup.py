@@ -42,6 +42,8 @@ BANDS, ROWS = 32, 5
 MINIMA = BANDS * ROWS
 #: Documents of a block, for comparing signatures in a bucket and full sets in a cluster.
 BUCKET_BLOCK, CLUSTER_BLOCK = 512, 128
+#: Blocks of a side of the square of block pairs that is dealt to a task.
+STRIP = 4
 #: Five standard deviations of a signature's agreement at the threshold.
 LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Bytes of text hashed at once; a longer text is hashed in parts that end at white space.
@@ -251,10 +253,29 @@ def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, group: str, size: int, value: Column) -> DataFrame:
-    """(group, block, items): the rows of each group in blocks of about ``size`` by a hash of the id."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("n"))
+    """(group, block, n, items): the rows of each group in ``n`` blocks of about ``size`` by a hash of the id."""
+    counts = lookup(saved(rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))))
     dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
-    return dealt.groupBy(group, "block").agg(F.collect_list(value).alias("items"))
+    return dealt.groupBy(group, "block", "n").agg(F.collect_list(value).alias("items"))
+
+
+def _block_pairs(blocks: DataFrame, other: DataFrame, group: str, once: bool = False) -> DataFrame:
+    """(items, items2): each block of ``blocks`` (group, block, n2, items) with each of ``other`` (group,
+    block2, n, items2) in its group, ``n`` and ``n2`` being the numbers of blocks on either side; ``once``
+    takes a pair of blocks of the same table in one order only.
+
+    The pairs of a group are cut into squares of ``STRIP`` x ``STRIP`` blocks.  A block is sent to each
+    square of its row or column, and squares are dealt by (group, row, column), so the pairs of one
+    group spread over all tasks."""
+    parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    strip = lambda x: F.floor(F.col(x) / STRIP).cast("int")
+    last = lambda n: F.floor((F.col(n) - 1) / STRIP).cast("int")
+    a = blocks.select(group, "block", strip("block").alias("row"), F.explode(F.sequence(strip("block") if once else F.lit(0), last("n2"))).alias("column"), "items")
+    b = other.select(group, "block2", F.explode(F.sequence(F.lit(0), strip("block2") if once else last("n"))).alias("row"), strip("block2").alias("column"), "items2")
+    square = [group, "row", "column"]
+    # a given number of partitions, as few bytes make much work here and must not be coalesced
+    both = a.repartition(parts, *square).join(b.repartition(parts, *square), square)
+    return (both.where("block <= block2") if once else both).select("items", "items2")
 
 
 def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
@@ -266,8 +287,8 @@ def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFram
     mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     m = m.join(mixed, "key").join(signed, "id").select("key", "id", "root", "signature")
     blocks = saved(_blocks(m, "key", BUCKET_BLOCK, F.struct("root", "signature")))
-    other = blocks.select("key", F.col("block").alias("block2"), F.col("items").alias("items2"))
-    both = blocks.join(other, "key").where("block <= block2").select("items", "items2")
+    other = blocks.select("key", F.col("block").alias("block2"), "n", F.col("items").alias("items2"))
+    both = _block_pairs(blocks.withColumnRenamed("n", "n2"), other, "key", once=True)
 
     def make():
         def f(x: pa.RecordBatch) -> dict:
@@ -302,11 +323,13 @@ def _between(bridges: DataFrame, stand: DataFrame, roots: DataFrame, docs: DataF
     m = _rooted(stand, ["id"], roots).select("id", F.col("root_id").alias("root"))
     m = saved(m.join(clusters, m["root"] == F.col("c_root")).select("id", "root", "cluster"))
     sizes = m.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"))
-    whole = saved(m.join(texts_of(m.select("id"), docs, id_col, text_col), "id").join(sizes.select("cluster", F.col("most.root").alias("main")), "cluster"))
+    main = lookup(saved(sizes.select("cluster", F.col("most.root").alias("main"))))
+    whole = saved(m.join(texts_of(m.select("id"), docs, id_col, text_col), "id").join(main, "cluster"))
     item = F.struct("id", "root", "text")
-    blocks = _blocks(whole, "cluster", CLUSTER_BLOCK, item).select("cluster", "items")
-    asked = _blocks(whole.where("root != main"), "cluster", CLUSTER_BLOCK, item).select("cluster", F.col("items").alias("items2"))
-    both = blocks.join(asked, "cluster").select("items", "items2")
+    blocks = saved(_blocks(whole, "cluster", CLUSTER_BLOCK, item))
+    asked = saved(_blocks(whole.where("root != main"), "cluster", CLUSTER_BLOCK, item).select("cluster", F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("items").alias("items2")))
+    many, few = (lookup(saved(x.select("cluster", n).distinct())) for x, n in ((blocks, "n"), (asked, "n2")))
+    both = _block_pairs(blocks.drop("n").join(few, "cluster"), asked.drop("n2").join(many, "cluster"), "cluster")
 
     def make():
         def f(x: pa.RecordBatch) -> dict:

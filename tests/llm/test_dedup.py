@@ -4,6 +4,7 @@ import itertools
 import random
 
 from orderpulse.llm import exact_dedup, near_dedup
+from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, block0 string, sha string, id long"
 
@@ -86,6 +87,34 @@ def test_near_groups(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got.values())
 
 
+def test_block_pairs_of_one_cluster_spread(spark):
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, f"x{r.randrange(10 ** 9)}"])) for i in range(1100)]
+    docs = frame(spark, rows).select("doc_id", "text")
+    ids = docs.select(F.col("doc_id").alias("id"))
+    roots = ids.where("id < 150").select("id", F.lit(0).cast("long").alias("root"))   # one component of 150, the others alone
+    bridges = ids.where("id >= 150").select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = near_dedup._between(bridges, ids, roots, docs, 5, "doc_id", "text").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    root = lambda i: 0 if i < 150 else i
+    assert {(x.a, x.b) for x in links} == {(a, b) for a in range(1100) for b in range(150, 1100) if root(a) != root(b)}
+    assert len(links) == len({(x.a, x.b) for x in links}) and len({x.task for x in links}) > 1
+
+
+def test_block_pairs_are_whole(spark):
+    for n, n2 in ((1, 1), (4, 5), (9, 2)):
+        a = spark.createDataFrame([(7, i, n2, i) for i in range(n)], "g int, block int, n2 int, items int")
+        b = spark.createDataFrame([(7, i, n, i) for i in range(n2)], "g int, block2 int, n int, items2 int")
+        assert sorted(map(tuple, near_dedup._block_pairs(a, b, "g").collect())) == sorted(itertools.product(range(n), range(n2)))
+        a, b = a.withColumn("n2", F.lit(n)), a.select("g", F.col("block").alias("block2"), F.lit(n).alias("n"), F.col("items").alias("items2"))
+        assert sorted(map(tuple, near_dedup._block_pairs(a, b, "g", once=True).collect())) == sorted(itertools.combinations_with_replacement(range(n), 2))
+
+
 def test_near_edges(spark):
     rows = [(None, "a b c d e f"), (8, "a b c d e f"), (8, "a b c d e f"), (9, "a b c d e f")]
     docs = frame(spark, rows)
