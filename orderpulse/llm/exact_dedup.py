@@ -8,7 +8,7 @@ SHA-256, so false positives cost a little work and never a wrong answer; all oth
 straight through.
 
 The hits of a place are counted by a partial aggregate, so a text that a third of all rows share
-costs one row per task (``bloom.py``).
+costs one row per task (``bloom.py``); its rows find their group in a broadcast table.
 
 Defined results: null counts as empty, and all empty texts are one group; of equal texts the row
 with the largest id stays (a null id is the smallest), and of rows that also share the id one
@@ -28,6 +28,10 @@ from .bloom import PlaceFilter
 from .common import fresh, lower_ascii, map_rows, saved
 
 
+#: A text with more copies than this, and more than its share of this many texts, is not joined by a shuffle.
+HOT_COPIES, MAX_HOT_TEXTS = 1000, 10_000
+
+
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sha) of every row: SHA-256 of the normalised whole text."""
     def make():
@@ -41,13 +45,24 @@ def _stays(maybe: DataFrame) -> DataFrame:
     return maybe.groupBy(F.col("sha").alias("g_sha")).agg(stays.alias("stays"), F.count(F.lit(1)).alias("n"))
 
 
+def _with_stays(maybe: DataFrame, stays: DataFrame) -> DataFrame:
+    """``maybe`` with the row of its text in ``stays``.  Rows of a text with very many copies meet a
+    broadcast table and are not shuffled; the others are joined on their digest."""
+    total = stays.agg(F.sum("n")).first()[0] or 0
+    many = max(HOT_COPIES, total // MAX_HOT_TEXTS)
+    hot = stays.where(F.col("n") > many)   # fewer than MAX_HOT_TEXTS texts, as each has more than its share
+    of_hot = maybe.join(F.broadcast(hot), maybe["sha"] == hot["g_sha"])
+    few = stays.where(F.col("n") <= many)
+    rest = maybe.join(F.broadcast(hot.select(F.col("g_sha").alias("hot_sha"))), F.col("sha") == F.col("hot_sha"), "left_anti")
+    return of_hot.unionByName(rest.join(few, F.col("sha") == F.col("g_sha")))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     keys = saved(hashed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    marked = PlaceFilter.of(keys, "sha", at_least=2).mark(keys, "sha", "maybe")
+    marked = saved(PlaceFilter.of(keys, "sha", at_least=2).mark(keys, "sha", "maybe"))
     maybe = marked.where("maybe")
-    stays = _stays(maybe)
-    found = maybe.join(stays, maybe["sha"] == stays["g_sha"])
+    found = _with_stays(maybe, saved(_stays(maybe)))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     again = found.select(F.col("id").alias("doc_id"), F.col("stays.id").alias("keep_id"), F.col("n").alias("group_size"),
                          (F.col("row") == F.col("stays.row")).alias("kept"), sha)

@@ -32,6 +32,22 @@ def test_exact_groups(spark):
         assert [r.doc_id for r in rows if r.kept] == [keep]
 
 
+def test_rows_of_one_text_are_not_dealt_to_one_task(spark):
+    rows = [(i, "the same text" if i % 3 else f"text {i // 6}") for i in range(6000)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = frame(spark, rows).repartition(4)
+        got = exact_dedup.groups(docs).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(r.doc_id for r in got) == list(range(6000))
+    same = [r for r in got if r.doc_id % 3]
+    assert {(r.group_size, r.keep_id) for r in same} == {(4000, 5999)} and [r.doc_id for r in same if r.kept] == [5999]
+    assert len({r.task for r in same}) > 1
+    assert all(r.group_size == sum(1 for x in range(0, 6000, 3) if x // 6 == r.doc_id // 6) for r in got if not r.doc_id % 3)
+
+
 def test_exact_dedup_rows(spark):
     docs = frame(spark, EXACT)
     got = exact_dedup.dedup(docs)
