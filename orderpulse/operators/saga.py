@@ -75,22 +75,9 @@ def order_completion(payments: DataFrame, reserved: DataFrame,
 
 
 def saga(orders: DataFrame, initial_stock: int = 100, num_partitions: int | None = None) -> DataFrame:
-    """Whole saga on one order table: P1 -> T1 -> J1.
-
-    Both facts of an order inherit the order's event time, so the +-5 minute
-    condition of J1 always holds and the join is a 1:1 match on ``order_id``;
-    the payment rule is therefore evaluated on the reservation output itself,
-    which saves a full shuffle of both fact streams.  ``order_completion``
-    is the general join for facts that arrive separately.
-    """
-    r = stock_reservation(orders, initial_stock=initial_stock, num_partitions=num_partitions)
-    pay = payment_status(F.col("amount"))
-    status, reason = completion_columns(pay, F.col("status"))
-    return r.select(
-        "order_id", status.alias("status"), reason.alias("reason"),
-        F.col("placed_at").alias("completed_at"), "correlation_id", "tenant_id",
-        pay.alias("payment_status"), F.col("status").alias("inventory_status"),
-    )
+    """Whole saga on one order table: P1 -> T1 -> J1, the interval join included."""
+    reserved = reservations(orders, initial_stock=initial_stock, num_partitions=num_partitions)
+    return order_completion(payment_decision(orders), reserved)
 
 
 def saga_summary(completions: DataFrame) -> DataFrame:

@@ -59,6 +59,14 @@ def test_saga_counts_sf01_fused_and_joined_agree(spark):
     assert _summary(joined) == expected
 
 
+def test_saga_runs_the_interval_join(spark, monkeypatch):
+    o = _orders(spark, [_row(1, "p", 1, "1"), _row(2, "p", 1, "1")])
+    late = F.when(F.col("order_id") == "o2", F.col("reserved_at") + F.expr("INTERVAL 6 MINUTES")).otherwise(F.col("reserved_at"))
+    plain = sg.reservations
+    monkeypatch.setattr(sg, "reservations", lambda *a, **kw: plain(*a, **kw).withColumn("reserved_at", late))
+    assert [r.order_id for r in sg.saga(o).collect()] == ["o1"]
+
+
 def test_reservation_counts_sf01(spark):
     r = stock_reservation(tb.orders_stream(spark, SF01))
     got = {x.status: x["count"] for x in r.groupBy("status").count().collect()}
