@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ERROR_MAX_CHARS, from_base64
-from .ordered_fold import KeyFold, ordered_fold
+from .ordered_fold import KeyFold
 from .ranking import global_row_number
 
 # Fixed values of the relay.
@@ -70,20 +70,6 @@ def outbox_dead_scan(outbox: DataFrame, page: int = DEAD_PAGE) -> DataFrame:
     return d.orderBy("created_at", "id").limit(page)
 
 
-def relay_outcomes(outbox: DataFrame, cycles: int = 6) -> DataFrame:
-    """Relay attempts of the unprocessed rows over ``cycles`` polling cycles.
-
-    An attempt succeeds when the payload decodes (S6); otherwise it fails with
-    the decode error.  One row per (event, cycle), one second apart.
-    """
-    dec = decode_outbox(unprocessed(outbox)).select("id", "ok", "error")
-    u = unprocessed(outbox).select("id", "created_at", "retry_count").join(dec, "id")
-    c = F.explode(F.sequence(F.lit(1), F.lit(cycles))).alias("cycle")
-    x = u.select("*", c)
-    return x.select("id", "cycle", "retry_count", "ok", "error",
-                    (F.col("created_at") + F.make_interval(secs=F.col("cycle"))).alias("ts"))
-
-
 def _t4(st, base_retry, ok, err, ts_us):
     processed, retry, last_err, dead, done_us = st if st is not None else (False, base_retry, None,
                                                                            False, None)
@@ -210,29 +196,23 @@ class OutboxFold(KeyFold):
         return {c: self.tf_apply(second, ex) for c, ex in first.items()}
 
 
-def outbox_status(outbox: DataFrame, cycles: int = 6, num_partitions: int | None = None) -> DataFrame:
-    """T4: every outbox row after ``cycles`` relay cycles.
+def outbox_status(outbox: DataFrame) -> DataFrame:
+    """T4: every outbox row after the relay has ended with it, a narrow projection.
 
-    Rows already processed are unchanged; the others are folded over their
-    outcomes (success -> processed; failure -> retry + 1, error cut to 500
-    characters, at 5 retries processed and dead).
+    Rows already processed are unchanged.  A payload that decodes (S6) is processed in its first cycle;
+    any other fails each cycle, one second apart, until it has 5 retries, and is then processed and
+    dead, its error cut to 500 characters.  ``OutboxFold`` is the fold over given outcomes.
     """
-    oc = relay_outcomes(outbox, cycles)
-    f = ordered_fold(oc, "id", ["cycle"], OutboxFold(), num_partitions)
-    last = f.groupBy("id").agg(F.max_by(F.struct("processed", "new_retry_count", "last_error", "dead",
-                                                 "processed_us"), F.col("cycle")).alias("s"))
-    base = outbox.select("id", "retry_count", "processed_at")
-    j = base.join(last, "id", "left")
-    folded = F.col("s").isNotNull()
-    return j.select(
-        "id",
-        F.when(folded, F.col("s.processed")).otherwise(F.col("processed_at").isNotNull()).alias("processed"),
-        F.when(folded, F.col("s.new_retry_count")).otherwise(F.col("retry_count")).cast("int")
-         .alias("retry_count"),
-        F.when(folded, F.col("s.last_error")).alias("last_error"),
-        F.coalesce(F.col("s.dead"), F.lit(False)).alias("dead"),
-        F.when(folded, F.timestamp_micros("s.processed_us")).otherwise(F.col("processed_at"))
-         .alias("processed_at"))
+    done = F.col("processed_at").isNotNull()
+    failed = ~done & decoded_order_id(F.col("payload")).isNull()
+    failures = F.when(failed, F.greatest(F.lit(1), F.lit(MAX_RETRIES) - F.col("retry_count"))).otherwise(F.lit(0))
+    return outbox.select(
+        "id", F.lit(True).alias("processed"),
+        (F.col("retry_count") + failures).cast("int").alias("retry_count"),
+        F.when(failed, F.substring(F.lit(DECODE_ERROR), 1, ERROR_MAX_CHARS)).alias("last_error"),
+        failed.alias("dead"),
+        F.when(done, F.col("processed_at"))
+         .otherwise(F.col("created_at") + F.make_interval(secs=F.greatest(F.lit(1), failures))).alias("processed_at"))
 
 
 def outbox_dead_count(status: DataFrame) -> DataFrame:

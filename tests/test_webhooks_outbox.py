@@ -62,3 +62,14 @@ def test_outbox_relay_state_machine(spark):
     # the monitor's scan wants unprocessed rows with 5+ retries; after the relay there are none (Q3)
     after = obx.outbox_status(ob).join(ob.select("id", "created_at"), "id")
     assert obx.outbox_dead_scan(after).count() == 0
+
+
+def test_outbox_status_needs_no_attempts(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    ob = spark.createDataFrame([("a", "t", "!!!", t0, None, -3), ("b", "t", "!!!", t0, None, 7), ("c", "t", "!!!", t0, t0, 2)],
+                               "id string, topic string, payload string, created_at timestamp, processed_at timestamp, retry_count int")
+    status = obx.outbox_status(ob)
+    got = {r.id: (r.processed, r.retry_count, r.dead, (r.processed_at - t0).seconds, r.last_error) for r in status.collect()}
+    assert got == {"a": (True, 5, True, 8, obx.DECODE_ERROR), "b": (True, 8, True, 1, obx.DECODE_ERROR), "c": (True, 2, False, 0, None)}
+    plan = status._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
