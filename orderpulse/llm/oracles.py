@@ -108,7 +108,82 @@ SELECT page_id, f::BIGINT AS warc_file, i::BIGINT AS record, o::BIGINT AS "offse
        CASE WHEN same THEN 'intact' ELSE 'corrupt' END AS state FROM r JOIN l3 USING (f)
 """
 
+_CODE = "CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_CODE.format(c=c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, LOWERED AS t FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS all_c FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(all_c) AS n FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN k USING (lang, term) GROUP BY lang, source, term),
+n AS (SELECT lang, source, sum(c) AS n FROM c GROUP BY lang, source),
+f AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (coalesce(n.n, 0) + 5 * v.v) AS p,
+         1 + (1000000000::HUGEINT * (all_c + 5)) // (v.n + 5 * v.v) AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source),
+pairs AS (
+  SELECT g.lang, g.source, h.source AS item, coalesce(sum(abs(a.p - b.p)), 0) AS value
+  FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN f a ON a.lang = g.lang AND a.source = g.source
+  LEFT JOIN f b ON b.lang = g.lang AND b.source = h.source AND b.term = a.term
+  GROUP BY g.lang, g.source, h.source),
+terms AS (
+  SELECT lang, source, term AS item, p - q AS value, row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank
+  FROM f WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+       row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+UNION ALL SELECT lang, source, 'term', item, value::BIGINT, rank FROM terms WHERE rank <= 50
+""".replace("LOWERED", _LOWER)
+
+MERKLE_MANIFEST = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {_LEAF.format(text="text")} AS leaf, list_reduce(
+           list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+           lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)),
+             lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END)) AS crc,
+         {_LEAF.format(text="replace(text, chr(10), '')")} AS other FROM documents),
+p AS (
+  SELECT doc_id, source, leaf, CASE WHEN xor(crc, 4294967295::BIGINT) % 2 = 0 THEN other ELSE leaf END AS now,
+         row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+         count(*) OVER (PARTITION BY source) AS n FROM d),
+lv AS (
+  SELECT source, 0 AS l, i AS j, n, leaf AS h FROM p
+  UNION ALL
+  SELECT source, l + 1, j // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY j)) FROM lv WHERE n > 1 GROUP BY source, l, j // 3, n),
+subs AS (SELECT source, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS k, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (
+  SELECT 0 AS l, k AS j, n, subroot AS h FROM subs
+  UNION ALL
+  SELECT l + 1, j // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY j)) FROM tv WHERE n > 1 GROUP BY l, j // 3, n),
+depth AS (SELECT source, max(l) AS depth FROM lv GROUP BY source),
+way AS (   -- the nodes of every run on a document's way up, its own included
+  SELECT p.source, p.i, lv.l AS step, lv.j, p.i // (3 ** lv.l)::BIGINT AS own, lv.h
+  FROM p JOIN lv ON lv.source IS NOT DISTINCT FROM p.source AND lv.n > 1 AND lv.j // 3 = p.i // (3 ** (lv.l + 1))::BIGINT
+  UNION ALL
+  SELECT p.source, p.i, depth + tv.l, tv.j, k // (3 ** tv.l)::BIGINT, tv.h
+  FROM p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source JOIN depth ON depth.source IS NOT DISTINCT FROM p.source
+  JOIN tv ON tv.n > 1 AND tv.j // 3 = k // (3 ** (tv.l + 1))::BIGINT),
+runs AS (
+  SELECT source, i, step, coalesce(string_agg(h, '' ORDER BY j) FILTER (j < own), '') AS lefts, coalesce(string_agg(h, '' ORDER BY j) FILTER (j > own), '') AS rights
+  FROM way GROUP BY source, i, step),
+proofs AS (SELECT source, i, string_agg(lefts || rights, '' ORDER BY step) AS proof, max(step) + 1 AS steps FROM runs GROUP BY source, i),
+fold AS (
+  SELECT source, i, 0 AS step, now AS h FROM p
+  UNION ALL
+  SELECT fold.source, fold.i, fold.step + 1, sha256(lefts || h || rights)
+  FROM fold JOIN runs ON runs.source IS NOT DISTINCT FROM fold.source AND runs.i = fold.i AND runs.step = fold.step)
+SELECT doc_id, leaf, subroot, (SELECT h FROM tv WHERE n = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+       fold.h AS folded_root, fold.h = (SELECT h FROM tv WHERE n = 1) AS verified
+FROM p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source
+LEFT JOIN proofs ON proofs.source IS NOT DISTINCT FROM p.source AND proofs.i = p.i
+JOIN fold ON fold.source IS NOT DISTINCT FROM p.source AND fold.i = p.i AND fold.step = coalesce(steps, 0)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_mixing": MIXING, "op5_line_quality": LINE_QUALITY, "op8_exact_dedup": EXACT_DEDUP,
-    "op9_near_dedup": NEAR_DEDUP, "op10_warc_fixity": WARC_FIXITY,
+    "op9_near_dedup": NEAR_DEDUP, "op10_warc_fixity": WARC_FIXITY, "op11_source_divergence": DIVERGENCE,
+    "op12_merkle_manifest": MERKLE_MANIFEST,
 }

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import ensure_utc, to_contract
 from ..sources.tables import read_table
-from . import bpe, exact_dedup, fixity, langid, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts
+from . import bpe, divergence, exact_dedup, fixity, langid, merkle_manifest, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts
 from .common import documents
 from .oracles import ORACLES
 
@@ -80,9 +80,19 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit_pages(read_table(spark, sf_dir, "pages"), damaged())
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that set a source apart."""
+    return divergence.audit(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every row against the manifest's root, and the check of a copy with changed texts."""
+    return merkle_manifest.manifest(documents(spark, sf_dir), merkle_manifest.without_newlines())
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_mixing, op4_pii, op5_line_quality, op6_secrets,
-                            op7_token_counts, op8_exact_dedup, op9_near_dedup, op10_warc_fixity)}
+                            op7_token_counts, op8_exact_dedup, op9_near_dedup, op10_warc_fixity, op11_source_divergence, op12_merkle_manifest)}
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
