@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import ensure_utc, to_contract
 from ..sources.tables import read_table
-from . import bpe, divergence, exact_dedup, fixity, langid, merkle_manifest, mixing, near_dedup, pii, quality_rules, secret_scan, token_counts
+from . import bpe, divergence, exact_dedup, fixity, langid, merkle_manifest, mixing, near_dedup, pii, quality_rules, secret_scan, suffix_dedup, token_counts
 from .common import documents
 from .oracles import ORACLES
 
@@ -90,9 +90,15 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.manifest(documents(spark, sf_dir), merkle_manifest.without_newlines())
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text that repeated strings of 200 bytes cover."""
+    return suffix_dedup.digest(suffix_dedup.spans(documents(spark, sf_dir)))
+
+
 OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_byte_bpe, op2_language_id, op3_mixing, op4_pii, op5_line_quality, op6_secrets,
-                            op7_token_counts, op8_exact_dedup, op9_near_dedup, op10_warc_fixity, op11_source_divergence, op12_merkle_manifest)}
+                            op7_token_counts, op8_exact_dedup, op9_near_dedup, op10_warc_fixity, op11_source_divergence, op12_merkle_manifest,
+                            op13_suffix_dedup)}
 
 
 def _ready(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -67,12 +67,12 @@ def test_ties_at_the_last_rank(spark):
     check(spark, [("en", s, t) for s in "ab" for t in ("p q r s" if s == "a" else "v w x y", "common")], 1, 2)
 
 
-def test_strings_move_only_for_kept_terms(spark):
+def test_strings_move_only_for_kept_terms(spark, capsys):
     """The exchange that counts documents carries numbers alone."""
     docs = spark.createDataFrame([(1, "a b"), (2, "b c")], "g long, text string").selectExpr("g AS l", "g", "text")
-    often = divergence.counted(docs).groupBy("l", "d").agg({"docs": "sum"})
-    exchange = [x for x in often._jdf.queryExecution().explainString(often._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n") if "Exchange" in x and "Input" in x]
-    assert exchange and all("term" not in x for x in exchange)
+    divergence.counted(docs).groupBy("l", "d").agg({"docs": "sum"}).explain("formatted")
+    exchanges = [x for x in capsys.readouterr().out.split("\n\n") if "Exchange" in x and "Input" in x]
+    assert exchanges and all("term" not in x for x in exchanges)
 
 
 def test_long_texts_are_split_whole(monkeypatch):
