@@ -1,7 +1,7 @@
 """Divergence of the term frequencies of sources, with late string materialization.
 
 1. A task counts the terms of its texts and writes (language, group, term digest, occurrences, documents, term);
-   a group is a (lang, source).  Digests and keys are 64-bit numbers.
+   a group is a (lang, source).  Digests (of language and term) and keys are 64-bit numbers.
 2. Only the numbers are shuffled: documents of a digest in its language.  A digest under ``LEAST_DOCUMENTS`` has
    no term to keep, so its strings never move.
 3. For the digests left, the minimum and the maximum of their strings are found.  Where they differ, several
@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import lookup, map_rows, saved
+from .common import lookup, map_rows, saved, written
 
 LEAST_DOCUMENTS = 30
 TOP_TERMS = 50
@@ -39,7 +39,9 @@ SCALE, PRIOR = 1_000_000_000, 5
 DIGEST_BITS = 64
 SOURCES_PER_BLOCK, TERMS_PER_SLICE = 128, 128
 #: Bytes of terms that a task counts before it writes them out, and of a text that is split at once.
-COUNTED_BYTES, CHUNK = 64 << 20, 4 << 20
+COUNTED_BYTES, CHUNK = 128 << 20, 4 << 20
+#: Digests (one number each) that may be broadcast; more are joined by a shuffle.
+MAX_BROADCAST_DIGESTS = 1_000_000
 
 #: Letters and all bytes above ASCII make terms; A-Z are lowered and any other byte separates.
 _TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -65,15 +67,15 @@ def counted(docs: DataFrame, bits: int = DIGEST_BITS) -> DataFrame:
     schema = pa.schema([("l", pa.int64()), ("g", pa.int64()), ("d", pa.int64()), ("n", pa.int64()), ("docs", pa.int64()), ("term", pa.string())])
     ship_package(docs.sparkSession)
 
-    def digest(term: bytes) -> int:
-        return int.from_bytes(blake2b(term, digest_size=8).digest(), "big", signed=True) >> (64 - bits)
+    def digest(lang: int, term: bytes) -> int:
+        return int.from_bytes(blake2b(term, digest_size=8, salt=lang.to_bytes(8, "big", signed=True)).digest(), "big", signed=True) >> (64 - bits)
 
     def rows(table: dict) -> Iterator[pa.RecordBatch]:
         for (lang, group), terms in table.items():
             items = list(terms.items())
             for at in range(0, len(items), 50_000):
                 part = items[at:at + 50_000]
-                cols = [[lang] * len(part), [group] * len(part), [digest(t) for t, _ in part], [v[0] for _, v in part],
+                cols = [[lang] * len(part), [group] * len(part), [digest(lang, t) for t, _ in part], [v[0] for _, v in part],
                         [v[1] for _, v in part], [t.decode("utf-8", "surrogatepass") for t, _ in part]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
@@ -120,23 +122,27 @@ def frequency(n: str, total: str, terms: str) -> Column:
     return F.expr(f"1 + {over} div cast({total} + {PRIOR} * {terms} as decimal(20, 0))")
 
 
-def kept_counts(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(l, g, d, part, n) of the kept terms in each group, and their (l, d, part, term).  ``part`` tells
-    terms of one digest apart and is '' where a digest has one term."""
+def kept_counts(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(l, g, d, part, n) of the kept terms in each group, their (l, d, part, all_n) and (l, d, part, term).
+    ``part`` tells terms of one digest apart and is '' where a digest has one term."""
     often = parts.groupBy("l", "d").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    often = lookup(saved(often.select("l", "d")))
-    names = saved(parts.join(often, ["l", "d"]).groupBy("l", "d").agg(F.min("term").alias("low"), F.max("term").alias("high")))
-    splits = lookup(saved(names.select("l", "d", (F.col("low") != F.col("high")).alias("split"))))
-    part = F.when(F.col("split"), F.col("term")).otherwise("").alias("part")
-    again = parts.join(splits, ["l", "d"]).select("l", "g", "d", part, "split", "n", "docs")
-    counts = saved(again.groupBy("l", "g", "d", "part", "split").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    # of a split digest's terms, those that reach the limit alone
-    real = counts.where("split").groupBy("l", "d", "part").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least)
-    real = saved(real.select("l", "d", "part"))
-    whole = counts.where("not split").select("l", "g", "d", "part", "n")
-    kept = whole.unionByName(counts.where("split").join(lookup(real), ["l", "d", "part"]).select("l", "g", "d", "part", "n"))
-    single = names.where("low = high").select("l", "d", F.lit("").alias("part"), F.col("low").alias("term"))
-    return saved(kept), single.unionByName(real.select("*", F.col("part").alias("term")))
+    often = saved(often.select("d").distinct())
+    often = F.broadcast(often) if often.count() <= MAX_BROADCAST_DIGESTS else often
+    mine = parts.join(often, "d", "left_semi")
+    names = mine.select("l", "d", "term").distinct().groupBy("l", "d").agg(F.min("term").alias("low"), F.max("term").alias("high"))
+    names = saved(names)
+    splits = saved(names.where("low != high").select("l", "d", F.lit(True).alias("split")))
+    if splits.isEmpty():
+        named = mine.select("l", "g", "d", F.lit("").alias("part"), "n", "docs")
+    else:
+        named = mine.join(lookup(splits), ["l", "d"], "left").select("l", "g", "d", F.when(F.col("split"), F.col("term")).otherwise("").alias("part"), "n", "docs")
+    counts = saved(named.groupBy("l", "g", "d", "part").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    sums = saved(counts.groupBy("l", "d", "part").agg(F.sum("n").alias("all_n"), F.sum("docs").alias("docs")))
+    under = lookup(saved(sums.where(F.col("docs") < least).select("l", "d", "part")))   # only terms that share a digest
+    kept = counts.join(under, ["l", "d", "part"], "left_anti").drop("docs")
+    of_lang = sums.where(F.col("docs") >= least).drop("docs")
+    strings = of_lang.join(names, ["l", "d"]).select("l", "d", "part", F.when(F.col("part") == "", F.col("low")).otherwise(F.col("part")).alias("term"))
+    return kept, of_lang, strings
 
 
 def _pair_sums(entries: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
@@ -187,10 +193,9 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, top: int = TOP_TERMS, b
     language (part ``pair``) and its ``top`` terms that are more frequent than in the language (part ``term``)."""
     docs = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
     groups, seed = _groups(docs)
-    parts = saved(counted(docs.select(*_keys(seed), "text"), bits))
-    counts, terms = kept_counts(parts, least)
+    parts = written(counted(docs.select(*_keys(seed), "text"), bits))
+    counts, of_lang, terms = kept_counts(parts, least)
 
-    of_lang = saved(counts.groupBy("l", "d", "part").agg(F.sum("n").alias("all_n")))
     langs = of_lang.groupBy("l").agg(F.count(F.lit(1)).alias("terms"), F.sum("all_n").alias("all_total"))
     sizes = groups.groupBy("l").agg(F.count(F.lit(1)).alias("sources")).join(langs, "l", "left").na.fill(0)
     sizes = saved(sizes)

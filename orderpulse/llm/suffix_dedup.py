@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import MAX_BROADCAST_ROWS, lookup, map_rows, saved
+from .common import MAX_BROADCAST_ROWS, lookup, map_rows, saved, written
 
 LENGTH, GRAM, STEP = 200, 100, 25
 #: Grams of a window, and the powers of two that cover offsets of an anchor.
@@ -279,7 +279,7 @@ def found_windows(rows: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
     out, width = [], WIDEST
     while True:
         one = F.first(F.struct("lead", "piece", "ref", "start", "need")).alias("one")
-        distinct = saved(rows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), one).select("key", "digest", "n", "one.*"))
+        distinct = written(rows.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), one).select("key", "digest", "n", "one.*"))
         twice = distinct.where("n > 1").select("digest", "n")
         twice = twice.groupBy("digest").agg(F.sum("n").alias("n"))
         mine = rows.where("need").select("digest", "ref", "start", (F.octet_length("piece") - LENGTH + 1).cast("long").alias("count"))
@@ -292,7 +292,7 @@ def found_windows(rows: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
         if hot.isEmpty():
             break
         width //= 2
-        rows = saved(split(alone.join(hot, "key", "left_semi"), width))
+        rows = written(split(alone.join(hot, "key", "left_semi"), width))
     whole = out[0]
     for x in out[1:]:
         whole = whole.unionByName(x)
@@ -317,9 +317,9 @@ def cut(raw: bytes, runs: list[tuple[int, int]]) -> tuple[list[tuple[int, int]],
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_pieces: int = MAX_PIECES) -> DataFrame:
     """doc_id, n_bytes, spans (start, end of each maximal removed run) and kept_sha256 of every row."""
-    keys = saved(described(docs, id_col, text_col))
+    keys = written(described(docs, id_col, text_col))
     texts = keys.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"))
-    texts = saved(texts)
+    texts = written(texts)
     copies = texts.where("n > 1").select("sha", "n")
     grams = texts.select("sha", "n", F.explode("anchors").alias("key"))
     often = saved(grams.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
@@ -330,8 +330,8 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_p
     raw = docs.select(F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
     if wanted.count() <= MAX_BROADCAST_ROWS:
         raw = raw.join(F.broadcast(wanted.select("sha")), "sha", "left_semi")
-    raw = saved(raw.groupBy("sha").agg(F.first("text").alias("text")).join(wanted, "sha"))
-    windows = found_windows(saved(pieces(raw)), max_pieces)
+    raw = written(raw.groupBy("sha").agg(F.first("text").alias("text")).join(wanted, "sha"))
+    windows = found_windows(written(pieces(raw)), max_pieces)
     runs = saved(windows.groupBy(F.col("ref").alias("sha")).agg(F.collect_list(F.struct("start", "count")).alias("runs")))
 
     def make():
