@@ -50,7 +50,7 @@ MAX_PIECES = 20_000
 BLOCK_BYTES, SHARDS = 2 << 20, 4
 HOT_ROWS, MAX_HOT = 1000, 10_000
 
-_PIECE = "key long, digest binary, lead int, piece binary, ref binary, start long, need boolean"
+_PIECE = "key long, digest binary, lead int, piece binary, ref long, start long, need boolean"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -135,28 +135,28 @@ def _that_occur_in(rows: DataFrame, often: DataFrame, key: str) -> DataFrame:
     """``rows`` whose ``key`` is in ``often`` (key, n); rows of a key with very many are not shuffled."""
     hot, few = (x.select(key) for x in _hot(often))
     some = rows.join(F.broadcast(hot), key, "left_semi")
-    return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(lookup(few), key, "left_semi"))
+    return some.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(few.hint("merge"), key, "left_semi"))
 
 
 def pieces(texts: DataFrame) -> DataFrame:
-    """The pieces of the wanted anchors of ``texts`` (sha, n, wanted, text): an anchor's windows with the
+    """The pieces of the wanted anchors of ``texts`` (row, n, wanted, text): an anchor's windows with the
     bytes that they cover, ``lead`` bytes of them before the anchor."""
     def make():
         def f(b: pa.RecordBatch) -> dict:
             out: dict[str, list] = {c.split()[0]: [] for c in _PIECE.split(", ")}
-            for sha, n, wanted, text in zip(*(b.column(i).to_pylist() for i in range(4))):
+            for row, n, wanted, text in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = _bytes(text)
                 for first, last, anchor, h in anchored(np.frombuffer(raw, np.uint8)):
                     hit = np.isin(h, np.array(wanted, np.int64))
                     for i, j, a, key in zip(first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), h[hit].tolist()):
-                        _put(out, key, a - i, raw[i:j + LENGTH], sha, i, n == 1)
+                        _put(out, key, a - i, raw[i:j + LENGTH], row, i, n == 1)
             return out
         return f
 
-    return map_rows(texts.select("sha", "n", "wanted", "text"), make, _PIECE, 100)
+    return map_rows(texts.select("row", "n", "wanted", "text"), make, _PIECE, 100)
 
 
-def _put(out: dict[str, list], key: int, lead: int, piece: bytes, ref: bytes, start: int, need: bool) -> None:
+def _put(out: dict[str, list], key: int, lead: int, piece: bytes, ref: int, start: int, need: bool) -> None:
     digest = blake2b(piece, digest_size=16, salt=lead.to_bytes(2, "big")).digest()
     for c, v in zip(out, (key, digest, lead, piece, ref, start, need)):
         out[c].append(v)
@@ -249,13 +249,15 @@ def repeats(groups: DataFrame) -> DataFrame:
     rows = groups.select("key", "piece", "ref", "start", "need")
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "key").sortWithinPartitions("key")
-    schema = pa.schema([("ref", pa.binary()), ("start", pa.int64()), ("count", pa.int64())])
+    schema = pa.schema([("ref", pa.int64()), ("start", pa.int64()), ("count", pa.int64())])
     ship_package(rows.sparkSession)
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
+        # a piece that has its key for itself has nothing to share
+        held = [x for i, x in enumerate(held) if (i and held[i - 1][0] == x[0]) or (i + 1 < len(held) and held[i + 1][0] == x[0])]
         step = -(-len(held) // SHARDS)
-        shards = [[x[1] for x in held[i:i + step]] for i in range(0, len(held), step)]
-        found = [(ref, start + i, j - i) for (_, _, ref, start, need), flags in zip(held, merged(shards)) if need for i, j in _runs(flags)]
+        shards = [[x[1] for x in held[i:i + step]] for i in range(0, len(held), max(1, step))]
+        found = [(ref, start + i, j - i) for (_, _, ref, start, need), flags in zip(held, merged(shards) if held else []) if need for i, j in _runs(flags)]
         return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], f.type) for k, f in enumerate(schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,7 +273,7 @@ def repeats(groups: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, "ref binary, start long, count long")
+    return rows.mapInArrow(run, "ref long, start long, count long")
 
 
 def found_windows(rows: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
@@ -287,10 +289,10 @@ def found_windows(rows: DataFrame, max_pieces: int = MAX_PIECES) -> DataFrame:
         alone = distinct.withColumn("need", F.col("need") & (F.col("n") == 1))
         keys = saved(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).where("pieces > 1"))
         hot = lookup(keys.where(F.col("pieces") > max_pieces).select("key"))
-        few = lookup(keys.where(F.col("pieces") <= max_pieces).select("key"))
-        out.append(repeats(alone.join(few, "key", "left_semi")))
         if hot.isEmpty():
+            out.append(repeats(alone))
             break
+        out.append(repeats(alone.join(hot, "key", "left_anti")))
         width //= 2
         rows = written(split(alone.join(hot, "key", "left_semi"), width))
     whole = out[0]
@@ -319,12 +321,12 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_p
     """doc_id, n_bytes, spans (start, end of each maximal removed run) and kept_sha256 of every row."""
     keys = written(described(docs, id_col, text_col))
     texts = keys.where(F.col("n_bytes") >= LENGTH).groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.first("anchors").alias("anchors"))
-    texts = written(texts)
+    texts = written(texts.withColumn("row", F.monotonically_increasing_id()))   # a short name of the text from here on
     copies = texts.where("n > 1").select("sha", "n")
-    grams = texts.select("sha", "n", F.explode("anchors").alias("key"))
+    grams = texts.select("row", F.explode("anchors").alias("key"))
     often = saved(grams.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    wanted = _that_occur_in(grams.select("sha", F.col("n").alias("same"), "key"), often, "key")
-    wanted = saved(wanted.groupBy("sha").agg(F.first("same").alias("n"), F.collect_set("key").alias("wanted")))
+    wanted = _that_occur_in(grams, often, "key").groupBy("row").agg(F.collect_set("key").alias("wanted"))
+    wanted = saved(texts.select("row", "sha", "n").join(wanted, "row"))
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     raw = docs.select(F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text")).where(F.octet_length("text") >= LENGTH)
@@ -332,7 +334,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_p
         raw = raw.join(F.broadcast(wanted.select("sha")), "sha", "left_semi")
     raw = written(raw.groupBy("sha").agg(F.first("text").alias("text")).join(wanted, "sha"))
     windows = found_windows(written(pieces(raw)), max_pieces)
-    runs = saved(windows.groupBy(F.col("ref").alias("sha")).agg(F.collect_list(F.struct("start", "count")).alias("runs")))
+    runs = saved(windows.groupBy(F.col("ref").alias("row")).agg(F.collect_list(F.struct("start", "count")).alias("runs")))
 
     def make():
         def f(b: pa.RecordBatch) -> dict:
@@ -341,13 +343,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_p
                     "kept_sha256": [sha256(kept).hexdigest() for _, kept in done]}
         return f
 
-    few = raw.select("sha", "text").join(runs, "sha")
+    few = raw.select("row", "sha", "text").join(runs, "row").select("sha", "text", "runs")
     some = map_rows(few, make, "sha binary, spans array<struct<start:long,end:long>>, kept_sha256 string", 100)
     hot, rest = (x.select("sha", F.lit(True).alias("copy")) for x in _hot(copies))
     some = saved(some.select("sha", "spans", "kept_sha256", F.lit(False).alias("copy")).unionByName(rest, allowMissingColumns=True))
     known = keys.select("id", "n_bytes", "sha")
     of_hot = known.join(F.broadcast(hot), "sha").select("*", F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("string").alias("kept_sha256"))
-    others = known.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(lookup(some), "sha", "left")
+    others = known.join(F.broadcast(hot.select("sha")), "sha", "left_anti").join(some.hint("merge"), "sha", "left")
     every = of_hot.unionByName(others)
     copy = F.coalesce("copy", F.lit(False))
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
