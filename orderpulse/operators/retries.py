@@ -34,17 +34,28 @@ def poison_split(df: DataFrame, rule: Column | None = None, id_col: str = "order
     return df.withColumn("poison", F.coalesce(r, F.lit(False)))
 
 
-def retry_schedule(failures: DataFrame, policy: RetryPolicy, topic: str,
-                   id_col: str = "record_id", error_col: str = "error_class") -> DataFrame:
+def _attempts(policy: RetryPolicy, error_col: str, fails_col: str | None) -> tuple[Column, Column]:
+    """Deliveries of a failing record and whether the last one fails too.  ``fails_col`` tells how many fail
+    (null: all); a record whose error is fatal has no second one."""
+    fatal = F.coalesce(F.col(error_col).isin(*policy.fatal), F.lit(False)) if policy.fatal else F.lit(False)
+    most = F.when(fatal, F.lit(1)).otherwise(F.lit(policy.attempts))
+    if fails_col is None:
+        return most, F.lit(True)
+    fails = F.coalesce(F.col(fails_col), most)
+    return F.least(most, fails + 1), fails >= most
+
+
+def retry_schedule(failures: DataFrame, policy: RetryPolicy, topic: str, id_col: str = "record_id",
+                   error_col: str = "error_class", fails_col: str | None = None) -> DataFrame:
     """One row per delivery attempt of every failing record.
 
     ``delay_ms`` is the wait before the attempt, ``least(max, d0 * m^(k-2))``
     for attempt k >= 2; fatal error classes get only the first attempt.  The
     ``topic`` column names where the attempt reads from (retry topics for the
-    notification policy) - a writer partitions by it.
+    notification policy) - a writer partitions by it.  A record that recovers
+    (``fails_col``) ends with the attempt that succeeds.
     """
-    fatal = F.col(error_col).isin(*policy.fatal) if policy.fatal else F.lit(False)
-    n = F.when(fatal, F.lit(1)).otherwise(F.lit(policy.attempts))
+    n, _ = _attempts(policy, error_col, fails_col)
     x = failures.select(id_col, error_col, F.explode(F.sequence(F.lit(1), n)).alias("attempt"))
     k = F.col("attempt")
     delay = F.when(k == 1, F.lit(0)).otherwise(
@@ -58,10 +69,11 @@ def retry_schedule(failures: DataFrame, policy: RetryPolicy, topic: str,
     return x.select(id_col, error_col, "attempt", delay.alias("delay_ms"), src.alias("topic"))
 
 
-def dead_letters(failures: DataFrame, policy: RetryPolicy, topic: str,
-                 id_col: str = "record_id", error_col: str = "error_class") -> DataFrame:
-    """The dead-letter record of every failing record, with attempts made and total wait."""
-    s = retry_schedule(failures, policy, topic, id_col, error_col)
+def dead_letters(failures: DataFrame, policy: RetryPolicy, topic: str, id_col: str = "record_id",
+                 error_col: str = "error_class", fails_col: str | None = None) -> DataFrame:
+    """The dead-letter record of every record that fails to the end, with attempts made and total wait."""
+    _, lost = _attempts(policy, error_col, fails_col)
+    s = retry_schedule(failures.filter(lost) if fails_col else failures, policy, topic, id_col, error_col, fails_col)
     g = s.groupBy(id_col, error_col).agg(F.max("attempt").alias("attempts"),
                                          F.sum("delay_ms").alias("total_delay_ms"))
     return g.withColumn("dlt_topic", F.lit(topic + policy.dlt_suffix))

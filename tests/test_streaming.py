@@ -224,10 +224,9 @@ def test_placement_status_and_routing_sinks(spark, tmp_path):
     req = tb.bad_requests(spark, SF01).drop("seq")
     req.write.parquet(str(tmp_path / "req"))
     rs = spark.readStream.schema(req.schema).parquet(str(tmp_path / "req"))
-    jobs.place_orders_stream(rs, str(tmp_path / "orders"), str(tmp_path / "outbox"),
-                             str(tmp_path / "ck1")).awaitTermination(600)
-    n_orders = spark.read.parquet(str(tmp_path / "orders")).count()
-    n_outbox = spark.read.parquet(str(tmp_path / "outbox")).count()
+    jobs.place_orders_stream(rs, str(tmp_path / "placed"), str(tmp_path / "ck1")).awaitTermination(600)
+    n_orders = jobs.placed(spark, str(tmp_path / "placed"), "orders").count()
+    n_outbox = jobs.placed(spark, str(tmp_path / "placed"), "outbox").count()
     assert n_orders == n_outbox == 9200          # 4 of every 50 requests are invalid
 
     pdf = _orders_pdf(spark)
