@@ -4,12 +4,10 @@ and dead counts (A7, A8)."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ERROR_MAX_CHARS, from_base64
-from .ordered_fold import KeyFold
+from ..functions.text import ERROR_MAX_CHARS, cut, from_base64
 from .ranking import global_row_number
 
 # Fixed values of the relay.
@@ -17,7 +15,6 @@ BATCH_SIZE = 100
 MAX_RETRIES = 5
 DEAD_PAGE = 10
 DECODE_ERROR = "undecodable payload"
-_INH = "__inherit__"
 
 
 def decoded_order_id(payload: Column) -> Column:
@@ -70,130 +67,40 @@ def outbox_dead_scan(outbox: DataFrame, page: int = DEAD_PAGE) -> DataFrame:
     return d.orderBy("created_at", "id").limit(page)
 
 
-def _t4(st, base_retry, ok, err, ts_us):
-    processed, retry, last_err, dead, done_us = st if st is not None else (False, base_retry, None,
-                                                                           False, None)
-    if processed:
-        return (processed, retry, last_err, dead, done_us)
-    if ok:
-        return (True, retry, last_err, dead, ts_us)
-    retry += 1
-    last_err = None if err is None else err[:ERROR_MAX_CHARS]  # F8
-    if retry >= MAX_RETRIES:
-        return (True, retry, last_err, True, ts_us)
-    return (False, retry, last_err, False, done_us)
-
-
-class OutboxFold(KeyFold):
-    """T4 per event over its relay outcomes; the first row brings the stored retry count."""
-
-    result_ddl = "processed boolean, new_retry_count int, last_error string, dead boolean, processed_us bigint"
-    input_cols = ("retry_count", "ok", "error", "ts")
-
-    def init(self, key):
-        return None
-
-    _FIELDS = ("processed", "new_retry_count", "last_error", "dead", "processed_us")
-
-    def _run(self, st, seg, want_rows: bool = True):
-        """Python touches rows only until the event is processed; the rest is filled by slicing."""
-        ts = np.asarray(seg["ts"]).astype("datetime64[us]").astype(np.int64)
-        base, ok, err = seg["retry_count"], seg["ok"], seg["error"]
-        n = len(ts)
-        cols = [np.empty(n, dtype=object) for _ in self._FIELDS] if want_rows else None
-        i = 0
-        while i < n and not (st is not None and st[0]):
-            e = err[i] if isinstance(err[i], str) else None
-            st = _t4(st, int(base[i]), bool(ok[i]), e, int(ts[i]))
-            if want_rows:
-                for c, v in zip(cols, st):
-                    c[i] = v
-            i += 1
-        if want_rows and i < n:
-            for c, v in zip(cols, st):
-                c[i:] = v
-        return cols, st
-
-    def step(self, key, seg, state):
-        cols, st = self._run(state, seg)
-        out = dict(zip(self._FIELDS, cols))
-        out["processed"] = out["processed"].astype(bool)
-        out["dead"] = out["dead"].astype(bool)
-        return out, st
-
-    def step_many(self, keys, segs, arrs, entries):
-        """All events of a batch at once: one numpy step per outcome position
-        until every event is processed (a success, or 5 retries)."""
-        starts = np.array([a for a, _ in segs], dtype=np.int64)
-        lens = np.array([b - a for a, b in segs], dtype=np.int64)
-        n = int(lens.sum())
-        ts = np.asarray(arrs["ts"]).astype("datetime64[us]").astype(np.int64)
-        base = np.asarray(arrs["retry_count"], dtype=np.int64)
-        okc = np.asarray(arrs["ok"], dtype=bool)
-        errc = np.asarray(arrs["error"], dtype=object)
-        fresh = [x is None for x in entries]
-        proc = np.array([False if f else x[0] for f, x in zip(fresh, entries)], dtype=bool)
-        retry = np.array([base[a] if f else x[1] for f, x, a in zip(fresh, entries, starts)], dtype=np.int64)
-        err = np.array([None if f else x[2] for f, x in zip(fresh, entries)], dtype=object)
-        dead = np.array([False if f else x[3] for f, x in zip(fresh, entries)], dtype=bool)
-        done_us = np.array([None if f else x[4] for f, x in zip(fresh, entries)], dtype=object)
-        out = {f: np.empty(n, dtype=object) for f in self._FIELDS}
-        used = np.zeros(len(segs), dtype=np.int64)
-        j = 0
-        while True:
-            live = np.flatnonzero((lens > j) & ~proc)
-            if len(live) == 0:
-                break
-            rows = starts[live] + j
-            good = okc[rows]
-            i = live[good]
-            proc[i], done_us[i] = True, ts[rows[good]]
-            i, r = live[~good], rows[~good]
-            retry[i] += 1
-            err[i] = [x[:ERROR_MAX_CHARS] if isinstance(x, str) else None for x in errc[r]]  # F8
-            gone = retry[i] >= MAX_RETRIES
-            proc[i[gone]], dead[i[gone]], done_us[i[gone]] = True, True, ts[r[gone]]
-            for f, arr in zip(self._FIELDS, (proc, retry, err, dead, done_us)):
-                out[f][rows] = arr[live]
-            used[live] += 1
-            j += 1
-        seg_of = np.repeat(np.arange(len(segs)), lens)
-        rest = (np.arange(n) - np.repeat(starts, lens)) >= used[seg_of]
-        if rest.any():
-            for f, arr in zip(self._FIELDS, (proc, retry, err, dead, done_us)):
-                out[f][rest] = arr[seg_of[rest]]
-        out["processed"] = out["processed"].astype(bool)
-        out["dead"] = out["dead"].astype(bool)
-        out["new_retry_count"] = np.array([int(v) for v in out["new_retry_count"]], dtype=object)
-        out["processed_us"] = np.array([None if v is None else int(v) for v in out["processed_us"]], dtype=object)
-        exits = [(bool(proc[k]), int(retry[k]), err[k], bool(dead[k]),
-                  None if done_us[k] is None else int(done_us[k])) for k in range(len(segs))]
-        return out, exits
-
-    # Entry classes: fresh (None) and unprocessed with retry 0..3 or >= 4; the
-    # exit keeps the retry count relative to the entry (delta) for classes.
-    def tf_identity(self):
-        tf = {"fresh": None}
-        tf.update({c: (False, c, _INH, False, None) for c in range(MAX_RETRIES)})
-        return tf
-
-    def tf_step(self, tf, seg):
-        out = {}
-        for c, st in tf.items():
-            out[c] = self._run(st, seg, want_rows=False)[1]
-        return out
-
-    def tf_apply(self, tf, state):
-        if state is None:
-            return tf["fresh"]
-        if state[0]:
-            return state
-        c = min(state[1], MAX_RETRIES - 1)
-        ex = tf[c]
-        return (ex[0], state[1] + (ex[1] - c), state[2] if ex[2] == _INH else ex[2], ex[3], ex[4])
-
-    def tf_compose(self, first, second):
-        return {c: self.tf_apply(second, ex) for c, ex in first.items()}
+def relay_status(outbox: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """T4: every outbox row after the given relay ``outcomes`` (event_id, outcome_id, at, ok, error).
+
+    An outcome counts while its row is unprocessed.  A success processes the row; a failure adds a retry and keeps
+    the error, cut to 500 characters (F8); at 5 retries the row is processed and dead.  A payload that does
+    not decode (S6) fails whatever the broker says.
+
+    Not more than ``MAX_RETRIES`` outcomes of a row can count, as each one processes it or adds a retry, so the first
+    ones by (at, outcome_id) are taken by rank, which is cut in the task before the shuffle, and folded as an array
+    in the JVM.  No key is ever collected beyond that.
+    """
+    first = Window.partitionBy("event_id").orderBy("at", "outcome_id")
+    few = outcomes.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= MAX_RETRIES)
+    step = F.struct("_k", "at", "ok", "error")
+    runs = few.groupBy("event_id").agg(F.array_sort(F.collect_list(step)).alias("_run"))
+    rows = outbox.withColumn("_decodes", decoded_order_id(F.col("payload")).isNotNull())
+    rows = rows.join(runs, rows["id"] == runs["event_id"], "left")
+
+    start = F.struct(F.col("processed_at").isNotNull().alias("processed"), F.col("retry_count").cast("int").alias("retry_count"),
+                     F.lit(None).cast("string").alias("last_error"), F.lit(False).alias("dead"),
+                     F.col("processed_at").alias("processed_at"), F.lit(0).alias("used"))
+
+    def fold(st: Column, x: Column) -> Column:
+        good = F.coalesce(x["ok"], F.lit(False)) & F.col("_decodes")
+        error = F.when(F.col("_decodes"), cut(x["error"])).otherwise(F.lit(DECODE_ERROR))
+        retry = st["retry_count"] + F.when(good, 0).otherwise(1)
+        dead = ~good & (retry >= MAX_RETRIES)
+        then = F.struct((good | dead).alias("processed"), retry.cast("int").alias("retry_count"),
+                        F.when(good, st["last_error"]).otherwise(error).alias("last_error"), dead.alias("dead"),
+                        F.when(good | dead, x["at"]).alias("processed_at"), (st["used"] + 1).alias("used"))
+        return F.when(st["processed"], st).otherwise(then)
+
+    none = F.array().cast("array<struct<_k:int,at:timestamp,ok:boolean,error:string>>")
+    return rows.select("id", F.aggregate(F.coalesce("_run", none), start, fold).alias("s")).select("id", "s.*")
 
 
 def outbox_status(outbox: DataFrame) -> DataFrame:
@@ -201,7 +108,7 @@ def outbox_status(outbox: DataFrame) -> DataFrame:
 
     Rows already processed are unchanged.  A payload that decodes (S6) is processed in its first cycle;
     any other fails each cycle, one second apart, until it has 5 retries, and is then processed and
-    dead, its error cut to 500 characters.  ``OutboxFold`` is the fold over given outcomes.
+    dead, its error cut to 500 characters.  ``relay_status`` takes given outcomes instead.
     """
     done = F.col("processed_at").isNotNull()
     failed = ~done & decoded_order_id(F.col("payload")).isNull()

@@ -35,3 +35,22 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "row_number",
     return (parted.join(F.broadcast(offsets), "_pid")
                   .withColumn(name, F.col("_off") + local + 1)
                   .drop("_mid", "_pid", "_off"))
+
+
+def global_running_max(df: DataFrame, order: list[str], value: str, name: str = "running_max",
+                       num_partitions: int | None = None) -> DataFrame:
+    """``df`` with the greatest ``value`` up to and including each row in ``order`` (unique per row).
+
+    Rows are cut into ranges; a range runs its own maximum and takes the greatest value of all
+    ranges before it from a table with a row for each range."""
+    ensure_checkpoint_dir(df.sparkSession)
+    n = num_partitions or range_partitions(df)
+    parted = (df.repartitionByRange(n, *order).withColumn("_pid", F.spark_partition_id())
+                .checkpoint(eager=True))
+    tops = parted.groupBy("_pid").agg(F.max(value).alias("_top"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("_pid", F.max("_top").over(before).alias("_carried"))
+    own = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parted.withColumn("_own", F.max(value).over(own))
+    return (rows.join(F.broadcast(carried), "_pid")
+                .withColumn(name, F.greatest("_own", "_carried")).drop("_pid", "_own", "_carried"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import deterministic_id
+from .ranking import global_running_max
 from .reserve import RESERVED, reservations, stock_reservation
 
 # Fixed values of the payment rule: amounts strictly above this are declined.
@@ -74,6 +75,44 @@ def order_completion(payments: DataFrame, reserved: DataFrame,
     )
 
 
+PAYMENT_FACT, RESERVED_FACT = "payment", "reservation"
+FACT_ORDER = ["arrived_at", "side", "order_id"]
+
+
+def arriving_facts(payments: DataFrame, reserved: DataFrame) -> DataFrame:
+    """Both topics as one stream of facts (``arrived_at`` on either side), in arrival order with their own time."""
+    p = payments.select("order_id", F.lit(PAYMENT_FACT).alias("side"), F.col("processed_at").alias("at"), "arrived_at",
+                        "status", "correlation_id", "tenant_id")
+    r = reserved.select("order_id", F.lit(RESERVED_FACT).alias("side"), F.col("reserved_at").alias("at"), "arrived_at",
+                        "status", "correlation_id", "tenant_id")
+    return p.unionByName(r)
+
+
+def on_time(facts: DataFrame, stream_time: Column | None = None, window: str = JOIN_WINDOW,
+            num_partitions: int | None = None) -> DataFrame:
+    """J1 without grace: the facts that may complete an order, with the stream time at their arrival.
+
+    Stream time is the greatest event time that has arrived so far, on either side, and at least ``stream_time``.
+    A fact older than stream time by more than the window is late and completes nothing."""
+    seen = global_running_max(facts, FACT_ORDER, "at", "stream_time", num_partitions)
+    if stream_time is not None:
+        seen = seen.withColumn("stream_time", F.greatest("stream_time", stream_time))
+    return seen.filter(F.col("at") >= F.col("stream_time") - F.expr(f"INTERVAL {window}"))
+
+
+def complete_facts(facts: DataFrame, window: str = JOIN_WINDOW) -> DataFrame:
+    """The completions of facts that are all on time."""
+    p = facts.filter(F.col("side") == PAYMENT_FACT).withColumnRenamed("at", "processed_at")
+    r = facts.filter(F.col("side") == RESERVED_FACT).withColumnRenamed("at", "reserved_at")
+    return order_completion(p, r, window)
+
+
+def completion_no_grace(payments: DataFrame, reserved: DataFrame, window: str = JOIN_WINDOW,
+                        num_partitions: int | None = None) -> DataFrame:
+    """J1 as the facts arrive: late ones complete nothing."""
+    return complete_facts(on_time(arriving_facts(payments, reserved), None, window, num_partitions), window)
+
+
 def saga(orders: DataFrame, initial_stock: int = 100, num_partitions: int | None = None) -> DataFrame:
     """Whole saga on one order table: P1 -> T1 -> J1, the interval join included."""
     reserved = reservations(orders, initial_stock=initial_stock, num_partitions=num_partitions)

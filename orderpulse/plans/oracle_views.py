@@ -82,6 +82,12 @@ VIEWS: dict[str, str] = {
                || '","productId":"' || product_id || '","quantity":' || CAST(quantity AS VARCHAR)
                || ',"amount":"' || CAST(amount AS VARCHAR) || '","currency":"' || currency
                || '","tenantId":"' || tenant_id || '"}' AS js FROM v_orders)""",
+    "v_relay_outcomes": """
+  SELECT 'ob-' || CAST(event_id % (SELECT count(*) // 6 FROM events) AS VARCHAR) AS event_id, event_id AS outcome_id,
+         CAST(ts AS TIMESTAMP) AS "at", event_type = 'purchase' AS ok,
+         CASE event_type WHEN 'click' THEN 'broker timeout'
+              WHEN 'error' THEN 'leader not available: ' || repeat('x', 600) END AS error
+  FROM events""",
     "v_latency": """
   SELECT event_id AS request_id, CAST(ts AS TIMESTAMP) AS ts, "value" / 100 AS seconds FROM events""",
     "v_logs": """

@@ -145,6 +145,21 @@ def q_order_completion(spark, d):
     return sg.order_completion(sg.payment_decision(o), late)
 
 
+# Reservations arrive up to 14 minutes after their own time (ours); what is late by then completes nothing.
+@register("order_completion_no_grace", W("WITH RECURSIVE " + COMPLETION_SQL + f""",
+facts AS (
+  SELECT order_id, 'payment' AS side, placed_at AS "at", placed_at AS arrived_at FROM v_orders
+  UNION ALL SELECT order_id, 'reservation', placed_at, placed_at + to_minutes(seq % 8 * 2) FROM v_orders),
+seen AS (SELECT *, max("at") OVER (ORDER BY arrived_at, side, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS stream_time FROM facts),
+timely AS (SELECT order_id, side FROM seen WHERE "at" >= stream_time - INTERVAL 5 MINUTE)
+SELECT {_COMP_COLS} FROM comp WHERE (SELECT count(*) FROM timely t WHERE t.order_id = comp.order_id) = 2""", "v_orders"), "J1")
+def q_order_completion_no_grace(spark, d):
+    o = tb.orders_stream(spark, d, keep_seq=True)
+    wait = F.make_dt_interval(mins=(F.col("order_id").cast("bigint") % 8 * 2).cast("int"))
+    late = sg.reservations(o).withColumn("arrived_at", F.col("reserved_at") + wait)
+    return sg.completion_no_grace(sg.payment_decision(o).withColumn("arrived_at", F.col("processed_at")), late)
+
+
 @register("saga_summary", W("WITH RECURSIVE " + COMPLETION_SQL + """
 SELECT status, reason, count(*) AS n_orders FROM comp GROUP BY status, reason""", "v_orders"),
           "P1, T1, J1")
@@ -877,6 +892,42 @@ def q_outbox_dead_count(spark, d):
     return obx.outbox_dead_count(obx.outbox_status(tb.outbox(spark, d)))
 
 
+_RELAY_SQL = _DECODED_SQL + """,
+out AS (
+  SELECT x.*, x.ok AND d.order_id IS NOT NULL AS good,
+         CASE WHEN d.order_id IS NULL THEN 'undecodable payload' ELSE substr(x.error, 1, 500) END AS kept,
+         row_number() OVER (PARTITION BY event_id ORDER BY "at", outcome_id) AS k
+  FROM v_relay_outcomes x JOIN dec d ON d.id = x.event_id),
+ends AS (   -- per row: the attempt that succeeds, and the failure that is one too many
+  SELECT o.id, o.retry_count, o.processed_at, min(k) FILTER (good) AS success, greatest(1, 5 - o.retry_count) AS limit_k,
+         count(k) AS attempts
+  FROM v_outbox o LEFT JOIN out ON out.event_id = o.id GROUP BY o.id, o.retry_count, o.processed_at),
+used AS (
+  SELECT *, CASE WHEN processed_at IS NOT NULL THEN 0
+                 ELSE least(attempts, limit_k, coalesce(success, attempts)) END AS used FROM ends),
+relayed AS (
+  SELECT u.id, u.processed_at IS NOT NULL OR (u.used > 0 AND (u.used = u.success OR u.used = u.limit_k)) AS processed,
+         CAST(u.retry_count + u.used - CASE WHEN u.used > 0 AND u.used = u.success THEN 1 ELSE 0 END AS BIGINT) AS retry_count,
+         last.kept AS last_error,
+         u.used > 0 AND u.used = u.limit_k AND u.used IS DISTINCT FROM u.success AS dead,
+         epoch_us(coalesce(u.processed_at, CASE WHEN u.used = u.success OR u.used = u.limit_k THEN fin."at" END)) AS processed_at,
+         CAST(u.used AS BIGINT) AS used
+  FROM used u LEFT JOIN out fin ON fin.event_id = u.id AND fin.k = u.used
+  LEFT JOIN out last ON last.event_id = u.id AND NOT last.good
+       AND last.k = u.used - CASE WHEN u.used = u.success THEN 1 ELSE 0 END)"""
+
+
+@register("relay_status", W("WITH " + _RELAY_SQL + "\nSELECT * FROM relayed", "v_outbox", "v_relay_outcomes"), "T4, F8")
+def q_relay_status(spark, d):
+    return obx.relay_status(tb.outbox(spark, d), tb.relay_outcomes(spark, d))
+
+
+@register("relay_dead_count", W("WITH " + _RELAY_SQL + "\nSELECT count(*) FILTER (WHERE dead) AS dead_letters FROM relayed",
+                                "v_outbox", "v_relay_outcomes"), "A8")
+def q_relay_dead_count(spark, d):
+    return obx.outbox_dead_count(obx.relay_status(tb.outbox(spark, d), tb.relay_outcomes(spark, d)))
+
+
 # --------------------------------------------------------------------------
 # Webhooks: U1, P20, F4, F5, F3, J5, F1; usage of all counters A2, A3, A5
 # --------------------------------------------------------------------------

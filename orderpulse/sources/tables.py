@@ -229,6 +229,21 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relay_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``v_relay_outcomes`` (ours): what the broker said to attempts on outbox rows, six events a row."""
+    ev = read_table(spark, sf_dir, "events")
+    rows = ev.select(F.floor(F.count(F.lit(1)) / 6).cast("bigint")).scalar()
+    et = F.col("event_type")
+    return ev.select(
+        F.concat(F.lit("ob-"), (F.col("event_id") % rows).cast("string")).alias("event_id"),
+        F.col("event_id").alias("outcome_id"),
+        F.col("ts").cast("timestamp").alias("at"),
+        (et == "purchase").alias("ok"),
+        F.when(et == "click", F.lit("broker timeout"))
+         .when(et == "error", F.concat(F.lit("leader not available: "), F.repeat(F.lit("x"), 600))).alias("error"),
+    )
+
+
 # The default latency histogram bucket bounds (seconds).
 LATENCY_BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 

@@ -75,17 +75,3 @@ def test_reserve_scan_invariants(q, stock):
         ok = s >= v
         assert ok == taken[i]
         s -= v if ok else 0
-
-
-@SETTINGS
-@given(st.lists(st.tuples(st.integers(0, 3), st.booleans(), st.integers(0, 6)), min_size=1, max_size=200),
-       st.integers(2, 16))
-def test_outbox_fold_matches_brute_force(spark, rows, parts):
-    from orderpulse.operators.outbox import OutboxFold
-    ts = pd.date_range("2024-01-01", periods=len(rows), freq="s")
-    # the stored retry count is a property of the event: take it from the key
-    pdf = pd.DataFrame({"id": [f"e{k}" for k, _, _ in rows], "seq": np.arange(len(rows)), "ts": ts,
-                        "retry_count": [k + 2 for k, _, _ in rows], "ok": [b for _, b, _ in rows],
-                        "error": [None if b else "x" * (500 + r) for _, b, r in rows]})
-    _check(spark, pdf, "id string, seq long, ts timestamp, retry_count int, ok boolean, error string", "id",
-           ["seq"], OutboxFold(), parts, ["processed", "new_retry_count", "last_error", "dead", "processed_us"])

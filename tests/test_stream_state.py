@@ -148,3 +148,85 @@ def test_retry_stream_equals_batch_after_a_restart(spark, tmp_path, policy):
     assert got.where("error_class is null").count() == sum(r[1] is None for r in rows)
     recovered = {r[0] for r in rows if r[1] and r[2] is not None and r[2] < (1 if r[1] in policy.fatal else policy.attempts)}
     assert {r.record_id for r in got.where("outcome = 'ok' and error_class is not null").collect()} == recovered
+
+
+def late_facts(spark, count, seed):
+    """Facts of ``count`` orders a minute apart, reservations up to 14 minutes late and some repeated."""
+    import random
+
+    from orderpulse.operators import saga as sg
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(count):
+        at = T0 + dt.timedelta(minutes=k)
+        rows.append((f"o{k:03d}", sg.PAYMENT_FACT, at, at, "APPROVED" if k % 4 else "DECLINED", f"c{k}", "t"))
+        for _ in range(1 + (k % 9 == 0)):
+            arrives = at + dt.timedelta(minutes=rnd.randrange(15), seconds=rnd.randrange(60))
+            rows.append((f"o{k:03d}", sg.RESERVED_FACT, at + dt.timedelta(minutes=rnd.randrange(-6, 7)), arrives, "RESERVED", f"c{k}", "t"))
+    schema = "order_id string, side string, at timestamp, arrived_at timestamp, status string, correlation_id string, tenant_id string"
+    return spark.createDataFrame(rows, schema)
+
+
+def plain_completions(rows):
+    """What completes, fact by fact as they arrive."""
+    window, now, seen, out = dt.timedelta(minutes=5), None, [], []
+    for r in sorted(rows, key=lambda r: (r.arrived_at, r.side, r.order_id)):
+        now = r.at if now is None else max(now, r.at)
+        if r.at < now - window:
+            continue
+        out += [(r.order_id, max(r.at, o.at)) for o in seen if o.order_id == r.order_id and o.side != r.side and abs(o.at - r.at) <= window]
+        seen.append(r)
+    return sorted(out)
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_late_facts_complete_nothing_in_any_split(spark, tmp_path, parts):
+    from orderpulse.operators import saga as sg
+    from orderpulse.streaming import no_grace
+    facts = late_facts(spark, 60, 4)
+    src, root = str(tmp_path / "src"), str(tmp_path / "root")
+    files(facts, src, sg.FACT_ORDER, parts)
+    no_grace.completion_no_grace_stream(stream(spark, facts, src), root, str(tmp_path / "ck"), num_partitions=3).awaitTermination(600)
+    got = committed.CommittedTables(spark, root).read("completions")
+    want = plain_completions(facts.collect())
+    assert sorted((r.order_id, r.completed_at) for r in got.collect()) == want
+    assert 0 < len({w[0] for w in want}) < 60
+    batch = sg.complete_facts(sg.on_time(facts, num_partitions=4))
+    assert sorted((r.order_id, r.completed_at) for r in batch.collect()) == want
+
+
+def plain_relay(row, outcomes):
+    """The relay's loop over one row."""
+    processed, retry, error, dead, at, used = row.processed_at is not None, row.retry_count, None, False, row.processed_at, 0
+    for o in sorted(outcomes, key=lambda o: (o.at, o.outcome_id)):
+        if processed:
+            break
+        used += 1
+        if o.ok and row.good:
+            processed, at = True, o.at
+            continue
+        retry += 1
+        error = (o.error[:500] if o.error is not None else None) if row.good else "undecodable payload"
+        if retry >= 5:
+            processed, dead, at = True, True, o.at
+    return (row.id, processed, retry, error, dead, at, used)
+
+
+def test_relay_over_given_outcomes(spark):
+    """Long errors, errors without text, the fifth retry, outcomes after the end, a hot row and rows without outcomes."""
+    from orderpulse.functions.text import to_base64
+    from orderpulse.operators import outbox as obx
+    good, bad = '{"orderId":"1"}', "{broken"
+    rows = [(f"e{k}", good if k % 4 else bad, k % 7, None if k % 5 else T0) for k in range(40)]
+    outbox = spark.createDataFrame(rows, "id string, body string, retry_count int, processed_at timestamp").withColumn("payload", to_base64(F.col("body")))
+    outcomes = [(f"e{k % 30}", k, T0 + dt.timedelta(seconds=(k * 37) % 200), k % 6 == 5, ["x" * 700, None, "short"][k % 3]) for k in range(150)]
+    outcomes += [("e31", 1000 + k, T0 + dt.timedelta(seconds=k // 2), False, "e" * (498 + k % 5)) for k in range(400)]
+    out = spark.createDataFrame(outcomes, "event_id string, outcome_id long, at timestamp, ok boolean, error string").repartition(4)
+    got = obx.relay_status(outbox, out)
+    by_id = {}
+    for o in out.collect():
+        by_id.setdefault(o.event_id, []).append(o)
+    want = [plain_relay(r, by_id.get(r.id, [])) for r in outbox.withColumn("good", F.col("body") == good).collect()]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert got.agg(F.max(F.length("last_error"))).first()[0] == 500
+    assert obx.outbox_dead_count(got).first().dead_letters == sum(w[4] for w in want) > 0
