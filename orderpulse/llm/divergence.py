@@ -23,12 +23,12 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from ..session import ship_package
 from .common import lookup, map_rows, saved, written
@@ -39,15 +39,13 @@ SCALE, PRIOR = 1_000_000_000, 5
 DIGEST_BITS = 64
 SOURCES_PER_BLOCK, TERMS_PER_SLICE = 128, 128
 #: Bytes of terms that a task counts before it writes them out, and of a text that is split at once.
-COUNTED_BYTES, CHUNK = 128 << 20, 4 << 20
-#: (document, term) pairs that are summed at once.
-PAIRS_AT_ONCE = 1_000_000
+COUNTED_BYTES, CHUNK = 192 << 20, 4 << 20
 #: Digests (one number each) that may be broadcast; more are joined by a shuffle.
 MAX_BROADCAST_DIGESTS = 1_000_000
 
 #: Letters and all bytes above ASCII make terms; A-Z are lowered and any other byte separates.
 _TO_TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_ENTRY_BYTES = 150
+_ENTRY_BYTES = 200
 
 
 def terms_of(text: str | None) -> Counter[bytes]:
@@ -64,68 +62,10 @@ def terms_of(text: str | None) -> Counter[bytes]:
     return out
 
 
-class _Counts:
-    """Occurrences and documents by (group, term) of a task's texts, as numbers; terms are kept once."""
-
-    def __init__(self, bits: int):
-        self.bits = bits
-        self.clear()
-
-    def clear(self) -> None:
-        self.vocabulary: dict[bytes, int] = {}
-        self.term_bytes = 0
-        self.groups: dict[tuple[int, int], int] = {}
-        self.ids: list[int] = []
-        self.ns: list[int] = []
-        self.spans: list[tuple[int, int]] = []        # (group, terms) of each document since the last sum
-        self.sums = tuple(np.zeros(0, np.int64) for _ in range(3))   # key, occurrences, documents
-
-    def add(self, lang: int, group: int, text: str | None) -> None:
-        terms, vocabulary = terms_of(text), self.vocabulary
-        for t in terms.keys() - vocabulary.keys():
-            vocabulary[t] = len(vocabulary)
-            self.term_bytes += len(t) + _ENTRY_BYTES
-        self.ids += map(vocabulary.__getitem__, terms)
-        self.ns += terms.values()
-        self.spans.append((self.groups.setdefault((lang, group), len(self.groups)), len(terms)))
-        if len(self.ids) > PAIRS_AT_ONCE:
-            self.sum()
-
-    def sum(self) -> None:
-        group = np.repeat(*(np.array([s[k] for s in self.spans], np.int64) for k in (0, 1)))
-        key = np.concatenate([self.sums[0], (group << 32) | np.array(self.ids, np.int64)])
-        n = np.concatenate([self.sums[1], np.array(self.ns, np.int64)])
-        docs = np.concatenate([self.sums[2], np.ones(len(self.ids), np.int64)])
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[:len(key)])
-        self.sums = (key[first], *(np.add.reduceat(x[order], first) if len(first) else x for x in (n, docs)))
-        self.ids, self.ns, self.spans = [], [], []
-
-    def held(self) -> int:
-        return self.term_bytes + 24 * len(self.sums[0])
-
-    def rows(self) -> Iterator[list[pa.Array]]:
-        """l, g, d, n, docs, term of each sum."""
-        self.sum()
-        terms = list(self.vocabulary)
-        strings = pa.array([t.decode("utf-8", "surrogatepass") for t in terms], pa.string())
-        langs, groups = (np.array([g[k] for g in self.groups], np.int64) for k in (0, 1))
-        digests: dict[int, np.ndarray] = {}
-        for at in range(0, len(self.sums[0]), 50_000):
-            key, n, docs = (x[at:at + 50_000] for x in self.sums)
-            of, term = key >> 32, key & 0xFFFFFFFF
-            d = np.empty(len(key), np.int64)
-            for lang in np.unique(langs[of]).tolist():
-                if lang not in digests:
-                    digests[lang] = np.array([self.digest(lang, t) for t in terms], np.int64)
-                here = langs[of] == lang
-                d[here] = digests[lang][term[here]]
-            yield [*(pa.array(x) for x in (langs[of], groups[of], d, n, docs)), strings.take(pa.array(term))]
-        self.clear()
-
-    def digest(self, lang: int, term: bytes) -> int:
-        return int.from_bytes(blake2b(term, digest_size=8, salt=lang.to_bytes(8, "big", signed=True)).digest(), "big", signed=True) >> (64 - self.bits)
+def digest(lang: int, term: bytes, bits: int = DIGEST_BITS) -> int:
+    """The term's signed digest in its language."""
+    d = xxh3_64_intdigest(term, lang & 0xFFFFFFFFFFFFFFFF)
+    return (d - (1 << 64) if d >> 63 else d) >> (64 - bits)
 
 
 def counted(docs: DataFrame, bits: int = DIGEST_BITS) -> DataFrame:
@@ -133,14 +73,32 @@ def counted(docs: DataFrame, bits: int = DIGEST_BITS) -> DataFrame:
     names = ["l", "g", "d", "n", "docs", "term"]
     ship_package(docs.sparkSession)
 
+    def rows(table: dict[tuple[int, int], dict[bytes, list[int]]]) -> Iterator[pa.RecordBatch]:
+        for (lang, group), terms in table.items():
+            every, counts = list(terms), list(terms.values())
+            for at in range(0, len(every), 50_000):
+                part = every[at:at + 50_000]
+                n = np.array(counts[at:at + 50_000], np.int64)
+                cols = [np.full(len(part), lang), np.full(len(part), group), np.array([digest(lang, t, bits) for t in part], np.int64), n[:, 0], n[:, 1]]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(part, pa.binary()).cast(pa.string())], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = _Counts(bits)
+        table: dict[tuple[int, int], dict[bytes, list[int]]] = {}
+        held = 0
         for batch in batches:
             for lang, group, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                counts.add(lang, group, text.as_py())
-                if counts.held() > COUNTED_BYTES:
-                    yield from (pa.RecordBatch.from_arrays(x, names=names) for x in counts.rows())
-        yield from (pa.RecordBatch.from_arrays(x, names=names) for x in counts.rows())
+                seen = table.setdefault((lang, group), {})
+                for term, n in terms_of(text.as_py()).items():
+                    if (entry := seen.get(term)) is None:
+                        seen[term] = [n, 1]
+                        held += len(term) + _ENTRY_BYTES
+                    else:
+                        entry[0] += n
+                        entry[1] += 1
+                if held > COUNTED_BYTES:
+                    yield from rows(table)
+                    table, held = {}, 0
+        yield from rows(table)
 
     return docs.select("l", "g", "text").mapInArrow(run, "l long, g long, d long, n long, docs long, term string")
 
