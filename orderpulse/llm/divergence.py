@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
@@ -37,7 +38,7 @@ LEAST_DOCUMENTS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
 DIGEST_BITS = 64
-SOURCES_PER_BLOCK, TERMS_PER_SLICE = 128, 128
+SOURCES_PER_BLOCK, TERMS_PER_SLICE = 128, 512
 #: Bytes of terms that a task counts before it writes them out, and of a text that is split at once.
 COUNTED_BYTES, CHUNK = 192 << 20, 4 << 20
 #: Digests (one number each) that may be broadcast; more are joined by a shuffle.
@@ -149,8 +150,17 @@ def kept_counts(parts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, Dat
     return kept, of_lang, strings
 
 
+def _numbered(d: np.ndarray, part: pa.Array) -> tuple[np.ndarray, int]:
+    """A number for each entry's term, from 0, and how many there are."""
+    if not pc.any(pc.not_equal(part, "")).as_py():   # no digest with several terms
+        of, row = np.unique(d, return_inverse=True)
+        return row, len(of)
+    ids: dict[tuple, int] = {}
+    return np.array([ids.setdefault(t, len(ids)) for t in zip(d.tolist(), part.to_pylist())]), len(ids)
+
+
 def _pair_sums(entries: DataFrame, groups: DataFrame, langs: DataFrame) -> DataFrame:
-    """(l, g, other, extra), g's place being before other's: the sum of abs(p - q) - abs(p0 - q0) over the terms
+    """(g, other, extra), g's place being before other's: the sum of abs(p - q) - abs(p0 - q0) over the terms
     that either has, where p0 and q0 are the frequencies of a term that a source does not have."""
     block = F.floor(F.col("place") / SOURCES_PER_BLOCK).cast("int")
     groups = groups.withColumn("block", block)
@@ -165,30 +175,31 @@ def _pair_sums(entries: DataFrame, groups: DataFrame, langs: DataFrame) -> DataF
     squares = e.groupBy("l", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "piece").agg(F.collect_list(item).alias("items"))
     for side in ("a", "b"):
         squares = squares.join(lists.select("l", F.col("block").alias(side), F.col("of").alias(f"of_{side}")), ["l", side])
+    columns = [F.col(c) for c in ("items.second", "items.d", "items.part", "items.at", "items.p", "of_a.g", "of_a.p0", "of_b.g", "of_b.p0")]
+    squares = squares.select("a", "b", *(c.alias(f"c{k}") for k, c in enumerate(columns)))
 
     def make():
         def f(x: pa.RecordBatch) -> dict:
-            out: dict[str, list] = {"l": [], "g": [], "other": [], "extra": []}
-            for lang, a, b, items, of_a, of_b in zip(*(x.column(k).to_pylist() for k in range(6))):
-                ids: dict[tuple, int] = {}
-                row = np.array([ids.setdefault((i["d"], i["part"]), len(ids)) for i in items])
-                second, at, p = (np.array([i[c] for i in items]) for c in ("second", "at", "p"))
-                base_a, base_b = (np.array([i["p0"] for i in of], np.int64) for of in (of_a, of_b))
-                first, other = np.tile(base_a, (len(ids), 1)), np.tile(base_b, (len(ids), 1))
+            out: dict[str, list] = {"g": [], "other": [], "extra": []}
+            lists = [(c.offsets.to_numpy(), c.values) for c in x.columns[2:]]
+            for r, (a, b) in enumerate(zip(x.column(0).to_pylist(), x.column(1).to_pylist())):
+                second, d, part, at, p, of_a, base_a, of_b, base_b = (v[o[r]:o[r + 1]] for o, v in lists)
+                second, d, at, p, of_a, base_a, of_b, base_b = (v.to_numpy(zero_copy_only=False) for v in (second, d, at, p, of_a, base_a, of_b, base_b))
+                row, terms = _numbered(d, part)
+                first, other = np.tile(base_a, (terms, 1)), np.tile(base_b, (terms, 1))
                 first[row[~second], at[~second]] = p[~second]
                 mine = second if a != b else ~second
                 other[row[mine], at[mine]] = p[mine]
-                for i, one in enumerate(of_a):
-                    sums = np.abs(first[:, i:i + 1] - other).sum(0) - len(ids) * np.abs(base_a[i] - base_b)
+                for i, g in enumerate(of_a):
                     start = i + 1 if a == b else 0
-                    out["extra"] += sums[start:].tolist()
-                    out["other"] += [z["g"] for z in of_b[start:]]
-                    out["g"] += [one["g"]] * (len(of_b) - start)
-                    out["l"] += [lang] * (len(of_b) - start)
+                    sums = np.abs(first[:, i:i + 1] - other[:, start:]).sum(0) - terms * np.abs(base_a[i] - base_b[start:])
+                    out["extra"] += sums.tolist()
+                    out["other"] += of_b[start:].tolist()
+                    out["g"] += [g] * len(sums)
             return out
         return f
 
-    sums = map_rows(squares.select("l", "a", "b", "items", "of_a", "of_b"), make, "l long, g long, other long, extra long", 8)
+    sums = map_rows(squares, make, "g long, other long, extra long", 64)
     return sums.groupBy("g", "other").agg(F.sum("extra").alias("extra"))
 
 
