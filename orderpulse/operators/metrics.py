@@ -4,12 +4,11 @@ log lines (F11)."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trace_id
-from .ordered_fold import KeyFold, ordered_fold
+from .slices import ROWS_PER_SLICE, with_slices
 
 
 def orders_per_minute(orders: DataFrame, ts_col: str = "placed_at") -> DataFrame:
@@ -60,53 +59,6 @@ def latency_p99(latency: DataFrame, q: float = 0.99, ts_col: str = "ts", value_c
     return g.select(F.col("w.start").alias("window_start"), "total", F.round("p99_seconds", 9).alias("p99_seconds"))
 
 
-class RollingFold(KeyFold):
-    """Sum and count of a 0/1 flag over the last ``size`` rows per key.
-
-    State: the flags of the last ``size - 1`` rows.  The transfer function of a
-    slice is its own tail (and length): with ``size - 1`` rows or more the exit
-    state does not depend on the entry.
-    """
-
-    result_ddl = "calls int, failures int"
-
-    def __init__(self, flag_col: str, size: int):
-        self.flag_col = flag_col
-        self.size = int(size)
-        self.input_cols = (flag_col,)
-
-    def init(self, key):
-        return np.zeros(0, dtype=np.int64)
-
-    def step(self, key, seg, state):
-        f = np.asarray(seg[self.flag_col], dtype=np.int64)
-        prev = np.asarray(state, dtype=np.int64)
-        ext = np.concatenate((prev, f))
-        cs = np.concatenate(([0], np.cumsum(ext)))
-        pos = np.arange(len(prev), len(ext))
-        lo = np.maximum(0, pos - (self.size - 1))
-        calls = pos + 1 - lo
-        fails = cs[pos + 1] - cs[lo]
-        return {"calls": calls.astype(np.int32), "failures": fails.astype(np.int32)}, ext[-(self.size - 1):]
-
-    def tf_identity(self):
-        return (np.zeros(0, dtype=np.int64), 0)
-
-    def tf_step(self, tf, seg):
-        tail, n = tf
-        f = np.asarray(seg[self.flag_col], dtype=np.int64)
-        return (np.concatenate((tail, f))[-(self.size - 1):], n + len(f))
-
-    def tf_apply(self, tf, state):
-        tail, n = tf
-        if n >= self.size - 1:
-            return tail
-        return np.concatenate((np.asarray(state, dtype=np.int64), tail))[-(self.size - 1):]
-
-    def tf_compose(self, first, second):
-        return (self.tf_apply(second, first[0]), first[1] + second[1])
-
-
 # Fixed values of the circuit-breaker setting: 20 calls, 50 % failures.
 WINDOW_CALLS = 20
 FAILURE_THRESHOLD = 0.5
@@ -114,20 +66,46 @@ FAILURE_THRESHOLD = 0.5
 
 def failure_rate(calls: DataFrame, key: str, order: list[str], failed_col: str = "failed",
                  size: int = WINDOW_CALLS, threshold: float = FAILURE_THRESHOLD,
-                 num_partitions: int | None = None) -> DataFrame:
+                 rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """Failure rate over the last ``size`` calls per key, flagged once the
     window is full and the rate reaches ``threshold``.
 
     Same result as ``avg(failed) over (partition by key order by ...
-    rows between size-1 preceding and current row)``, but without placing a
-    key's rows in one task: the rows are range-cut and the last ``size-1``
-    flags carried across slices.
+    rows between size-1 preceding and current row)``, without a key's rows in
+    one task: the window runs in contiguous slices of a key, and the first
+    rows of a slice add the last flags before it.  Whole rows are shuffled
+    once; the flags before a slice are ``size - 1`` numbers for each
+    ``rows_per_slice`` rows and broadcast.  A null flag is a call that did not
+    fail, a null key is a key.
     """
-    x = calls.withColumn("_flag", F.col(failed_col).cast("int"))
-    f = ordered_fold(x, key, order, RollingFold("_flag", size), num_partitions)
+    flagged = calls.withColumn("_flag", F.coalesce(F.col(failed_col).cast("int"), F.lit(0)))
+    sliced = with_slices(flagged, key, order, rows_per_slice=rows_per_slice)
+    own = Window.partitionBy(key, "_slice").orderBy(*order).rowsBetween(-(size - 1), 0)
+    rows = sliced.select("*", F.count(F.lit(1)).over(own).cast("int").alias("_own_calls"),
+                         F.sum("_flag").over(own).cast("int").alias("_own_failures"))
+    carry = _flags_before(sliced.select(key, *order, "_flag", "_slice"), key, order, size - 1)
+    x = rows.join(F.broadcast(carry), rows[key].eqNullSafe(F.col("_carry_key")) & (F.col("_slice") == F.col("_carry_slice")), "left")
+    before = F.coalesce("_before", F.array().cast("array<int>"))
+    taken = F.least(F.size(before), F.lit(size) - F.col("_own_calls"))
+    carried = F.aggregate(F.slice(before, F.size(before) - taken + 1, taken), F.lit(0), lambda a, b: a + b)
+    calls_n, failures = F.col("_own_calls") + taken, F.col("_own_failures") + F.when(taken > 0, carried).otherwise(0)
     rate = F.col("failures") / F.col("calls")
-    return f.drop("_flag").select("*", rate.alias("failure_rate"),
-                                  ((F.col("calls") == size) & (rate >= threshold)).alias("flagged"))
+    names = [F.col(f"`{c}`") for c in calls.columns]
+    return x.select(*names, calls_n.alias("calls"), failures.alias("failures")).select(
+        "*", rate.alias("failure_rate"), ((F.col("calls") == size) & (rate >= threshold)).alias("flagged"))
+
+
+def _flags_before(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
+    """(key, slice, the last ``n`` flags of the key before the slice) where there are any."""
+    later = F.lead(F.lit(1), n).over(Window.partitionBy(key, "_slice").orderBy(*order))
+    tails = (rows.withColumn("_later", later).where(F.col("_later").isNull())   # a slice's last n rows
+             .groupBy(key, "_slice").agg(F.sort_array(F.collect_list(F.struct(*order, "_flag"))).alias("_tail")))
+    # a slice has a row at least, so the n slices before hold the n flags
+    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(-n, -1)
+    flags = F.flatten(F.collect_list(F.col("_tail._flag")).over(earlier))
+    last = F.slice("_flags", F.greatest(F.size("_flags") - n + 1, F.lit(1)), F.lit(n))
+    return (tails.withColumn("_flags", flags).where(F.size("_flags") > 0)
+            .select(F.col(key).alias("_carry_key"), F.col("_slice").alias("_carry_slice"), last.alias("_before")))
 
 
 def log_trace_ids(logs: DataFrame, line_col: str = "line") -> DataFrame:

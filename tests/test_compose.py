@@ -4,7 +4,6 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from orderpulse.operators.delivery import DeliveryFold
-from orderpulse.operators.metrics import RollingFold
 from orderpulse.operators.ratelimit import RateFold
 from orderpulse.operators.reserve import StockFold
 
@@ -72,17 +71,3 @@ def test_delivery_compose(hs, cuts, phase):
         composed = fold.tf_compose(composed, p)
     entry = (phase[0], phase[1], 404, "e", 7, None)
     assert fold.tf_apply(composed, entry) == fold.step(None, seg, entry)[1]
-
-
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 1), max_size=60), st.lists(st.integers(0, 60), max_size=3),
-       st.lists(st.integers(0, 1), max_size=19))
-def test_rolling_compose(flags, cuts, entry):
-    fold = RollingFold("f", 20)
-    f = np.array(flags, dtype=np.int64)
-    parts = [_tf(fold, {"f": x}) for x in _slices(f, cuts)]
-    composed = parts[0]
-    for p in parts[1:]:
-        composed = fold.tf_compose(composed, p)
-    e = np.array(entry, dtype=np.int64)
-    assert list(fold.tf_apply(composed, e)) == list(fold.step(None, {"f": f}, e)[1])

@@ -5,7 +5,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from orderpulse.operators.delivery import DeliveryFold
-from orderpulse.operators.metrics import RollingFold
 from orderpulse.operators.ordered_fold import brute_force_fold, ordered_fold
 from orderpulse.operators.ratelimit import RateFold
 from orderpulse.operators.reserve import StockFold, reserve_scan
@@ -54,15 +53,6 @@ def test_delivery_fold_matches_brute_force(spark, rows, parts):
            DeliveryFold(), parts, ["status", "attempt_count", "last_http_status", "next_attempt_us"])
 
 
-@SETTINGS
-@given(st.lists(st.tuples(st.integers(0, 1), st.booleans()), min_size=1, max_size=300), st.integers(2, 20))
-def test_rolling_fold_matches_brute_force(spark, rows, parts):
-    pdf = pd.DataFrame({"k": [f"k{k}" for k, _ in rows], "seq": np.arange(len(rows)),
-                        "f": [int(b) for _, b in rows]})
-    _check(spark, pdf, "k string, seq long, f int", "k", ["seq"], RollingFold("f", 20), parts,
-           ["calls", "failures"])
-
-
 @given(st.lists(st.integers(1, 7), max_size=300), st.integers(0, 100))
 def test_reserve_scan_invariants(q, stock):
     q = np.array(q, dtype=np.int64)
