@@ -1271,3 +1271,66 @@ def q_api_keys(spark, d):
     from ..functions.ids import api_key
     t = tb.tenants(spark, d)
     return t.select("id", "slug", api_key(F.col("id")).alias("api_key"))
+
+
+# --------------------------------------------------------------------------
+# P3 for the seven stored tables: a row for each rule that a row breaks
+# --------------------------------------------------------------------------
+from ..operators import constraints as cons  # noqa: E402
+from ..sources.broken_rows import SELECTS, broken_rows  # noqa: E402
+
+
+def _rules_sql(table: str, nulls: str, lengths: dict[str, int], enums: dict[str, str], keys: dict[str, str],
+               other: dict[str, str] | None = None) -> str:
+    """The oracle of a table: a select for each rule over the same derived rows."""
+    preds = {f"{c}_null": f"{c} IS NULL" for c in nulls.split()}
+    preds |= {f"{c}_too_long": f"length({c}) > {n}" for c, n in lengths.items()}
+    preds |= {f"{c}_not_allowed": f"{c} NOT IN ({vals})" for c, vals in enums.items()}
+    for name, cols in keys.items():
+        preds[f"{name}_repeated"] = f"({cols}) IN (SELECT ({cols}) FROM b WHERE ({cols}) IS NOT NULL GROUP BY {cols} HAVING count(*) > 1)"
+        if "," in cols:   # a row of several columns is not null when one of them is
+            whole = " AND ".join(f"{c.strip()} IS NOT NULL" for c in cols.split(","))
+            preds[f"{name}_repeated"] = f"{whole} AND count(*) OVER (PARTITION BY {cols}) > 1"
+    preds |= other or {}
+    parts = "\nUNION ALL ".join(f"(SELECT id, '{rule}' AS rule FROM b QUALIFY {p})" if " OVER " in p
+                                else f"SELECT id, '{rule}' AS rule FROM b WHERE {p}" for rule, p in preds.items())
+    return f"WITH b AS (SELECT {', '.join(SELECTS[table])} FROM events)\n{parts}"
+
+
+_PLAN_LIST = "'FREE','STARTER','PRO','ENTERPRISE'"
+_MONTH_NULLS = ("id tenant_id plan billing_year billing_month order_count webhook_delivery_count api_call_count "
+                "created_at updated_at")
+_MONTH_KEY = {"id": "id", "tenant_month": "tenant_id, billing_year, billing_month"}
+_RULES_SQL = {
+    "orders": _rules_sql("orders", "id tenant_id customer_id product_id quantity amount currency status created_at",
+                         {"tenant_id": 64, "customer_id": 64, "product_id": 64, "currency": 3, "status": 16},
+                         {"status": "'PLACED','CONFIRMED','REJECTED'"}, {"id": "id"},
+                         {"quantity_not_positive": "quantity <= 0", "amount_not_positive": "amount <= 0"}),
+    "outbox": _rules_sql("outbox", "id tenant_id aggregate_type aggregate_id topic event_type payload created_at retry_count",
+                         {"tenant_id": 64, "aggregate_type": 64, "aggregate_id": 64, "topic": 128, "event_type": 64,
+                          "last_error": 512}, {}, {"id": "id"}),
+    "usage_records": _rules_sql("usage_records", _MONTH_NULLS, {"tenant_id": 64, "plan": 16}, {"plan": _PLAN_LIST}, _MONTH_KEY),
+    "invoices": _rules_sql("invoices", _MONTH_NULLS + " amount_cents status", {"tenant_id": 64, "plan": 16, "status": 16},
+                           {"plan": _PLAN_LIST, "status": "'DRAFT','FINALIZED','PAID','VOID'"}, _MONTH_KEY),
+    "tenants": _rules_sql("tenants", "id slug name plan status api_key created_at updated_at",
+                          {"slug": 63, "name": 255, "plan": 16, "status": 16, "api_key": 64},
+                          {"plan": _PLAN_LIST, "status": "'ACTIVE','SUSPENDED','DELETED'"},
+                          {"id": "id", "slug": "slug", "api_key": "api_key"}),
+    "webhook_endpoints": _rules_sql("webhook_endpoints", "id tenant_id url secret event_types status created_at updated_at", {},
+                                    {"status": "'ACTIVE','DISABLED'"}, {"id": "id"}),
+    "webhook_deliveries": _rules_sql(
+        "webhook_deliveries", "id endpoint_id tenant_id event_type event_id payload status attempt_count created_at updated_at", {},
+        {"status": "'PENDING','DELIVERED','FAILED','EXHAUSTED'"}, {"id": "id"},
+        {"endpoint_id_unknown": "endpoint_id NOT IN (SELECT CAST(s_suppkey AS VARCHAR) FROM supplier)"}),
+}
+
+
+def _rules_query(table: str):
+    def q(spark, d):
+        parents = {"endpoint_id": tb.endpoints(spark, d)} if table == "webhook_deliveries" else None
+        return cons.violations(broken_rows(spark, d, table), cons.TABLES[table], parents)
+    return q
+
+
+for _table, _sql in _RULES_SQL.items():
+    register(f"rules_{_table}", _sql, "P3")(_rules_query(_table))
