@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import to_base64
+from ..sources.topics import order_record
 
 
 def blank(c: Column) -> Column:
@@ -99,13 +100,12 @@ def place_orders(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     orders = ok.select("order_id", "tenant_id", "customer_id", "product_id", "quantity", "amount",
                        "currency", F.lit("PLACED").alias("status"),
                        F.col("placed_at").alias("created_at"))
-    from ..sources.tables import order_event_json
     outbox = ok.select(F.concat(F.lit("ob-"), F.col("order_id")).alias("id"),
                        F.lit("Order").alias("aggregate_type"),
                        F.col("order_id").alias("aggregate_id"),
                        F.lit("orders.placed").alias("topic"),
                        F.lit("OrderPlaced").alias("event_type"),
-                       to_base64(order_event_json(ok)).alias("payload"),
+                       to_base64(order_record()).alias("payload"),
                        F.col("placed_at").alias("created_at"), "tenant_id")
     return orders, outbox
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ERROR_MAX_CHARS, cut, from_base64
+from ..sources.topics import ORDER_RECORD, event_fields
 from .ranking import global_row_number
 
 # Fixed values of the relay.
@@ -15,6 +16,8 @@ BATCH_SIZE = 100
 MAX_RETRIES = 5
 DEAD_PAGE = 10
 DECODE_ERROR = "undecodable payload"
+# Fields of the order record without a default.
+NO_DEFAULT = ("orderId", "customerId", "productId", "quantity", "amount", "placedAt", "correlationId")
 
 
 def decoded_order_id(payload: Column) -> Column:
@@ -34,6 +37,23 @@ def decode_outbox(outbox: DataFrame) -> DataFrame:
                          F.when(~ok, F.lit(DECODE_ERROR)).alias("error"))
 
 
+def outbox_events(outbox: DataFrame) -> DataFrame:
+    """The whole order event of each outbox row, typed, with the fields' defaults (currency, tenant).
+
+    A payload that is no record, or one without a field that has no default, gives ``ok`` false, an
+    error and null event columns.
+    """
+    parsed = outbox.select("id", "topic", F.from_json(from_base64(F.col("payload")), ORDER_RECORD).alias("_record"))
+    fields = event_fields("_record")
+    ok = F.col("_record").isNotNull()
+    for name in NO_DEFAULT:
+        ok = ok & F.col(f"_record.{name}").isNotNull()
+    x = parsed.select("id", "topic", F.coalesce(ok, F.lit(False)).alias("ok"), F.struct(*fields).alias("_event"))
+    names = x.schema["_event"].dataType.names
+    return x.select("id", "topic", "ok", *[F.when(F.col("ok"), F.col(f"_event.{n}")).alias(n) for n in names],
+                    F.when(~F.col("ok"), F.lit(DECODE_ERROR)).alias("error"))
+
+
 def unprocessed(outbox: DataFrame) -> DataFrame:
     return outbox.filter(F.col("processed_at").isNull())
 

@@ -81,6 +81,7 @@ VIEWS: dict[str, str] = {
   FROM (SELECT *, '{"orderId":"' || order_id || '","customerId":"' || customer_id
                || '","productId":"' || product_id || '","quantity":' || CAST(quantity AS VARCHAR)
                || ',"amount":"' || CAST(amount AS VARCHAR) || '","currency":"' || currency
+               || '","placedAt":' || CAST(epoch_us(placed_at) // 1000 AS VARCHAR) || ',"correlationId":"' || correlation_id
                || '","tenantId":"' || tenant_id || '"}' AS js FROM v_orders)""",
     "v_relay_outcomes": """
   SELECT 'ob-' || CAST(event_id % (SELECT count(*) // 6 FROM events) AS VARCHAR) AS event_id, event_id AS outcome_id,

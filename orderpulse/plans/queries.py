@@ -279,6 +279,7 @@ SELECT 'ob-' || order_id AS id, 'Order' AS aggregate_type, order_id AS aggregate
        to_base64(encode('{{"orderId":"' || order_id || '","customerId":"' || customer_id
              || '","productId":"' || product_id || '","quantity":' || CAST(quantity AS VARCHAR)
              || ',"amount":"' || CAST(amount AS VARCHAR) || '","currency":"' || currency
+             || '","placedAt":' || CAST(epoch_us(placed_at) // 1000 AS VARCHAR) || ',"correlationId":"' || correlation_id
              || '","tenantId":"' || tenant_id || '"}}')) AS payload,
        epoch_us(placed_at) AS created_at, tenant_id
 FROM v_requests_bad WHERE {_ORDER_FAILED} = ''""", "v_requests_bad"), "S5, F13")
@@ -839,6 +840,19 @@ def q_decode_outbox(spark, d):
     return obx.decode_outbox(tb.outbox(spark, d))
 
 
+@register("outbox_events", W("""
+SELECT id, topic, js IS NOT NULL AS ok, json_extract_string(js, '$.orderId') AS order_id,
+       json_extract_string(js, '$.customerId') AS customer_id, json_extract_string(js, '$.productId') AS product_id,
+       CAST(json_extract_string(js, '$.quantity') AS BIGINT) AS quantity, CAST(json_extract_string(js, '$.amount') AS DOUBLE) AS amount,
+       json_extract_string(js, '$.currency') AS currency, CAST(json_extract_string(js, '$.placedAt') AS BIGINT) * 1000 AS placed_at,
+       json_extract_string(js, '$.correlationId') AS correlation_id, json_extract_string(js, '$.tenantId') AS tenant_id,
+       CASE WHEN js IS NULL THEN 'undecodable payload' END AS error
+FROM (SELECT id, topic, CASE WHEN json_valid(t) THEN t END AS js FROM (SELECT id, topic, decode(from_base64(payload)) AS t FROM v_outbox))""",
+                             "v_outbox"), "S6, F13")
+def q_outbox_events(spark, d):
+    return obx.outbox_events(tb.outbox(spark, d))
+
+
 @register("outbox_pending", W("SELECT count(*) FILTER (WHERE processed_at IS NULL) AS pending FROM v_outbox",
                               "v_outbox"), "A7, Q12")
 def q_outbox_pending(spark, d):

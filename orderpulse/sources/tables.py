@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import to_base64
+from .topics import order_record
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
@@ -199,19 +200,10 @@ def addressed_endpoints(spark: SparkSession, sf_dir: str) -> Column:
     return read_table(spark, sf_dir, "supplier").select(F.floor(n * 6 / 5)).scalar()
 
 
-def order_event_json(o: DataFrame) -> Column:
-    """The JSON text of an order event as stored in the outbox."""
-    return F.format_string(
-        '{"orderId":"%s","customerId":"%s","productId":"%s","quantity":%d,'
-        '"amount":"%s","currency":"%s","tenantId":"%s"}',
-        o.order_id, o.customer_id, o.product_id, o.quantity,
-        o.amount.cast("string"), o.currency, o.tenant_id)
-
-
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``v_outbox``: outbox rows of the order stream; every 97th payload is broken."""
     o = orders_stream(spark, sf_dir, keep_seq=True)
-    js = order_event_json(o)
+    js = order_record()
     payload = F.when(o.seq % 97 == 0, to_base64(F.substring(js, 1, 10))).otherwise(to_base64(js))
     return o.select(
         F.concat(F.lit("ob-"), o.order_id).alias("id"),

@@ -103,30 +103,35 @@ def write_topic(df: DataFrame, root: str, topic: str, key_col: str, partitions:
     return None
 
 
+def order_record(currency: Column | None = None, tenant: Column | None = None) -> Column:
+    """The JSON record of an order row; null fields are left out of the text."""
+    return F.to_json(F.struct(
+        F.col("order_id").alias("orderId"), F.col("customer_id").alias("customerId"), F.col("product_id").alias("productId"),
+        F.col("quantity").alias("quantity"), F.col("amount").cast("string").alias("amount"),
+        (F.col("currency") if currency is None else currency).alias("currency"), F.unix_millis("placed_at").alias("placedAt"),
+        F.col("correlation_id").alias("correlationId"), (F.col("tenant_id") if tenant is None else tenant).alias("tenantId")))
+
+
 def encode_order_records(orders: DataFrame, omit_currency: Column | None = None,
                          omit_tenant: Column | None = None) -> DataFrame:
-    """Order events as JSON records (null fields are left out of the text)."""
-    cur = F.col("currency") if omit_currency is None else F.when(~omit_currency, F.col("currency"))
-    ten = F.col("tenant_id") if omit_tenant is None else F.when(~omit_tenant, F.col("tenant_id"))
-    rec = F.struct(F.col("order_id").alias("orderId"), F.col("customer_id").alias("customerId"),
-                   F.col("product_id").alias("productId"), F.col("quantity").alias("quantity"),
-                   F.col("amount").cast("string").alias("amount"), cur.alias("currency"),
-                   F.unix_millis("placed_at").alias("placedAt"),
-                   F.col("correlation_id").alias("correlationId"), ten.alias("tenantId"))
-    return orders.select(F.col("order_id").alias("key"), F.to_json(rec).alias("value"))
+    """Order events as keyed JSON records, some without the fields that have defaults."""
+    cur = None if omit_currency is None else F.when(~omit_currency, F.col("currency"))
+    ten = None if omit_tenant is None else F.when(~omit_tenant, F.col("tenant_id"))
+    return orders.select(F.col("order_id").alias("key"), order_record(cur, ten).alias("value"))
+
+
+def event_fields(record: str) -> list[Column]:
+    """The columns of an order event from a parsed record column, defaults filled in (currency, tenant)."""
+    r = lambda name: F.col(f"{record}.{name}")
+    return [r("orderId").alias("order_id"), r("customerId").alias("customer_id"), r("productId").alias("product_id"),
+            r("quantity").alias("quantity"), r("amount").cast("decimal(12,2)").alias("amount"),
+            F.coalesce(r("currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"), F.timestamp_millis(r("placedAt")).alias("placed_at"),
+            r("correlationId").alias("correlation_id"), F.coalesce(r("tenantId"), F.lit(DEFAULT_TENANT)).alias("tenant_id")]
 
 
 def decode_events(records: DataFrame, value_col: str = "value") -> DataFrame:
     """S3: parse order records and fill the field defaults (currency, tenant)."""
-    r = records.select(F.from_json(F.col(value_col), ORDER_RECORD).alias("r")).select("r.*")
-    return r.select(
-        F.col("orderId").alias("order_id"), F.col("customerId").alias("customer_id"),
-        F.col("productId").alias("product_id"), F.col("quantity").alias("quantity"),
-        F.col("amount").cast("decimal(12,2)").alias("amount"),
-        F.coalesce(F.col("currency"), F.lit(DEFAULT_CURRENCY)).alias("currency"),
-        F.timestamp_millis("placedAt").alias("placed_at"),
-        F.col("correlationId").alias("correlation_id"),
-        F.coalesce(F.col("tenantId"), F.lit(DEFAULT_TENANT)).alias("tenant_id"))
+    return records.select(F.from_json(F.col(value_col), ORDER_RECORD).alias("r")).select(*event_fields("r"))
 
 
 def sample_orders(driver: DataFrame, seq_col: str = "event_id") -> DataFrame:

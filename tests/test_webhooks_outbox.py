@@ -1,5 +1,6 @@
 """J5 fan-out rules, P2 endpoint checks, S6/T4 outbox relay."""
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
@@ -73,3 +74,21 @@ def test_outbox_status_needs_no_attempts(spark):
     assert got == {"a": (True, 5, True, 8, obx.DECODE_ERROR), "b": (True, 8, True, 1, obx.DECODE_ERROR), "c": (True, 2, False, 0, None)}
     plan = status._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_whole_events_survive_the_outbox(spark):
+    """What S5 stores, S6 reads back: quotes in a value, milliseconds, defaults; a missing field is a failure."""
+    from orderpulse.functions.text import to_base64
+    from orderpulse.operators.orders import place_orders
+    t0 = dt.datetime(2024, 1, 1, 0, 0, 0, 123000)
+    rows = [("o1", 'cu"st\\', "prod-ü", 2, Decimal("19.99"), "EUR", t0, "c1", "t1"), ("o2", "c", "p", 1, Decimal("0.10"), "USD", t0, "c2", "t2")]
+    orders = spark.createDataFrame(rows, "order_id string, customer_id string, product_id string, quantity int, amount decimal(12,2), "
+                                         "currency string, placed_at timestamp, correlation_id string, tenant_id string")
+    got = obx.outbox_events(place_orders(orders)[1]).orderBy("id").collect()
+    assert [tuple(r)[3:-1] for r in got] == rows and all(r.ok and r.error is None for r in got)
+    whole = '{"orderId":"o","customerId":"c","productId":"p","quantity":3,"amount":"1.00","placedAt":5,"correlationId":"x"}'
+    texts = [("a", whole), ("b", whole.replace('"quantity":3,', "")), ("c", "[1]"), ("d", "null"), ("e", ""), ("f", None)]
+    got = {r.id: r for r in obx.outbox_events(spark.createDataFrame(texts, "id string, body string").select(
+        "id", F.lit("t").alias("topic"), to_base64(F.col("body")).alias("payload"))).collect()}
+    assert (got["a"].currency, got["a"].tenant_id, got["a"].placed_at) == ("USD", "", dt.datetime(1970, 1, 1, 0, 0, 0, 5000))
+    assert all(not got[k].ok and got[k].error == obx.DECODE_ERROR and got[k].order_id is None for k in "bcdef")
