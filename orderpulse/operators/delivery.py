@@ -12,14 +12,14 @@ Outcomes after a terminal state, or once 5 attempts are counted, are ignored;
 FAILED with 5 is never retried by the scheduler (Q2) and reported ``stuck``.
 
 The fold runs per delivery through :func:`ordered_fold`, so even a delivery
-with a third of all outcome rows is cut over many tasks; the final state is a
-``max_by`` partial aggregate over the per-attempt states.
+with a third of all outcome rows is cut over many tasks (:func:`attempt_states`).
+The final state alone needs a delivery's first outcomes only (:func:`delivery_status`).
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordered_fold import KeyFold, ordered_fold
@@ -199,18 +199,51 @@ def attempt_states(attempts: DataFrame, num_partitions: int | None = None) -> Da
              .drop("next_attempt_us", "delivered_us"))
 
 
-def delivery_status(attempts: DataFrame, num_partitions: int | None = None) -> DataFrame:
-    """The current state of every delivery (last outcome's state)."""
-    s = attempt_states(attempts, num_partitions)
-    last = F.struct("ts", "attempt_id")
-    st = F.struct("status", "attempt_count", "last_http_status", "last_error",
-                  "next_attempt_at", "delivered_at")
-    g = s.groupBy("delivery_id").agg(F.max_by(st, last).alias("s"),
-                                     F.count(F.when(~F.col("ignored"), 1)).alias("outcomes_used"),
-                                     F.count(F.lit(1)).alias("outcomes_seen"))
-    return g.select("delivery_id", "s.*", "outcomes_used", "outcomes_seen",
-                    ((F.col("s.status") == FAILED) & (F.col("s.attempt_count") >= MAX_ATTEMPTS))
-                    .alias("stuck"))
+def _next_state(st: Column, x: Column) -> Column:
+    """One outcome applied to a delivery's state, both as structs."""
+    failed, http = x["http_status"].isNull(), x["http_status"]
+    delivered = ~failed & (http >= 200) & (http < 300)
+    counted = st["attempt_count"] + 1
+    again = failed | (~delivered & (counted < MAX_ATTEMPTS))   # a retry is scheduled, by the count at that time
+    at_count = F.when(failed, st["attempt_count"]).otherwise(counted)
+    waits = F.array(*[F.lit(w) for w in BACKOFF_SECONDS])
+    wait = F.element_at(waits, F.least(at_count, F.lit(len(BACKOFF_SECONDS) - 1)) + 1)
+    error = F.when(failed, x["error"]).when(again, F.concat(F.lit("HTTP "), http.cast("string")))
+    return F.struct(
+        F.when(delivered, DELIVERED).when(again, FAILED).otherwise(EXHAUSTED).alias("status"),
+        (at_count + F.when(again, 1).otherwise(0)).cast("int").alias("attempt_count"),
+        F.coalesce(http, st["last_http_status"]).cast("int").alias("last_http_status"), error.alias("last_error"),
+        F.when(again, x["ts"] + F.make_dt_interval(secs=wait)).otherwise(st["next_attempt_at"]).alias("next_attempt_at"),
+        F.when(delivered, x["ts"]).otherwise(st["delivered_at"]).alias("delivered_at"),
+        (st["outcomes_used"] + 1).alias("outcomes_used"))
+
+
+def delivery_status(attempts: DataFrame) -> DataFrame:
+    """The state of every delivery after all its outcomes.
+
+    Each counted outcome adds one attempt or more and nothing counts from ``MAX_ATTEMPTS`` on, so the first
+    outcomes by (ts, attempt_id) decide.  They are taken by rank, which is cut in the task before the only
+    shuffle of outcome rows, and folded as a short array in the JVM.  All outcomes are counted by a
+    partial aggregate, a row for each delivery and task.  Equals the last state of ``attempt_states``.
+    """
+    first = Window.partitionBy("delivery_id").orderBy("ts", "attempt_id")
+    few = (attempts.select("delivery_id", "attempt_id", F.col("ts").cast("timestamp").alias("ts"), F.col("http_status").cast("int").alias("http_status"), "error")
+           .withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= MAX_ATTEMPTS))
+    runs = few.groupBy("delivery_id").agg(F.array_sort(F.collect_list(F.struct("_k", "ts", "http_status", "error"))).alias("_run"))
+    seen = attempts.groupBy(F.col("delivery_id").alias("_seen_id")).agg(F.count(F.lit(1)).alias("outcomes_seen"))
+    null = F.lit(None)
+    start = F.struct(F.lit(PENDING).alias("status"), F.lit(0).alias("attempt_count"), null.cast("int").alias("last_http_status"),
+                     null.cast("string").alias("last_error"), null.cast("timestamp").alias("next_attempt_at"),
+                     null.cast("timestamp").alias("delivered_at"), F.lit(0).cast("long").alias("outcomes_used"))
+
+    def fold(st: Column, x: Column) -> Column:
+        over = st["status"].isin(DELIVERED, EXHAUSTED) | (st["attempt_count"] >= MAX_ATTEMPTS)
+        return F.when(over, st).otherwise(_next_state(st, x))
+
+    s = runs.join(seen, F.col("delivery_id").eqNullSafe(F.col("_seen_id"))) \
+            .select("delivery_id", F.aggregate("_run", start, fold).alias("s"), "outcomes_seen")
+    return s.select("delivery_id", "s.*", "outcomes_seen",
+                    ((F.col("s.status") == FAILED) & (F.col("s.attempt_count") >= MAX_ATTEMPTS)).alias("stuck"))
 
 
 def due_retries(deliveries: DataFrame, now, page: int = 50) -> DataFrame:

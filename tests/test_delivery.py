@@ -48,3 +48,27 @@ def _summary(spark, d):
 def test_fixture_counts(spark):
     assert _summary(spark, SF001) == {("DELIVERED", False): 92, ("EXHAUSTED", False): 57, ("FAILED", True): 51}
     assert _summary(spark, SF01) == {("DELIVERED", False): 991, ("EXHAUSTED", False): 531, ("FAILED", True): 478}
+
+
+def test_final_state_is_the_last_of_the_attempt_states(spark):
+    """Random outcomes, equal times, a delivery with most rows, and a null id, against the fold of every attempt."""
+    import random
+
+    from orderpulse.operators.delivery import attempt_states
+    r = random.Random(5)
+    rows = [(None if i % 90 == 0 else 0 if i % 2 else r.randint(1, 60), i, T0 + dt.timedelta(seconds=r.randint(0, 50)),
+             http := r.choice([None, 200, 204, 404, 500, 500, 302]), None if http is not None else r.choice(["timeout", None])) for i in range(1200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cols = ("status", "attempt_count", "last_http_status", "last_error", "next_attempt_at", "delivered_at")
+    want = {}
+    for x in sorted(attempt_states(df.where("delivery_id is not null")).collect(), key=lambda x: (x.ts, x.attempt_id)):
+        want[x.delivery_id] = tuple(x[c] for c in cols)
+    got = delivery_status(df).collect()
+    assert {x.delivery_id: tuple(x[c] for c in cols) for x in got if x.delivery_id is not None} == want
+    assert sum(x.outcomes_seen for x in got) == len(rows) and len([x for x in got if x.delivery_id is None]) == 1
+    assert all(1 <= x.outcomes_used <= min(5, x.outcomes_seen) for x in got)
+
+
+def test_only_first_outcomes_are_shuffled(spark):
+    plan = delivery_status(spark.createDataFrame([(1, 1, T0, 200, None)], SCHEMA))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "rangepartitioning" not in plan and "Arrow" not in plan
