@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import trace_id
+from .quantiles import exact_quantile
 from .slices import ROWS_PER_SLICE, with_slices
 
 
@@ -46,17 +47,17 @@ def latency_p99_hist(latency: DataFrame, buckets: tuple[float, ...], q: float =
 
 
 def latency_p99(latency: DataFrame, q: float = 0.99, ts_col: str = "ts", value_col: str = "seconds",
-                window: str = "5 minutes") -> DataFrame:
+                window: str = "5 minutes", rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """A10 exact form: the interpolated percentile of the raw values per window.
 
-    Spark's exact ``percentile`` keeps one counter per distinct value of a
-    window (partially aggregated), so its state grows with the distinct
-    latencies, not with rows; :func:`latency_p99_hist` - the dashboard's own
+    Two-pass selection (``quantiles.py``): a window's distinct values are cut
+    into slices and only the slices that hold the rank are put in order, so no
+    task holds a whole window; :func:`latency_p99_hist` - the dashboard's own
     method - has 12 counters per window whatever the data.
     """
-    g = latency.groupBy(F.window(ts_col, window).alias("w")).agg(
-        F.count(F.lit(1)).alias("total"), F.percentile(value_col, q).alias("p99_seconds"))
-    return g.select(F.col("w.start").alias("window_start"), "total", F.round("p99_seconds", 9).alias("p99_seconds"))
+    rows = latency.select(F.window(ts_col, window).alias("w"), F.col(value_col).alias("value")).select(F.col("w.start").alias("window_start"), "value")
+    g = exact_quantile(rows, "window_start", "value", q, "p99_seconds", rows_per_slice)
+    return g.select("window_start", "total", F.round("p99_seconds", 9).alias("p99_seconds"))
 
 
 # Fixed values of the circuit-breaker setting: 20 calls, 50 % failures.
