@@ -7,20 +7,21 @@ count exceeds the plan's limit.  Requests without a tenant, unlimited plans
 (ENTERPRISE) and ``/actuator`` paths pass without touching the counters.
 
 The windows are not aligned to the clock (not ``window()``) and have no gap
-rule (not ``session_window``): each start depends on the previous start, so
-this is an ordered fold per tenant, run with :func:`ordered_fold`, which
-spreads a hot tenant over many tasks.  Per slice the fold is vectorised: one
-``searchsorted`` per window, not per request.
+rule (not ``session_window``): each start depends on the previous start.
+:func:`rate_limit_decisions` chains the windows of the distinct times
+(``chained_windows``); :class:`RateFold` is the same rule as an ordered fold
+for micro-batches, where a tenant's open window goes on from a stored state.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.plans import rate_limit
-from .ordered_fold import KeyFold, ordered_fold
+from .chained_windows import chained_windows
+from .ordered_fold import KeyFold
 
 # Fixed value: window length in milliseconds.
 WINDOW_MS = 60_000
@@ -207,19 +208,30 @@ class RateFold(KeyFold):
 def rate_limit_decisions(requests: DataFrame, limit: Column | None = None,
                          key: str = "tenant_id", time_col: str = "req_ms",
                          order: tuple[str, ...] = ("req_ms", "ts", "request_id"),
-                         width: int = WINDOW_MS, num_partitions: int | None = None) -> DataFrame:
+                         width: int = WINDOW_MS) -> DataFrame:
     """Allowed / refused per request with window start, count and remaining.
 
     ``limit`` is a column giving each request's limit (null = not limited);
-    by default the plan table of the gateway (unknown plan -> 100).
+    by default the plan table of the gateway (unknown plan -> 100).  A request
+    without a time passes uncounted, as one without a tenant does.
+
+    Only a count per tenant and distinct time goes through the chain of windows; whole
+    rows are shuffled once by (tenant, time), to rank requests of one millisecond.
     """
     lim = limit if limit is not None else rate_limit(F.col("plan"))
     if "path" in requests.columns:   # health probes are not limited
         lim = F.when(~F.coalesce(F.col("path").startswith("/actuator"), F.lit(False)), lim)
     r = requests.withColumn("rate_limit", lim)
-    counted = r.filter(F.col(key).isNotNull() & F.col("rate_limit").isNotNull())
-    passed = r.filter(F.col(key).isNull() | F.col("rate_limit").isNull())
-    folded = ordered_fold(counted, key, list(order), RateFold(time_col, width), num_partitions)
+    has_window = F.col(key).isNotNull() & F.col(time_col).isNotNull() & F.col("rate_limit").isNotNull()
+    counted, passed = r.filter(has_window), r.filter(~has_window)
+    times = counted.groupBy(key, F.col(time_col).cast("bigint").alias("_time")).agg(F.count("*").alias("_n"))
+    starts = chained_windows(times, key, "_time", "_n", width)
+    earlier = Window.partitionBy(key, "window_start").orderBy("_time").rowsBetween(Window.unboundedPreceding, -1)
+    opened = starts.select(key, "_time", "window_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"))
+    ranked = (counted.withColumn("_time", F.col(time_col).cast("bigint"))
+              .withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_time").orderBy(*order))))
+    count = F.col("_earlier") + F.col("_rank")
+    folded = ranked.join(opened, [key, "_time"]).select(*(F.col(c) for c in r.columns), "window_start", count.alias("request_count"))
     allowed = F.col("request_count") <= F.col("rate_limit")
     a = folded.select("*", allowed.alias("allowed"),
                       F.when(allowed, F.greatest(F.lit(0).cast("bigint"),
