@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keyed_topic import keyed_scan, keyed_write
+
 # Topic names.
 ORDERS_PLACED = "orders.placed"
 PAYMENTS_PROCESSED = "payments.processed"
@@ -60,9 +62,11 @@ DEFAULT_TENANT = ""
 
 def topic_scan(spark: SparkSession, root: str, topic: str, stream: bool = False,
                max_files_per_trigger: int | None = None,
-               kafka_bootstrap: str | None = None) -> DataFrame:
+               kafka_bootstrap: str | None = None, keyed: bool = False) -> DataFrame:
     """Read a topic from the earliest record.
 
+    ``keyed`` reads a topic with partitions and offsets (``keyed_topic``), whose positions are two more columns.
+
     Parquet topics hold only committed files (the file sink commits through
     its log), which matches ``read_committed``.  ``stream=True`` gives a
     streaming DataFrame; ``max_files_per_trigger`` bounds a micro-batch.
@@ -75,6 +79,8 @@ def topic_scan(spark: SparkSession, root: str, topic: str, stream: bool = False,
                .option("kafka.isolation.level", "read_committed").load())
         return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
     path = f"{root.rstrip('/')}/{topic}"
+    if keyed:
+        return keyed_scan(spark, path, schema, stream)
     if stream:
         r = spark.readStream.schema(schema)
         if max_files_per_trigger:
@@ -84,8 +90,8 @@ def topic_scan(spark: SparkSession, root: str, topic: str, stream: bool = False,
 
 
 def write_topic(df: DataFrame, root: str, topic: str, key_col: str, partitions: int = 6,
-                checkpoint: str | None = None, trigger_available_now: bool = True):
-    """Append records to a keyed topic.
+                checkpoint: str | None = None, trigger_available_now: bool = True, keyed: bool = False):
+    """Append records to a keyed topic; ``keyed`` gives them partitions and offsets (``keyed_topic``).
 
     Records are hash-partitioned by key into ``partitions`` files per write,
     as a keyed producer spreads them over topic partitions.  A stream needs a
@@ -94,6 +100,8 @@ def write_topic(df: DataFrame, root: str, topic: str, key_col: str, partitions:
     path = f"{root.rstrip('/')}/{topic}"
     cols = [f.name for f in SCHEMAS[topic].fields]
     out = df.select(*cols)
+    if keyed:
+        return keyed_write(out, path, F.col(key_col), partitions, checkpoint=checkpoint)
     if df.isStreaming:
         w = (out.writeStream.format("parquet").option("path", path)
              .option("checkpointLocation", checkpoint).outputMode("append"))
