@@ -171,3 +171,32 @@ def test_fixity_locates_damage(spark):
     cut = {r.record: r.state for r in fixity.audit_pages(pages, F.when(F.col("page_id") == 30, "").otherwise(html)).collect()}
     assert cut[32] == "corrupt" and all(cut[i] == "moved" for i in range(33, 42))
     assert fixity.audit_pages(pages.limit(0), html).count() == 0
+
+
+def _plain_audit(a, b):
+    """{(file, record): state} by comparing every record."""
+    out = {}
+    for place in a.keys() | b.keys():
+        x, y = a.get(place), b.get(place)
+        out[place] = "extra" if x is None else "missing" if y is None else "intact" if x == y else "moved" if x[1:] == y[1:] else "corrupt"
+    return out
+
+
+def test_fixity_of_many_files_against_every_record_compared(spark):
+    """Damage, lost and added records, moved ones and a file that only one replica has."""
+    a = {(f, r): (r * 10, 10, f"d{f}-{r}") for f in range(4) for r in range(fixity.FILE_RECORDS if f < 2 else 300)}
+    b = {k: v for k, v in a.items() if k not in ((0, 4095), (1, 17)) and k[0] != 3}
+    b |= {(0, 5): (50, 10, "other"), (1, 4000): (40001, 10, "d1-4000"), (2, 300): (3000, 10, "new"), (5, 0): (0, 10, "new file")}
+    names = "page_id long, warc_file long, record long, offset long, length long, digest string"
+    frame = lambda rows: spark.createDataFrame([(f * 10000 + r, f, r, *v) for (f, r), v in rows.items()], names)
+    got = fixity.audit(frame(a), frame(b)).collect()
+    assert len(got) == len(a.keys() | b.keys())
+    assert {(r.warc_file, r.record): r.state for r in got} == _plain_audit(a, b)
+    assert {r.state for r in got} == {"intact", "corrupt", "moved", "missing", "extra"}
+    assert all((r.root is None) == (r.warc_file == 5) and r.page_id == r.warc_file * 10000 + r.record for r in got)
+
+
+def test_fixity_ignores_extra_columns(spark):
+    pages = spark.createDataFrame([(i, f"u{i % 3}", None if i == 4 else f"b{i}", 1, "x", "y", 0) for i in range(20)],
+                                  "page_id long, url string, html string, record long, digest string, state string, place long")
+    assert {r.state for r in fixity.audit_pages(pages, F.col("html")).collect()} == {"intact"}
