@@ -467,12 +467,12 @@ def find(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "tex
     return out.withColumnRenamed("id", id_col)
 
 
-def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
-    """doc_id, n_<kind> of each kind's base spans, base_sha256, spans as text."""
+def digest(found: DataFrame, kinds: tuple[str, ...] = KINDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_<kind> of each kind's base spans, base_sha256, spans as text, and the columns ``keep``."""
     def text(spans: str) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
     def count(kind: str) -> Column:
         return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, kinds), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"))
+    return found.select("doc_id", *map(count, kinds), F.sha2(text("base"), 256).alias("base_sha256"), text("spans").alias("spans"), *keep)

@@ -51,7 +51,7 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text: the patterns' spans and the guess-cost method's."""
-    return pii.digest(secret_scan.scan(documents(spark, sf_dir)), secret_scan.BASE_KINDS)
+    return pii.digest(secret_scan.scan(documents(spark, sf_dir)), secret_scan.BASE_KINDS, keep=("max_guesses_log10",))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

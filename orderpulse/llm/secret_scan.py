@@ -3,7 +3,9 @@
 The patterns find assignments to credential names, access key ids and long hexadecimal strings.  The
 method looks at further values that stand in a credential context ("passphrase is ...", "Bearer ...",
 "pwd: ...", with any run of blanks and tabs around the sign) and estimates how many guesses an attacker
-needs: the cheapest way to cut the value into dictionary words, dates, repeats, keyboard walks,
+needs.  A name may be a part of a longer one joined by ``_``, ``-`` or a change of case; further contexts are
+``Authorization: Basic``, the password of a URL (``://user:...@host``), and after "passphrase:" four to 24 words
+of three or more small letters.  The estimate is the cheapest way to cut the value into dictionary words, dates, repeats, keyboard walks,
 sequences and brute-force spans, found by dynamic programming over its positions.  A value of six or
 more characters, of whatever letters, whose cheapest cut needs at least ``MIN_GUESSES_LOG10`` is a
 secret; a placeholder such as "changeme1234" is not.  The cost alone decides, so after "is" a long
@@ -49,10 +51,17 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CONTEXT_WORDS = ("pwd", "pass", "credential", "bearer", "client", "private", "secret", "token", "api", "access", "login", "auth")
-_CONTEXT = re.compile(r"(?ai:\b(?:pwd|pass(?:word|wd|phrase|code)?|credentials?|(?:client|private|access|api|auth|secret)[_\x20-]?(?:key|token|secret)|secret|token|login))"
-                      r"[\"']?[\x20\t]*+(?:[:=]|=>|(?ai:is|was)[\x20\t])[\x20\t]*+[\"']?([^\s\"'<>(){}\[\],;]{6,})"
-                      r"|(?ai:\bbearer)[\x20\t]++([A-Za-z0-9+/_.=~-]{6,})")
+_CONTEXT_WORDS = ("pwd", "pass", "credential", "bearer", "client", "private", "secret", "token", "api", "access", "login", "auth", "://")
+# A credential name stands alone or at a joint of a longer one (db_pass, userPwd, PGPASS); up to three more parts may follow it.
+_NAME = (r"(?:(?ai:(?<![A-Za-z0-9])(?:pwd|pass(?:word|wd|phrase|code)?|credentials?|(?:client|private|access|api|auth|secret)[_\x20-]?(?:key|token|secret)|secret|token|login))"
+         r"|(?<=[a-z0-9])(?:Pwd|Pass(?:word|wd|phrase|code)?|Secret|Token|Credentials?)|(?<=[A-Z0-9])(?:PWD|PASS(?:WORD|WD|PHRASE|CODE)?)(?=[\"']?=))")
+_SIGN, _GAP = r"(?:=>|[:=])", r"[\x20\t]*+"
+_CONTEXT = re.compile("|".join((
+    rf"(?ai:\bpass[\x20_-]?phrase)[\"']?{_GAP}{_SIGN}{_GAP}[\"']?([a-z]{{3,}}+(?:\x20[a-z]{{3,}}+){{3,23}}+)(?=[\"'.,;\r\n]|\Z)",
+    rf"{_NAME}(?:(?:[_-][A-Za-z0-9]{{1,24}}+){{0,3}}+[\"']?{_GAP}{_SIGN}|[\"']?{_GAP}(?ai:is|was)[\x20\t]){_GAP}[\"']?([^\s\"'<>(){{}}\[\],;]{{6,}})",
+    rf"(?ai:\bauthorization)[\"']?{_GAP}{_SIGN}{_GAP}[\"']?(?ai:basic|digest)[\x20\t]++([A-Za-z0-9+/_.=~-]{{6,}})",
+    r"://[^\s:/?#@]++:([^\s/@]{6,})@",
+    r"(?ai:\bbearer)[\x20\t]++([A-Za-z0-9+/_.=~-]{6,})")))
 
 
 def base_spans(text: str | None) -> list[Span]:
@@ -214,7 +223,7 @@ def added_spans(text: str | None, base: list[Span], dictionary: dict[str, float]
     if not any(w in lowered for w in _CONTEXT_WORDS):
         return
     for m in _CONTEXT.finditer(text):
-        at = 1 if m.group(1) else 2
+        at = m.lastindex
         value = m.group(at).rstrip(".!?:")
         start, end = m.start(at), m.start(at) + len(value)
         if len(value) < 6 or any(a < end and start < b for _, a, b in base):

@@ -200,3 +200,21 @@ def test_fixity_ignores_extra_columns(spark):
     pages = spark.createDataFrame([(i, f"u{i % 3}", None if i == 4 else f"b{i}", 1, "x", "y", 0) for i in range(20)],
                                   "page_id long, url string, html string, record long, digest string, state string, place long")
     assert {r.state for r in fixity.audit_pages(pages, F.col("html")).collect()} == {"intact"}
+
+
+def test_credential_names_inside_longer_ones_and_other_contexts():
+    words = secret_scan.read_dictionary(public_tokenizers.path(secret_scan.DEFAULT_RANKS))
+    found = lambda t: [t[a:b] for _, a, b in secret_scan.added_spans(t, secret_scan.base_spans(t), words)]
+    value = "xK9vQ2mZ7pLw4"
+    for text in ("aws_secret_access_key = {}", "DB_PASS={}", "MYSQL_PWD: {}", "user_pwd={}", "auth_token_x: {}", "PGPASS='{}'", "Authorization: Basic {}",
+                 "userPwd => {}", "postgres://admin:{}@db.example.com/x", "db-pass-main: '{}'"):
+        assert found(text.format(value)) == [value], text
+    assert found("passphrase: correct horse battery staple\nnext") == ["correct horse battery staple"]
+    assert found("the compass is straightforward, the bypass: was closed, see https://example.com:8080/a@b; token-based is a word; PASSENGER=none") == []
+    for hard in ("token-" * 20000, "pass_" * 20000 + "=", "://a:" * 20000, "passphrase: " + "abc " * 20000, "://" + "a" * 100000):
+        assert found(hard) == []
+
+
+def test_secrets_of_an_empty_table(spark):
+    got = secret_scan.scan(spark.createDataFrame([], "doc_id long, text string, spans string"))
+    assert got.count() == 0 and got.columns == ["doc_id", "base", "spans", "max_guesses_log10"]
