@@ -24,11 +24,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, files: int | None = None) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so later uses neither recompute it nor
-    depend on executors that may be lost."""
+    depend on executors that may be lost; in at most ``files`` files, if given.  An executor starts a
+    process or two for each file that it writes to a local folder, so few rows should not fill many."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if files is None else df.coalesce(files)).checkpoint(eager=True)
+
+
+def files_for(spark: SparkSession, rows: int, per_file: int) -> int:
+    """Files for ``rows`` rows of a table that follows a shuffle, whatever its partitions: one for each
+    ``per_file`` rows, and not fewer than the cores, which all take part."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // per_file))
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, saved
+from .common import files_for, map_rows, saved
 
 RUN = 3
 #: Levels of an aligned builder.
@@ -35,6 +35,8 @@ LEVELS = 6
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Rows of a range that numbers its rows.
 ROWS_PER_RANGE = 1_000_000
+#: Leaves whose rows or logs fill a file.
+LEAVES_PER_FILE = 50_000
 _LOCAL_BITS = 33  # monotonically_increasing_id: the partition is in the upper 31 bits
 
 
@@ -119,9 +121,11 @@ def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
     Rows are cut into ranges of (tree, order); a range adds the counts of the ranges before it.  Those counts are
     at most one row for each tree and range, and are joined on both, so no key holds more than a range."""
     keys = ["tree", *order]
-    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_PER_RANGE)
+    count = rows.count()
+    ranges = max(rows.sparkSession.sparkContext.defaultParallelism, count // ROWS_PER_RANGE)
     parted = saved(rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
-                   .withColumn("mid", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("mid", _LOCAL_BITS)))
+                   .withColumn("mid", F.monotonically_increasing_id()).withColumn("pid", F.shiftright("mid", _LOCAL_BITS)),
+                   files_for(rows.sparkSession, count, LEAVES_PER_FILE))
     counts = parted.groupBy("tree", "pid").agg(F.count(F.lit(1)).alias("rows"), F.min("mid").alias("first"))
     tree = Window.partitionBy("tree")
     before = F.coalesce(F.sum("rows").over(tree.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -138,7 +142,7 @@ def _leaves(n: int, part: int, levels: int) -> int:
     return min(RUN ** levels, n - part * RUN ** levels)
 
 
-def grow(leaves: DataFrame, carried: list[str], levels: int) -> list[DataFrame]:
+def grow(leaves: DataFrame, carried: list[str], levels: int, files: int) -> list[DataFrame]:
     """The rounds of all trees: (tree, part, n, log, ...) of every group, ``n`` being the leaves of the
     tree in that round.  The first round carries the columns ``carried`` of the leaves as arrays."""
     rounds, kinds, span = [], {"doc_id": "long"}, RUN ** levels
@@ -155,7 +159,7 @@ def grow(leaves: DataFrame, carried: list[str], levels: int) -> list[DataFrame]:
             return f
 
         schema = "tree string, part long, n long, log array<string>, root string"
-        rounds.append(saved(map_rows(parts, make, ", ".join([schema, *(f"{c} array<{kinds.get(c, 'string')}>" for c in carried)]), 16)))
+        rounds.append(saved(map_rows(parts, make, ", ".join([schema, *(f"{c} array<{kinds.get(c, 'string')}>" for c in carried)]), 16), files))
         tall = rounds[-1].where(F.col("n") > span)
         if tall.isEmpty():
             return rounds
@@ -211,16 +215,17 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, levels:
     rows = docs.select(tree.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"),
                        leaf_of([F.col(f"`{c}`") for c in FIELDS]).alias("hash"), leaf_of(changed).alias("other"))
     rows = saved(rows.withColumn("row", F.monotonically_increasing_id()))
+    files = files_for(docs.sparkSession, rows.count(), LEAVES_PER_FILE)
     placed = numbered(rows, ["doc_id", "hash", "row"])
-    rounds = grow(placed.select("tree", "i", "n", "hash", "doc_id", "other"), ["doc_id", "other"], levels)
+    rounds = grow(placed.select("tree", "i", "n", "hash", "doc_id", "other"), ["doc_id", "other"], levels, files)
 
     sources = roots(rounds, levels).select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("hash"))
-    sources = saved(numbered(sources, ["of"]))
-    top_rounds = grow(sources.select("tree", "i", "n", "hash"), [], levels)
+    sources = saved(numbered(sources, ["of"]), files)
+    top_rounds = grow(sources.select("tree", "i", "n", "hash"), [], levels, files)
     start = roots(top_rounds, levels).select("tree", F.array("root").alias("ends"), F.array().cast("array<string>").alias("above"))
     top_ways = _leaf_ways(with_ways(top_rounds, start, levels), levels).select("i", "ends", F.col("way").alias("above"))
     tops = sources.join(top_ways, "i").select(F.col("of").alias("tree"), F.concat(F.array("hash"), "ends").alias("ends"), "above")
-    groups = with_ways(rounds, saved(tops), levels)
+    groups = with_ways(rounds, saved(tops, files), levels)
 
     def make():
         def f(b) -> dict:
@@ -237,7 +242,7 @@ def manifest(docs: DataFrame, tampered: dict[str, Column] | None = None, levels:
         return f
 
     schema = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string"
-    out = map_rows(groups.select("part", "n", "log", "doc_id", "other", "ends", "above"), make, schema, 4)
+    out = map_rows(groups.select("part", "n", "log", "doc_id", "other", "ends", "above").coalesce(files), make, schema, 4)
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 

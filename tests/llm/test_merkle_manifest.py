@@ -86,3 +86,29 @@ def test_positions_are_those_of_the_log(height, extra):
                 nodes = [mm.digest_of("".join(nodes[k:k + 3])) for k in range(0, len(nodes), 3)]
             assert [log[mm.position(n, h, level, k)] for k in range(len(nodes))] == nodes
         assert len(log) == sum(-(-n // 3 ** level) for level in range(h + 1))
+
+
+def test_files_of_saved_tables_follow_the_rows(spark, monkeypatch):
+    """Logs and the result have no more parts than cores for few rows, whatever the shuffle partitions; the manifest is the same."""
+    cores, counts = spark.sparkContext.defaultParallelism, []
+
+    def recorded(df, files=None, f=mm.saved):
+        out = f(df) if files is None else f(df, files)
+        counts.append(out.rdd.getNumPartitions())
+        return out
+
+    monkeypatch.setattr(mm, "saved", recorded)
+    rows = [(i, "a\nb", "en", "hot" if i % 3 else f"s{i % 5}", i) for i in range(300)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2, "y") for r in rows], SCHEMA)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores + 9))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = mm.manifest(docs, mm.without_newlines(), 2)
+        counts.append(got.rdd.getNumPartitions())
+        out = got.collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((str(r.doc_id), r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in out) == plain(rows)
+    assert len(counts) > 7 and max(counts) <= cores
