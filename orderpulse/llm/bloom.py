@@ -14,11 +14,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved
+from .common import files_for, fresh, saved
 
 HASHES = 2
 PLACES_PER_ROW = 16
 MAX_BROADCAST_BLOCKS = 16_384
+#: Places and blocks of a block table's file (4 MB).
+PLACES_PER_BLOCK, BLOCKS_PER_FILE = 32_768, 1024
 
 
 def hash_of(value: Column) -> Column:
@@ -44,17 +46,20 @@ class PlaceFilter:
     blocks: DataFrame
     n_places: int
     small: bool
+    rows: int
 
     @staticmethod
     def of(rows: DataFrame, digest: str, at_least: int = 1) -> PlaceFilter:
         """Filter of the places that ``at_least`` rows mark."""
-        n_places = max(1, rows.count() * PLACES_PER_ROW)
+        n_rows = rows.count()
+        n_places = max(1, n_rows * PLACES_PER_ROW)
+        files = files_for(rows.sparkSession, n_places // PLACES_PER_BLOCK + 1, BLOCKS_PER_FILE)
         marks = rows.select(F.explode(F.array_distinct(F.array(*_places(F.col(digest), n_places)))).alias("place"))
         often = marks.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= at_least)
         place = F.col("place") + 1   # the bitmap functions count from one
         blocks = saved(often.groupBy(F.bitmap_bucket_number(place).alias("block"))
-                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")))
-        return PlaceFilter(blocks, n_places, blocks.count() <= MAX_BROADCAST_BLOCKS)
+                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")), files)
+        return PlaceFilter(blocks, n_places, blocks.count() <= MAX_BROADCAST_BLOCKS, n_rows)
 
     def mark(self, rows: DataFrame, digest: str, flag: str) -> DataFrame:
         """``rows`` with ``flag``: False only where the hash is certainly not in the filter."""

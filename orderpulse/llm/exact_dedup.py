@@ -19,23 +19,37 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from .bloom import PlaceFilter
-from .common import fresh, lower_ascii, map_rows, saved
+from .common import ROWS_AT_ONCE, files_for, fresh, map_rows, saved
 
 
 #: A text with more copies than this, and more than its share of this many texts, is not joined by a shuffle.
 HOT_COPIES, MAX_HOT_TEXTS = 1000, 10_000
+#: Rows of the input whose repeated texts fill a file.
+ROWS_PER_FILE = 100_000
+
+
+def _digests(text: pa.Array) -> pa.Array:
+    """SHA-256 of each text with A-Z lowered (null: empty), from its bytes and a slice at a time."""
+    raw, out = text.cast(pa.binary()), []
+    for at in range(0, len(raw), ROWS_AT_ONCE):
+        out += [hashlib.sha256((t or b"").lower()).digest() for t in raw.slice(at, ROWS_AT_ONCE).to_pylist()]
+    return pa.array(out, pa.binary())
+
+
+#: Called deterministic, it would run again in the null check that a join on its result puts below it, in more Python workers.
+_sha256 = F.arrow_udf(_digests, BinaryType()).asNondeterministic()
 
 
 def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, sha) of every row: SHA-256 of the normalised whole text."""
     def make():
-        return lambda b: {"id": b.column(0), "sha": [hashlib.sha256(lower_ascii(t or "")).digest() for t in b.column(1).to_pylist()]}
+        return lambda b: {"id": b.column(0), "sha": _digests(b.column(1))}
     return map_rows(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")), make, "id long, sha binary")
 
 
@@ -60,9 +74,10 @@ def _with_stays(maybe: DataFrame, stays: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row."""
     keys = saved(hashed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    marked = saved(PlaceFilter.of(keys, "sha", at_least=2).mark(keys, "sha", "maybe"))
+    filt = PlaceFilter.of(keys, "sha", at_least=2)
+    marked = saved(filt.mark(keys, "sha", "maybe"))
     maybe = marked.where("maybe")
-    found = _with_stays(maybe, saved(_stays(maybe)))
+    found = _with_stays(maybe, saved(_stays(maybe), files_for(docs.sparkSession, filt.rows, ROWS_PER_FILE)))
     sha = F.lower(F.hex("sha")).alias("text_sha256")
     again = found.select(F.col("id").alias("doc_id"), F.col("stays.id").alias("keep_id"), F.col("n").alias("group_size"),
                          (F.col("row") == F.col("stays.row")).alias("kept"), sha)
@@ -76,7 +91,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     not shuffled; the others meet the table of repeated texts, one narrow row for each."""
     keys = saved(hashed(docs, id_col, text_col).withColumn("row", F.lit(0)))
     filt = PlaceFilter.of(keys, "sha", at_least=2)
-    stays = saved(_stays(filt.mark(keys, "sha", "maybe").where("maybe")).select("g_sha", F.col("stays.id").alias("g_id")))
+    stays = saved(_stays(filt.mark(keys, "sha", "maybe").where("maybe")).select("g_sha", F.col("stays.id").alias("g_id")),
+                  files_for(docs.sparkSession, filt.rows, ROWS_PER_FILE))
     sha, flag, g_sha, g_id = (fresh(docs, c) for c in ("doc_sha", "doc_maybe", "g_sha", "g_id"))
     marked = filt.mark(docs.withColumn(sha, _sha256(F.col(text_col).cast("string"))), sha, flag)
     stays = stays.select(F.col("g_sha").alias(g_sha), F.col("g_id").alias(g_id))
@@ -85,8 +101,3 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .dropDuplicates([sha]))   # rows that share id and text
     names = [F.col(f"`{c}`") for c in docs.columns]
     return marked.where(~F.col(flag)).select(*names).unionByName(last.select(*names))
-
-
-@F.pandas_udf(BinaryType())
-def _sha256(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: hashlib.sha256(lower_ascii(t or "")).digest())

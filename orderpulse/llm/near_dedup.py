@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bloom import PlaceFilter, hash_of
-from .common import MAX_BROADCAST_ROWS, fresh, lookup, lower_ascii, map_rows, saved
+from .common import MAX_BROADCAST_ROWS, files_for, fresh, lookup, lower_ascii, map_rows, saved
 
 SHINGLE = 5
 THRESHOLD_PERCENT = 80
@@ -48,6 +48,8 @@ STRIP = 4
 LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Bytes of text hashed at once; a longer text is hashed in parts that end at white space.
 CHUNK = 1 << 22
+#: Documents whose rows fill a file of a saved table.
+DOCS_PER_FILE = 20_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -211,9 +213,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, id_col: str, text
     return map_rows(both, make, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, files: int | None = None) -> DataFrame:
     """(id, root) of every id in ``links`` (a, b): the smallest id it is connected with."""
-    edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = saved(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), files)
     while not _is_stars(edges):
         few = edges.count() <= MAX_BROADCAST_ROWS
         hint = F.broadcast if few else lambda x: x
@@ -224,7 +226,7 @@ def components(links: DataFrame) -> DataFrame:
         # small-star: u and its smaller neighbours are linked to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         down = large.join(hint(low), "u").where("v != low").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        edges = saved(down.union(low.select("u", F.col("low").alias("v"))).distinct())
+        edges = saved(down.union(low.select("u", F.col("low").alias("v"))).distinct(), files)
     return edges.select(F.col("u").alias("id"), F.col("v").alias("root"))
 
 
@@ -243,18 +245,18 @@ def _rooted(rows: DataFrame, names: list[str], roots: DataFrame) -> DataFrame:
     return rows
 
 
-def _grown(roots: DataFrame, links: DataFrame) -> DataFrame:
+def _grown(roots: DataFrame, links: DataFrame, files: int) -> DataFrame:
     """``roots`` after more ``links``: components of the roots, then composed."""
     more = _rooted(links, ["a", "b"], roots).select(F.col("root_a").alias("a"), F.col("root_b").alias("b")).where("a != b")
-    higher = saved(components(more))
+    higher = saved(components(more, files), files)
     old = _rooted(roots, ["root"], higher).select("id", F.col("root_root").alias("root"))
     new = higher.join(lookup(roots.select("id")), "id", "left_anti")
-    return saved(old.unionByName(new))
+    return saved(old.unionByName(new), files)
 
 
-def _blocks(rows: DataFrame, group: str, size: int, value: Column) -> DataFrame:
+def _blocks(rows: DataFrame, group: str, size: int, value: Column, files: int | None) -> DataFrame:
     """(group, block, n, items): the rows of each group in ``n`` blocks of about ``size`` by a hash of the id."""
-    counts = lookup(saved(rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n"))))
+    counts = lookup(saved(rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("n")), files))
     dealt = rows.join(counts, group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("n")).cast("int"))
     return dealt.groupBy(group, "block", "n").agg(F.collect_list(value).alias("items"))
 
@@ -278,7 +280,7 @@ def _block_pairs(blocks: DataFrame, other: DataFrame, group: str, once: bool = F
     return (both.where("block <= block2") if once else both).select("items", "items2")
 
 
-def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame, files: int) -> DataFrame:
     """(a, b): pairs of roots joined by documents that share a bucket and whose signatures agree.
 
     Every pair of members of a bucket with several components is looked at, block against block;
@@ -286,7 +288,7 @@ def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFram
     m = _rooted(shared.select("key", "id"), ["id"], roots).select("key", "id", F.col("root_id").alias("root"))
     mixed = m.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("key")
     m = m.join(mixed, "key").join(signed, "id").select("key", "id", "root", "signature")
-    blocks = saved(_blocks(m, "key", BUCKET_BLOCK, F.struct("root", "signature")))
+    blocks = saved(_blocks(m, "key", BUCKET_BLOCK, F.struct("root", "signature"), files), files)
     other = blocks.select("key", F.col("block").alias("block2"), "n", F.col("items").alias("items2"))
     both = _block_pairs(blocks.withColumnRenamed("n", "n2"), other, "key", once=True)
 
@@ -313,22 +315,23 @@ def _bridges(shared: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFram
     return map_rows(both, make, "a long, b long", 64).distinct()
 
 
-def _between(bridges: DataFrame, stand: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
+def _between(bridges: DataFrame, stand: DataFrame, roots: DataFrame, docs: DataFrame, shingle: int, id_col: str, text_col: str, files: int | None = None) -> DataFrame:
     """(a, b): confirmed links between components that ``bridges`` join to a cluster.
 
     In a cluster the documents outside its largest component are compared on full sets with all
     documents of other components, block against block; only links leave the task."""
-    clusters = saved(components(bridges))
-    clusters = lookup(saved(clusters.union(clusters.select("root", "root")).distinct().select(F.col("id").alias("c_root"), F.col("root").alias("cluster"))))
+    clusters = saved(components(bridges, files), files)
+    clusters = lookup(saved(clusters.union(clusters.select("root", "root")).distinct().select(F.col("id").alias("c_root"), F.col("root").alias("cluster")), files))
     m = _rooted(stand, ["id"], roots).select("id", F.col("root_id").alias("root"))
-    m = saved(m.join(clusters, m["root"] == F.col("c_root")).select("id", "root", "cluster"))
+    m = saved(m.join(clusters, m["root"] == F.col("c_root")).select("id", "root", "cluster"), files)
     sizes = m.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("most"))
-    main = lookup(saved(sizes.select("cluster", F.col("most.root").alias("main"))))
-    whole = saved(m.join(texts_of(m.select("id"), docs, id_col, text_col), "id").join(main, "cluster"))
+    main = lookup(saved(sizes.select("cluster", F.col("most.root").alias("main")), files))
+    whole = saved(m.join(texts_of(m.select("id"), docs, id_col, text_col), "id").join(main, "cluster"), files)
     item = F.struct("id", "root", "text")
-    blocks = saved(_blocks(whole, "cluster", CLUSTER_BLOCK, item))
-    asked = saved(_blocks(whole.where("root != main"), "cluster", CLUSTER_BLOCK, item).select("cluster", F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("items").alias("items2")))
-    many, few = (lookup(saved(x.select("cluster", n).distinct())) for x, n in ((blocks, "n"), (asked, "n2")))
+    blocks = saved(_blocks(whole, "cluster", CLUSTER_BLOCK, item, files), files)
+    asked = _blocks(whole.where("root != main"), "cluster", CLUSTER_BLOCK, item, files)
+    asked = saved(asked.select("cluster", F.col("block").alias("block2"), F.col("n").alias("n2"), F.col("items").alias("items2")), files)
+    many, few = (lookup(saved(x.select("cluster", n).distinct(), files)) for x, n in ((blocks, "n"), (asked, "n2")))
     both = _block_pairs(blocks.drop("n").join(few, "cluster"), asked.drop("n2").join(many, "cluster"), "cluster")
 
     def make():
@@ -357,33 +360,40 @@ def _between(bridges: DataFrame, stand: DataFrame, roots: DataFrame, docs: DataF
 
 def groups(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
+    return _groups(docs, shingle, id_col, text_col)[0]
+
+
+def _groups(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """``groups`` and the files for a table of its rows."""
     signed = saved(signatures(docs, shingle, id_col, text_col))
+    files = files_for(docs.sparkSession, signed.count(), DOCS_PER_FILE)
     usable = signed.where("n_shingles > 0 and id is not null")
-    classes = saved(usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "rep"))
-    copies = saved(usable.select("id", "class").join(lookup(classes), "class").where("id != rep").select("id", "rep").distinct())
+    classes = saved(usable.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("class", "rep"), files)
+    copies = saved(usable.select("id", "class").join(lookup(classes), "class").where("id != rep").select("id", "rep").distinct(), files)
     stand = usable.join(lookup(copies.select("id")), "id", "left_anti").select("id", "bands", "signature")
     keyed = stand.select("id", F.explode("bands").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub != most").select("key", "hub")
-    shared = saved(keyed.join(hubs, "key"))
-    signed_few = saved(stand.select("id", "signature").join(shared.select("id").distinct(), "id"))
+    shared = saved(keyed.join(hubs, "key"), files)
+    signed_few = saved(stand.select("id", "signature").join(shared.select("id").distinct(), "id"), files)
     pairs = shared.where("id != hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    likely = saved(agreement(pairs, signed_few))
-    best = saved(likely.groupBy("b").agg(F.max(F.struct("like", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b"))
-    roots = saved(components(saved(confirmed(best, docs, shingle, id_col, text_col)).union(copies.select("id", "rep"))))
-    bridges = saved(_bridges(shared, roots, signed_few))
+    likely = saved(agreement(pairs, signed_few), files)
+    best = saved(likely.groupBy("b").agg(F.max(F.struct("like", (-F.col("a")).alias("minus"))).alias("m")).select((-F.col("m.minus")).alias("a"), "b"), files)
+    roots = saved(components(saved(confirmed(best, docs, shingle, id_col, text_col)).union(copies.select("id", "rep")), files), files)
+    bridges = saved(_bridges(shared, roots, signed_few, files), files)
     if not bridges.isEmpty():
-        roots = _grown(roots, saved(_between(bridges, stand.select("id"), roots, docs, shingle, id_col, text_col)))
+        roots = _grown(roots, saved(_between(bridges, stand.select("id"), roots, docs, shingle, id_col, text_col, files)), files)
     found = roots.select(F.col("id").alias("r_id"), F.col("root").alias("r_root"))
     out = signed.select(F.col("id").alias("doc_id"), "n_shingles").join(lookup(found), F.col("doc_id") == F.col("r_id"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("r_root", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), files
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.  A Bloom filter of the dropped ids lets
     all certainly kept rows pass without a shuffle."""
-    gone = saved(groups(docs, shingle, id_col, text_col).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
-                 .withColumn("digest", hash_of(F.col("gone_id"))))
+    found, files = _groups(docs, shingle, id_col, text_col)
+    gone = saved(found.where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+                 .withColumn("digest", hash_of(F.col("gone_id"))), files)
     filt = PlaceFilter.of(gone, "digest")
     digest, flag, gone_id = fresh(docs, "id_digest"), fresh(docs, "id_maybe"), fresh(docs, "gone_id")
     marked = filt.mark(docs.withColumn(digest, hash_of(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")))), digest, flag)

@@ -3,7 +3,7 @@ import hashlib
 import itertools
 import random
 
-from orderpulse.llm import exact_dedup, near_dedup
+from orderpulse.llm import bloom, exact_dedup, near_dedup
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, source string, block0 string, sha string, id long"
@@ -139,3 +139,36 @@ def test_near_edges(spark):
     kept = near_dedup.dedup(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["8", "8", "None"]
     assert near_dedup.groups(docs.limit(0)).count() == 0
+
+
+def test_a_text_is_hashed_once_in_each_branch(spark):
+    """The digest is not computed again for the null check of the join on it."""
+    plan = exact_dedup.dedup(frame(spark, EXACT))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2
+
+
+def test_files_of_saved_tables_follow_the_rows(spark, monkeypatch):
+    """Tables after a shuffle have no more files than cores for few rows, whatever the shuffle partitions."""
+    cores, counts = spark.sparkContext.defaultParallelism, []
+    for module in (bloom, exact_dedup, near_dedup):
+        def recorded(df, files=None, f=module.saved, of=module.__name__):
+            out = f(df) if files is None else f(df, files)
+            counts.append((of, files, out.rdd.getNumPartitions()))
+            return out
+        monkeypatch.setattr(module, "saved", recorded)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(words[i % 3:] + [str(i // 3)])) for i in range(60)] + EXACT
+    docs = frame(spark, rows).repartition(2)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", str(cores + 9))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        exact_dedup.groups(docs).count()
+        exact_dedup.dedup(docs).count()
+        near_dedup.dedup(docs).count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    many = [c for c in counts if c[2] > cores]
+    assert len(counts) > 15
+    assert len(many) <= 2 and {c[0] for c in many} <= {near_dedup.__name__}   # full sets compared, in as many tasks as may be
