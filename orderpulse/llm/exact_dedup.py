@@ -31,7 +31,7 @@ from .common import ROWS_AT_ONCE, files_for, fresh, map_rows, saved
 #: A text with more copies than this, and more than its share of this many texts, is not joined by a shuffle.
 HOT_COPIES, MAX_HOT_TEXTS = 1000, 10_000
 #: Rows of the input whose repeated texts fill a file.
-ROWS_PER_FILE = 100_000
+ROWS_PER_FILE = 20_000
 
 
 def _digests(text: pa.Array) -> pa.Array:

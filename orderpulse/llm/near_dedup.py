@@ -49,7 +49,7 @@ LEAST_AGREEMENT = 0.8 - 5 * (0.8 * 0.2 / MINIMA) ** 0.5
 #: Bytes of text hashed at once; a longer text is hashed in parts that end at white space.
 CHUNK = 1 << 22
 #: Documents whose rows fill a file of a saved table.
-DOCS_PER_FILE = 20_000
+DOCS_PER_FILE = 10_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
